@@ -100,9 +100,9 @@ add("b24_concurrent_users", over_flows(B.concurrent_users), on_flows(
 add("b25_peak_hour", over_flows(B.peak_hour), on_flows(
     f"SELECT {HOUR} AS hour, {big('sum(bytes)')} AS bytes FROM flows GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"))
 # A threshold at the scale of one busy hour, so that the result is not empty.
-add("b26_idle_hours", over_flows(B.idle_hours, 2_000_000_000), on_flows(
+add("b26_idle_hours", over_flows(B.idle_hours, 45_000_000), on_flows(
     "SELECT CAST(r.h AS INTEGER) AS hour FROM range(24) AS r(h) LEFT JOIN "
-    f"(SELECT {HOUR} AS hour, sum(bytes) AS b FROM flows GROUP BY 1) x ON x.hour = r.h WHERE coalesce(b, 0) <= 2000000000"))
+    f"(SELECT {HOUR} AS hour, sum(bytes) AS b FROM flows GROUP BY 1) x ON x.hour = r.h WHERE coalesce(b, 0) <= 45000000"))
 add("b27_heatmap", over_flows(B.heatmap), on_flows(
     f"SELECT CAST(isodow({T}) - 1 AS INTEGER) AS day_of_week, {HOUR} AS hour, {big('sum(bytes)')} AS bytes "
     "FROM flows GROUP BY 1, 2"))

@@ -83,21 +83,24 @@ def approx_quantiles(df: DataFrame, value: str, probs: dict[str, float], accurac
 def order_statistic(df: DataFrame, value: str, rank: DataFrame) -> DataFrame:
     """Value at the zero-based rank given by the one-row frame ``rank``, as a one-row frame.
 
-    Same descent as above for a single rank over a non-negative bigint column.
+    Made for columns whose values are nearly all different, such as hashes: nothing is counted
+    per value over the whole table. Each of three narrow scans counts at most 2^21 prefixes
+    (combined before the shuffle) and keeps the prefix that holds the rank.
     """
-    hist = df.groupBy(F.col(value).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = hist.withColumn("hi", F.shiftright("k", 2 * _BITS)).withColumn("mid", F.shiftright("k", _BITS))
-    per_mid = keyed.groupBy("hi", "mid").agg(F.sum("n").alias("n"))
-    per_hi = per_mid.groupBy("hi").agg(F.sum("n").alias("n"))
+    key = F.col(value)
+
+    def counts(frame: DataFrame, shift: int) -> DataFrame:
+        return frame.groupBy(F.shiftright(key, shift).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
-    def step(frame: DataFrame, column: str, wanted: Column) -> DataFrame:
+    def step(frame: DataFrame, wanted: Column) -> DataFrame:
         before = F.coalesce(F.sum("n").over(
-            Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return (frame.withColumn("before", before).withColumn("rank", wanted)
                 .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-                .select(column, (F.col("rank") - F.col("before")).alias("rank")))
+                .select(F.struct("k", (F.col("rank") - F.col("before")).alias("rank")).alias("t")))
 
-    level0 = step(per_hi, "hi", rank.scalar())
-    level1 = step(per_mid.where(F.col("hi") == level0.select("hi").scalar()), "mid", level0.select("rank").scalar())
-    level2 = step(keyed.where(F.col("mid") == level1.select("mid").scalar()), "k", level1.select("rank").scalar())
-    return level2.select("k")
+    hi = step(counts(df, 2 * _BITS), rank.scalar()).scalar()
+    inside_hi = df.where(F.shiftright(key, 2 * _BITS) == hi["k"])
+    mid = step(counts(inside_hi, _BITS), hi["rank"]).scalar()
+    inside_mid = df.where(F.shiftright(key, _BITS) == mid["k"])
+    return step(counts(inside_mid, 0), mid["rank"]).select("t.k")

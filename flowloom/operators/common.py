@@ -22,10 +22,6 @@ def sum_bytes(when: Column | None = None, name: str = "bytes") -> Column:
     return F.coalesce(F.sum(value), F.lit(0).cast("bigint")).alias(name)
 
 
-def count_if(test: Column, name: str) -> Column:
-    return F.count_if(test).alias(name)
-
-
 def rows(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
@@ -37,12 +33,7 @@ def top(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:
 
 def span_seconds(first: Column, last: Column) -> Column:
     """Seconds between two timestamps as a double, exact to the microsecond."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-    def micros(moment: Column) -> Column:
-        return F.timestamp_diff("MICROSECOND", epoch, moment)
-
-    return (micros(last) - micros(first)).cast("double") / F.lit(1e6)
+    return (X.epoch_micros(last) - X.epoch_micros(first)).cast("double") / F.lit(1e6)
 
 
 def user_hours(flows: DataFrame) -> DataFrame:
@@ -51,31 +42,36 @@ def user_hours(flows: DataFrame) -> DataFrame:
     A hot user is spread over up to 24 keys here; the second step per user reads at most 24
     rows. Unused columns are pruned away by the optimizer.
     """
-    hour = F.hour("timestamp")
-    port = F.col("dst_port")
-    broad = F.coalesce(X.broad_class(F.col("app_category")), F.lit("others"))
-    weekend = F.weekday("timestamp") >= 5
+    ports = ", ".join(map(str, S.SUSPICIOUS_PORTS))
+
+    def total(name: str, test: str) -> str:
+        return f"coalesce(sum(CASE WHEN {test} THEN bytes END), 0L) AS {name}"
+
     aggs = [
-        rows("n"),
-        sum_bytes(),
-        F.min("timestamp").alias("first_ts"),
-        F.max("timestamp").alias("last_ts"),
-        F.bool_and(A.is_rfc1918_text(F.col("src_ip"))).alias("all_internal"),
-        sum_bytes((port == 443) & (F.col("protocol") == "UDP"), "vpn_bytes"),
-        count_if(port == 443, "tls_rows"),
-        count_if(port == 53, "dns_rows"),
-        sum_bytes(port == 53, "dns_bytes"),
-        sum_bytes(port >= 1024, "download_bytes"),
-        sum_bytes(port < 1024, "upload_bytes"),
-        count_if(port.isin(S.SUSPICIOUS_PORTS), "suspicious_rows"),
-        sum_bytes(weekend, "weekend_bytes"),
-        sum_bytes(~weekend, "weekday_bytes"),
-        count_if(~weekend, "weekday_rows"),
+        "count(1) AS n",
+        "coalesce(sum(bytes), 0L) AS bytes",
+        "min(timestamp) AS first_ts",
+        "max(timestamp) AS last_ts",
+        "bool_and(internal) AS all_internal",
+        total("vpn_bytes", "dst_port = 443 AND protocol = 'UDP'"),
+        "count_if(dst_port = 443) AS tls_rows",
+        "count_if(dst_port = 53) AS dns_rows",
+        total("dns_bytes", "dst_port = 53"),
+        total("download_bytes", "dst_port >= 1024"),
+        total("upload_bytes", "dst_port < 1024"),
+        f"count_if(dst_port IN ({ports})) AS suspicious_rows",
+        total("weekend_bytes", "weekday(timestamp) >= 5"),
+        total("weekday_bytes", "weekday(timestamp) < 5"),
+        "count_if(weekday(timestamp) < 5) AS weekday_rows",
     ]
-    aggs += [sum_bytes(broad == name, f"{name}_bytes") for name in [*S.BROAD_CLASSES, "others"]]
-    aggs += [count_if(port == p, f"port_{p}_rows") for p in S.WATCHED_PORTS]
-    return (flows.where(F.col("user").isNotNull())
-            .groupBy("user", hour.alias("hour")).agg(*aggs))
+    aggs += [total(f"cat_{name}", f"broad = '{name}'") for name in [*S.BROAD_CLASSES, "others"]]
+    aggs += [f"count_if(dst_port = {p}) AS port_{p}_rows" for p in S.WATCHED_PORTS]
+    marked = flows.where(F.col("user").isNotNull()).select(
+        "user", "timestamp", "dst_port", "protocol", "bytes",
+        F.hour("timestamp").alias("hour"),
+        A.is_rfc1918_text(F.col("src_ip")).alias("internal"),
+        F.coalesce(X.broad_class(F.col("app_category")), F.lit("others")).alias("broad"))
+    return marked.groupBy("user", "hour").agg(*[F.expr(a) for a in aggs])
 
 
 def endpoints(flows: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def user_features(flows: DataFrame) -> DataFrame:
     by_hour = user_hours(flows)
     summed = ["n", "bytes", "vpn_bytes", "tls_rows", "dns_rows", "dns_bytes", "download_bytes", "upload_bytes",
               "suspicious_rows", "weekend_bytes", "weekday_bytes", "weekday_rows",
-              *[f"{c}_bytes" for c in _CLASSES], *[f"port_{p}_rows" for p in S.WATCHED_PORTS]]
+              *[f"cat_{c}" for c in _CLASSES], *[f"port_{p}_rows" for p in S.WATCHED_PORTS]]
     hour, size = F.col("hour"), F.col("bytes")
     b = size.cast("decimal(19,0)")
 
@@ -186,7 +186,7 @@ def text_summary(flows: DataFrame) -> DataFrame:
     """One sentence per user: totals, leading class (name breaks ties) and tags."""
     from flowloom.operators.tags import tagged_users
 
-    leading = F.array_max(F.array(*[F.struct(F.col(f"{c}_bytes").alias("b"), F.lit(-i).alias("r"), F.lit(c).alias("c"))
+    leading = F.array_max(F.array(*[F.struct(F.col(f"cat_{c}").alias("b"), F.lit(-i).alias("r"), F.lit(c).alias("c"))
                                     for i, c in enumerate(sorted(_CLASSES))]))
     top_class = F.when(leading["b"] > 0, leading["c"]).otherwise("unknown")
     tags = F.when(F.size("tags") > 0, F.array_join("tags", ", ")).otherwise("none")

@@ -66,7 +66,7 @@ def _label(text: str, value: Column) -> Column:
 
 
 def _one_digit(value: Column) -> Column:
-    return F.format_number(X.round_half_up(value, 1), "0.0")
+    return F.format_string("%.1f", X.round_half_up(value, 1))
 
 
 def _alert(frame: DataFrame, kind: str, score: Column, entity: Column, evidence: list[Column],
@@ -214,9 +214,8 @@ def connection_gaps(flows: DataFrame, chunk_seconds: int = 300) -> DataFrame:
     gap across a chunk border comes from the chunk summaries, one row per chunk in use.
     """
     keys = ["user", "src_ip", "dst_ip"]
-    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
     moments = grouped(flows.where(F.col("timestamp").isNotNull()), *keys, "timestamp").agg(rows("n")).withColumn(
-        "us", F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp"))).withColumn(
+        "us", X.epoch_micros(F.col("timestamp"))).withColumn(
         "chunk", F.floor(F.col("us") / F.lit(chunk_seconds * 1_000_000)))
     inside = moments.withColumn(
         "gap", F.col("us") - F.lag("us").over(Window.partitionBy(*keys, "chunk").orderBy("us")))

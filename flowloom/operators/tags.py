@@ -7,65 +7,61 @@ from pyspark.sql import functions as F
 
 from flowloom import schema as S
 from flowloom.functions import quantiles as Q
-from flowloom.functions import scalars as X
 from flowloom.operators.common import grouped, sum_bytes
 from flowloom.operators.profile import user_features
 
 _CLASSES = [*S.BROAD_CLASSES, "others"]
 
 
-def _ratio_pct(part: str) -> Column:
-    return F.when(F.col("bytes") > 0, F.col(part).cast("double") / F.col("bytes").cast("double") * 100.0).otherwise(0.0)
-
-
-def _class_pct(name: str) -> Column:
-    part = F.col(f"{name}_bytes")
-    return F.when((F.col("bytes") > 0) & (part > 0), X.share_pct(part, F.col("bytes"))).otherwise(0.0)
-
-
-def tag_rules() -> dict[str, Column]:
-    """Tag name to rule. Needs ``pop_mean``, ``pop_std`` and ``median_variance`` on the row."""
-    size, n = F.col("bytes"), F.col("n")
-    port_rows = [F.col(f"port_{p}_rows") for p in S.WATCHED_PORTS]
-    watched = sum(port_rows[1:], port_rows[0])
-    watched_ports = sum([(c > 0).cast("int") for c in port_rows[1:]], (port_rows[0] > 0).cast("int"))
-    shares = [_class_pct(c) for c in _CLASSES]
-    night = _ratio_pct("late_bytes")
-    varies = (F.col("active_hours") > 1) & (F.col("median_variance") > 0)
-    weekday_mean = F.col("weekday_bytes").cast("double") / F.greatest(F.col("weekday_rows"), F.lit(1)).cast("double")
-    return {
-        "heavy_collector": n > 100,
-        "internal_user": F.col("all_internal"),
-        "external_user": ~F.col("all_internal"),
-        "vpn_user": _ratio_pct("vpn_bytes") > 20.0,
-        "bulk_downloader": size.cast("double") / n.cast("double") > 1000.0,
-        "light_user": size < 10000,
-        "heavy_traffic": (F.col("pop_std") > 0) & (size.cast("double") > F.col("pop_mean") + F.col("pop_std") * 2.0),
-        "gamer": _class_pct("game") > 30.0,
-        "video_heavy": _class_pct("video") > 40.0,
-        "balanced": (F.greatest(*shares) > 0.0) & (F.greatest(*shares) < 40.0),
-        "social": _class_pct("social") + _class_pct("chat") > 30.0,
-        "learner": _class_pct("edu") > 20.0,
-        "technical": watched > 20,
-        "night_owl": night > 40.0,
-        "early_riser": _ratio_pct("early_bytes") > 30.0,
-        "regular": varies & (F.col("variance") < F.col("median_variance") * 0.5),
-        "volatile": varies & (F.col("variance") > F.col("median_variance") * 1.5),
-        "possible_scan": watched_ports >= 3,
-        "suspicious_dns": F.col("dns_rows") > 50,
-        "abnormal_hours": night > 60.0,
-        "weekend_active": F.col("weekend_bytes").cast("double") > weekday_mean,
-        "morning_active": F.col("peak_hour").between(6, 11),
-        "afternoon_active": F.col("peak_hour").between(12, 17),
-    }
-
-
-TAGS = [
-    "heavy_collector", "internal_user", "external_user", "vpn_user", "bulk_downloader", "light_user",
-    "heavy_traffic", "gamer", "video_heavy", "balanced", "social", "learner", "technical", "night_owl",
-    "early_riser", "regular", "volatile", "possible_scan", "suspicious_dns", "abnormal_hours",
-    "weekend_active", "morning_active", "afternoon_active",
-]
+def _of_bytes(part: str) -> str:
+    return f"(CASE WHEN bytes > 0 THEN cast({part} AS double) / cast(bytes AS double) * 100D ELSE 0D END)"
+
+
+def _share(name: str) -> str:
+    """Class share with two digits; classes without bytes count as zero."""
+    part = f"cat_{name}"
+    return (f"(CASE WHEN bytes > 0 AND {part} > 0 "
+            f"THEN floor(cast({part} AS double) / cast(bytes AS double) * 100D * 100D + 0.5D) / 100D ELSE 0D END)")
+
+
+_TOP_SHARE = "greatest(" + ", ".join(_share(c) for c in _CLASSES) + ")"
+_PORT_ROWS = [f"port_{p}_rows" for p in S.WATCHED_PORTS]
+_VARIES = "active_hours > 1 AND median_variance > 0"
+
+# Tag to rule, over the columns of ``with_baselines(user_features(...))``.
+TAG_RULES = {
+    "heavy_collector": "n > 100",
+    "internal_user": "all_internal",
+    "external_user": "NOT all_internal",
+    "vpn_user": _of_bytes("vpn_bytes") + " > 20",
+    "bulk_downloader": "cast(bytes AS double) / cast(n AS double) > 1000D",
+    "light_user": "bytes < 10000",
+    "heavy_traffic": "pop_std > 0 AND cast(bytes AS double) > pop_mean + pop_std * 2D",
+    "gamer": _share("game") + " > 30",
+    "video_heavy": _share("video") + " > 40",
+    "balanced": f"{_TOP_SHARE} > 0 AND {_TOP_SHARE} < 40",
+    "social": f"{_share('social')} + {_share('chat')} > 30",
+    "learner": _share("edu") + " > 20",
+    "technical": " + ".join(_PORT_ROWS) + " > 20",
+    "night_owl": _of_bytes("late_bytes") + " > 40",
+    "early_riser": _of_bytes("early_bytes") + " > 30",
+    "regular": f"{_VARIES} AND variance < median_variance * 0.5D",
+    "volatile": f"{_VARIES} AND variance > median_variance * 1.5D",
+    "possible_scan": " + ".join(f"int({c} > 0)" for c in _PORT_ROWS) + " >= 3",
+    "suspicious_dns": "dns_rows > 50",
+    "abnormal_hours": _of_bytes("late_bytes") + " > 60",
+    "weekend_active": "cast(weekend_bytes AS double) > "
+                      "cast(weekday_bytes AS double) / cast(greatest(weekday_rows, 1) AS double)",
+    "morning_active": "peak_hour BETWEEN 6 AND 11",
+    "afternoon_active": "peak_hour BETWEEN 12 AND 17",
+}
+TAGS = list(TAG_RULES)
+
+
+def _marks(names: list[str]) -> Column:
+    """Array of the tags whose rule holds, in rule order."""
+    return F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {TAG_RULES[n]} THEN '{n}' END" for n in names) + "))")
 
 
 def with_baselines(features: DataFrame, median_variance: bool = True) -> DataFrame:
@@ -82,22 +78,17 @@ def with_baselines(features: DataFrame, median_variance: bool = True) -> DataFra
 
 def tagged_users(flows: DataFrame) -> DataFrame:
     """Feature rows with ``tags array<string>`` in rule order."""
-    ready = with_baselines(user_features(flows))
-    marks = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in tag_rules().items()])
-    return ready.withColumn("tags", F.array_compact(marks))
+    return with_baselines(user_features(flows)).withColumn("tags", _marks(TAGS))
 
 
 def user_tags(flows: DataFrame, *names: str) -> DataFrame:
-    """Long form (user, tag), all tags or the named ones. Unused baselines are left out of the plan."""
-    wanted = list(names) or TAGS
+    """Long form (user, tag), all tags or the named ones. Unused baselines stay out of the plan."""
+    wanted = [t for t in TAGS if t in names] if names else TAGS
     ready = user_features(flows)
-    if {"heavy_traffic", "regular", "volatile"} & set(wanted):
-        ready = with_baselines(ready, bool({"regular", "volatile"} & set(wanted)))
-    else:
-        ready = ready.withColumns({c: F.lit(0.0) for c in ("pop_mean", "pop_std", "median_variance")})
-    rules = tag_rules()
-    marks = F.array_compact(F.array(*[F.when(F.coalesce(rules[n], F.lit(False)), F.lit(n)) for n in wanted]))
-    return ready.select("user", F.explode(marks).alias("tag"))
+    needs = {c for c in ("pop_mean", "median_variance") if any(c in TAG_RULES[t] for t in wanted)}
+    if needs:
+        ready = with_baselines(ready, "median_variance" in needs)
+    return ready.select("user", F.explode(_marks(wanted)).alias("tag"))
 
 
 def tag_index(flows: DataFrame) -> DataFrame:

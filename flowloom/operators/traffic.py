@@ -11,7 +11,7 @@ from flowloom.functions import quantiles as Q
 from flowloom.functions import scalars as X
 from flowloom.operators.common import grouped, rows, span_seconds, sum_bytes, top
 
-_STEPS = {"hour": "1 hour", "5min": "5 minutes"}
+_STEPS = {"hour": 3600, "5min": 300}
 
 
 def with_time_parts(flows: DataFrame) -> DataFrame:
@@ -69,28 +69,24 @@ def category_bytes(flows: DataFrame) -> DataFrame:
     return grouped(flows, "app_category").agg(sum_bytes())
 
 
-def fill_time_gaps(buckets: DataFrame, step: str, measures: list[str], time: str = "time") -> DataFrame:
-    """Insert the missing buckets as zero rows.
+def _bucket(step_seconds: int) -> Column:
+    """Bucket number of the row's timestamp, independent of any session time zone."""
+    return F.floor(X.epoch_micros(F.col("timestamp")) / F.lit(step_seconds * 1_000_000))
+
+
+def fill_gaps(buckets: DataFrame, measures: list[str], step_seconds: int) -> DataFrame:
+    """Numbered buckets (column ``bucket``) to a gap-free time line with zero rows.
 
     Each present bucket emits itself and the empty run up to the next one, so no second pass
     and no join is needed. The window sees one row per present bucket, i.e. calendar-bounded.
     """
-    gap = F.expr(f"INTERVAL {step}")
-    following = F.lead(time).over(Window.orderBy(time))
+    following = F.lead("bucket").over(Window.orderBy("bucket"))
     spread = buckets.withColumn("_next", following).withColumn(
-        "_t", F.explode(F.sequence(F.col(time), F.coalesce(F.col("_next") - gap, F.col(time)), gap)))
-    own = F.col("_t") == F.col(time)
+        "_b", F.explode(F.sequence(F.col("bucket"), F.coalesce(F.col("_next") - 1, F.col("bucket")))))
     return spread.select(
-        F.col("_t").alias(time),
-        *[F.when(own, F.col(m)).otherwise(F.lit(0).cast("bigint")).alias(m) for m in measures])
-
-
-def bucket_start(unit: str, stamp: Column) -> Column:
-    if unit == "hour":
-        return F.date_trunc("hour", stamp).cast("timestamp_ntz")
-    minute = F.minute(stamp)
-    return F.date_trunc("hour", stamp).cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), (minute - minute % 5))
+        X.from_epoch_seconds(F.col("_b") * step_seconds).alias("time"),
+        *[F.when(F.col("_b") == F.col("bucket"), F.col(m)).otherwise(F.lit(0).cast("bigint")).alias(m)
+          for m in measures])
 
 
 def trend(flows: DataFrame, unit: str = "hour") -> DataFrame:
@@ -98,8 +94,8 @@ def trend(flows: DataFrame, unit: str = "hour") -> DataFrame:
     if unit not in _STEPS:
         raise ValueError(f"unit must be one of {sorted(_STEPS)}")
     buckets = (flows.where(F.col("timestamp").isNotNull())
-               .groupBy(bucket_start(unit, F.col("timestamp")).alias("time")).agg(sum_bytes()))
-    return fill_time_gaps(buckets, _STEPS[unit], ["bytes"])
+               .groupBy(_bucket(_STEPS[unit]).alias("bucket")).agg(sum_bytes()))
+    return fill_gaps(buckets, ["bytes"], _STEPS[unit])
 
 
 def active_hours(flows: DataFrame) -> DataFrame:
@@ -274,9 +270,9 @@ def anomaly_timeline(flows: DataFrame) -> DataFrame:
     scores 0; a zero deviation counts as 1.
     """
     hourly = (flows.where(F.col("timestamp").isNotNull())
-              .groupBy(bucket_start("hour", F.col("timestamp")).alias("time"))
+              .groupBy(_bucket(3600).alias("bucket"))
               .agg(sum_bytes(name="total_bytes"), rows("packet_count")))
-    spine = fill_time_gaps(hourly, "1 hour", ["total_bytes", "packet_count"])
+    spine = fill_gaps(hourly, ["total_bytes", "packet_count"], 3600)
     # One row per hour of the calendar: the unpartitioned window stays small.
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     value = F.col("total_bytes").cast("double")
