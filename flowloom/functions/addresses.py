@@ -14,10 +14,9 @@ PRIVATE_V4 = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.1
               "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
 PUBLIC_HOLES_V4 = ["192.0.0.9/32", "192.0.0.10/32"]
 PRIVATE_V6 = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32",
-              "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10"]
+              "2002::/16", "fc00::/7", "fe80::/10"]
 PUBLIC_HOLES_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
                    "2001:20::/28", "2001:30::/28"]
-RFC1918 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"]
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
@@ -35,45 +34,43 @@ def is_ipv4(text: Column) -> Column:
     return F.coalesce(shape & F.forall(parts, lambda p: p.between(0, 255)), F.lit(False))
 
 
-def ipv4_number(text: Column) -> Column:
-    """Dotted quad to a bigint; null when the text is no strict quad."""
-    parts = F.split(text, r"\.")
-    packed = reduce(lambda acc, i: acc * 256 + parts[i].cast("bigint"), range(1, 4), parts[0].cast("bigint"))
-    return F.when(is_strict_ipv4(text), packed)
+def _let(value: Column, body) -> Column:
+    """Bind an intermediate value once, so that expression trees stay linear in size."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _v4_hit(number: Column, ranges: list[str]) -> Column:
-    nets = [ipaddress.ip_network(r) for r in ranges]
-    tests = [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
-    return reduce(lambda a, b: a | b, tests)
+def _v4_private(text: Column) -> Column:
+    """The ranges of ``PRIVATE_V4`` as one pattern over a strict quad; two addresses are public."""
+    ranges = (r"^(0|10|127|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.0\.[02]\."
+              r"|^192\.168\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.")
+    return text.rlike(ranges) & is_strict_ipv4(text) & ~text.isin(*[h.split("/")[0] for h in PUBLIC_HOLES_V4])
 
 
 def ipv6_hex(text: Column) -> Column:
     """IPv6 text to 32 lower-case hex digits; null when malformed."""
-    base = F.lower(F.regexp_replace(text, r"%[^%]+$", ""))
-    # A dotted IPv4 tail becomes two hex groups first.
-    tail = F.regexp_extract(base, rf"^.*:({_QUAD})$", 1)
-    number = ipv4_number(tail)
-    as_groups = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"),
-                         F.lower(F.hex(number.bitwiseAND(F.lit(65535)))))
-    body = F.when(tail != "", F.concat(F.regexp_replace(base, r"[0-9.]+$", ""), as_groups)).otherwise(base)
-    halves = F.split(body, "::")
-
-    def groups(part: Column) -> Column:
-        return F.filter(F.split(part, ":"), lambda g: g != "")
-
-    left = groups(halves[0])
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    known = F.size(left) + F.size(right)
-    gap = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0000"), F.greatest(8 - known, F.lit(0)))).otherwise(
-        F.array().cast("array<string>"))
-    full = F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(g, 4, "0")), "")
-    well_formed = (body.rlike(r"^[0-9a-f:]+$")
-                   & ~body.rlike(r"[0-9a-f]{5}|:::")
-                   & ~body.rlike(r"^:[^:]|[^:]:$")
-                   & (F.size(halves) <= 2)
-                   & F.when(F.size(halves) == 2, known <= 7).otherwise(known == 8))
-    return F.when(F.coalesce(well_formed, F.lit(False)), full)
+    def octets_to_groups(address: Column) -> Column:
+        # A dotted IPv4 tail becomes two hex groups.
+        octets = F.split(F.regexp_extract(address, r"([0-9.]+)$", 1), r"\.")
+        digits = F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0")), "")
+        return _let(digits, lambda d: F.concat(F.regexp_replace(address, r"[0-9.]+$", ""), F.substring(d, 1, 4),
+                                               F.lit(":"), F.substring(d, 5, 4)))
+
+    def expand(address: Column) -> Column:
+        halves = F.split(address, "::")
+        left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
+        right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
+        short = F.contains(address, F.lit("::"))
+        known = F.size(left) + F.size(right)
+        zeros = F.when(short, F.array_repeat(F.lit("0000"), F.greatest(8 - known, F.lit(0)))).otherwise(
+            F.array_repeat(F.lit("0000"), 0))
+        full = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+        sound = (address.rlike(r"^[0-9a-f:]+$") & ~address.rlike(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$|::.*::")
+                 & F.when(short, known <= 7).otherwise(known == 8))
+        return F.when(sound, full)
+
+    lowered = F.lower(F.regexp_replace(text, r"%[^%]+$", ""))
+    plain = _let(lowered, lambda a: F.when(a.rlike(rf":{_QUAD}$"), octets_to_groups(a)).otherwise(a))
+    return _let(plain, expand)
 
 
 def _v6_hit(digits: Column, ranges: list[str]) -> Column:
@@ -82,16 +79,16 @@ def _v6_hit(digits: Column, ranges: list[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _v6_private(digits: Column) -> Column:
+    mapped = F.array_join(F.transform(F.sequence(F.lit(25), F.lit(31), F.lit(2)), lambda i: F.conv(
+        F.substr(digits, i, F.lit(2)), 16, 10)), ".")
+    return F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), _let(mapped, _v4_private)).otherwise(
+        _v6_hit(digits, PRIVATE_V6) & ~_v6_hit(digits, PUBLIC_HOLES_V6))
+
+
 def is_private(text: Column) -> Column:
     """True for every registered private range of either family; false for anything unparsable."""
-    number = ipv4_number(text)
-    v4 = _v4_hit(number, PRIVATE_V4) & ~_v4_hit(number, PUBLIC_HOLES_V4)
-    digits = ipv6_hex(text)
-    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    v6 = (F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")),
-                 _v4_hit(mapped, PRIVATE_V4) & ~_v4_hit(mapped, PUBLIC_HOLES_V4))
-          .otherwise(_v6_hit(digits, PRIVATE_V6) & ~_v6_hit(digits, PUBLIC_HOLES_V6)))
-    return F.coalesce(F.when(text.contains(":"), v6).otherwise(v4), F.lit(False))
+    return F.coalesce(F.when(text.contains(":"), _let(ipv6_hex(text), _v6_private)).otherwise(_v4_private(text)), F.lit(False))
 
 
 def is_rfc1918_text(text: Column) -> Column:
