@@ -300,7 +300,7 @@ def block_list(alerts: DataFrame) -> DataFrame:
 
 
 def risk_summary(alerts: DataFrame) -> DataFrame:
-    g = alerts.agg(F.coalesce(F.least(F.max("score"), F.lit(100)), F.lit(0)).alias("risk_score"), rows("total_alerts"),
+    g = alerts.agg(F.least(F.coalesce(F.max("score"), F.lit(0)), F.lit(100)).alias("risk_score"), rows("total_alerts"),
                    *[F.count_if(F.col("severity") == s).alias(f"{s}_alerts")
                      for s in ("critical", "high", "medium", "low")])
     return g.withColumn("risk_level", X.rule_severity(F.col("risk_score")))

@@ -7,6 +7,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom import schema as S
 from flowloom.sources.canonical import ImportFailure, canonicalise, synthesised_columns
@@ -14,7 +15,7 @@ from flowloom.sources.canonical import ImportFailure, canonicalise, synthesised_
 SUPPORTED_EXTENSIONS = ("csv", "pcap", "pcapng", "cap")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_gb18030(lines: pd.Series) -> pd.Series:
     def fine(raw: bytes) -> bool:
         try:
@@ -134,7 +135,7 @@ def scan_quality(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([("", "missing_column", c) for c in missing], "file string, rule string, value string")
     fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
     raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
-           .option("columnNameOfCorruptRecord", "_corrupt").schema(fields).csv(path)
+           .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(path)
            .withColumn("file", F.col("_metadata.file_name")))
     return quality_issues(raw, "file")
 
