@@ -103,18 +103,12 @@ def user_card(flows: DataFrame, user: str | None = None) -> DataFrame:
 
 
 def user_full_report(flows: DataFrame, user: str | None = None) -> DataFrame:
-    """Card, ratios, peak and nested profile of one user, or of every user at once."""
-    if user is not None:
-        own = flows.where(F.col("user") == user)
-        # Tags need the whole population, the other parts only this user's rows.
-        nested = P.profiles(flows).where(F.col("user") == user)
-    else:
-        own, nested = flows, P.profiles(flows)
-    out = user_card(own)
-    for part in (P.encrypted_share(own), P.connection_rate(own), P.peak_bandwidth(own), P.protocol_diversity(own),
-                 P.download_upload(own), nested.drop("total_bytes", "total_packets")):
-        out = out.join(part, "user", "left")
-    return out
+    """Card, ratios, peak and nested profile of one user, or of every user at once.
+
+    Tags compare with the whole population, so all users are profiled in either case.
+    """
+    full = P.full_reports(flows)
+    return full if user is None else full.where(F.col("user") == user)
 
 
 def global_tables(flows: DataFrame) -> dict[str, DataFrame]:

@@ -81,4 +81,6 @@ def endpoints(flows: DataFrame) -> DataFrame:
     source is already spread over its destinations.
     """
     return grouped(flows, "user", "src_ip", "dst_ip", "dst_port").agg(
-        rows("n"), sum_bytes(), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+        rows("n"), sum_bytes(), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
+        F.expr("count_if(hour(timestamp) BETWEEN 0 AND 5) AS night_rows"),
+        F.expr("coalesce(sum(CASE WHEN hour(timestamp) BETWEEN 0 AND 5 THEN bytes END), 0L) AS night_bytes"))

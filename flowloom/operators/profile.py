@@ -150,6 +150,9 @@ def user_features(flows: DataFrame) -> DataFrame:
         in_hours("late_bytes", 22, 23, 0, 1, 2),
         in_hours("early_bytes", 6, 7, 8, 9),
         in_hours("night_bytes", 0, 1, 2, 3, 4, 5),
+        # At most 24 hours and one null hour per user.
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(hour.isNotNull(), F.struct(
+            hour.alias("k"), F.struct(size.alias("bytes"), F.col("n").alias("count")).alias("v")))))).alias("hours_map"),
         F.sum(b).cast("decimal(19,0)").alias("s"),
         F.sum((b * b).cast("decimal(37,0)")).cast("decimal(37,0)").alias("q"))
     spread = (F.col("q") * 24 - (F.col("s") * F.col("s"))).cast("double")
@@ -157,29 +160,75 @@ def user_features(flows: DataFrame) -> DataFrame:
             .withColumn("peak_hour", -F.col("peak.neg_hour")).drop("s", "q", "peak"))
 
 
-def _map_of(frame: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Key/value rows of a user folded to one map; the key sets are small and closed."""
-    pair = F.struct(F.col(key).alias("k"), value.alias("v"))
-    return frame.groupBy("user").agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias(name))
+def breakdown_maps(flows: DataFrame) -> DataFrame:
+    """Protocol percentages and daily bytes per user from one scan and one shuffle.
 
+    Each flow feeds both break-downs; partial aggregation folds them before the shuffle. The
+    maps stay small: protocols are a closed set, days are the calendar.
+    """
+    pairs = F.array(F.struct(F.lit("protocol").alias("kind"), F.col("protocol").alias("key")),
+                    F.struct(F.lit("day").alias("kind"), F.to_date("timestamp").cast("string").alias("key")))
+    sums = (flows.where(F.col("user").isNotNull()).select("user", "bytes", F.inline(pairs))
+            .where(F.col("key").isNotNull()).groupBy("user", "kind", "key").agg(sum_bytes()))
 
-def profiles(flows: DataFrame) -> DataFrame:
-    """Nested profile rows: tags, shares, hours, protocols, watched ports, DNS and daily bytes."""
+    def entries(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "bytes"))))
+
+    folded = sums.groupBy("user").agg(entries("protocol").alias("p"), entries("day").alias("d"),
+                                      F.sum(F.when(F.col("kind") == "protocol", F.col("bytes"))).alias("total"))
+    share = F.transform("p", lambda e: F.struct(e["key"].alias("key"), X.share_pct(e["bytes"], F.col("total")).alias("pct")))
+    return folded.select("user", F.map_from_entries(share).alias("protocol_ratio"), F.map_from_entries("d").alias("daily_bytes"))
+
+
+def profile_rows(flows: DataFrame) -> DataFrame:
+    """Feature columns, tags and all profile maps per user: two scans of the flows, one join."""
     from flowloom.operators.tags import tagged_users
 
-    hours = _map_of(hourly_activity(flows), "hour", F.struct("bytes", "count"), "active_hours")
-    shares = _map_of(category_share(flows), "category", F.col("pct"), "category_pct")
-    protocols = _map_of(protocol_share(flows), "protocol", F.col("pct"), "protocol_ratio")
-    ports = _map_of(watched_ports(flows), "port", F.col("hits"), "port_stats")
-    days = _map_of(daily_bytes(flows).withColumn("day", F.col("date").cast("string")), "day", F.col("bytes"), "daily_bytes")
-    base = tagged_users(flows).select(
-        "user", "tags", F.col("bytes").alias("total_bytes"), F.col("n").alias("total_packets"),
-        F.struct(F.col("dns_rows").alias("dns_queries"), "dns_bytes").alias("dns_stats"))
-    for part in (shares, hours, protocols, ports, days):
-        base = base.join(part, "user", "left")
-    empty = {"category_pct": "map<string,double>", "active_hours": "map<int,struct<bytes:bigint,count:bigint>>",
-             "protocol_ratio": "map<string,double>", "port_stats": "map<int,bigint>", "daily_bytes": "map<string,bigint>"}
-    return base.withColumns({name: F.coalesce(F.col(name), F.create_map().cast(kind)) for name, kind in empty.items()})
+    def entry_map(pairs: list, kind: str, positive: str) -> Column:
+        listed = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v"), F.col(c).alias("n")) for k, v, c in pairs])
+        kept = F.filter(listed, lambda e: e["n"] > 0)
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"]))).cast(kind).alias(positive)
+
+    shares = [(c, X.share_pct(F.col(f"cat_{c}"), F.col("bytes")), f"cat_{c}") for c in sorted(_CLASSES)]
+    ports = [(p, F.col(f"port_{p}_rows"), f"port_{p}_rows") for p in sorted(S.WATCHED_PORTS)]
+    base = tagged_users(flows).withColumns({
+        "category_pct": entry_map(shares, "map<string,double>", "category_pct"),
+        "port_stats": entry_map(ports, "map<int,bigint>", "port_stats"),
+        "dns_stats": F.struct(F.col("dns_rows").alias("dns_queries"), F.col("dns_bytes")),
+    }).withColumnRenamed("hours_map", "active_hours_map")
+    empty = {"protocol_ratio": "map<string,double>", "daily_bytes": "map<string,bigint>"}
+    return base.join(breakdown_maps(flows), "user", "left").withColumns(
+        {name: F.coalesce(F.col(name), F.create_map().cast(kind)) for name, kind in empty.items()})
+
+
+_SECTIONS = ["tags", "category_pct", "active_hours_map", "protocol_ratio", "port_stats", "dns_stats", "daily_bytes"]
+
+
+def profiles(flows: DataFrame) -> DataFrame:
+    """Nested profile rows: tags, shares, hours, protocols, watched ports, DNS and daily bytes."""
+    return profile_rows(flows).select(
+        "user", F.col("bytes").alias("total_bytes"), F.col("n").alias("total_packets"), *_SECTIONS).withColumnRenamed(
+        "active_hours_map", "active_hours")
+
+
+def full_reports(flows: DataFrame) -> DataFrame:
+    """Profile sections plus range, ratios, peak and reach of every user."""
+    reach = grouped(flows, "user").agg(F.countDistinct("dst_ip").alias("unique_destinations"))
+    hours = F.coalesce(span_seconds(F.col("first_ts"), F.col("last_ts")), F.lit(0.0)) / F.lit(3600.0)
+    names = F.array_sort(F.map_keys("protocol_ratio"))
+    return profile_rows(flows).join(reach, "user", "left").withColumn("h", hours).select(
+        "user", F.col("bytes").alias("total_bytes"), F.col("n").alias("packet_count"),
+        F.coalesce("unique_destinations", F.lit(0)).alias("unique_destinations"),
+        F.col("first_ts").alias("range_start"), F.col("last_ts").alias("range_end"),
+        F.col("tls_rows").alias("encrypted_packets"), (F.col("n") - F.col("tls_rows")).alias("unencrypted_packets"),
+        X.share_pct(F.col("tls_rows"), F.col("n")).alias("encryption_ratio"),
+        F.when(F.col("h") > 0, X.round_half_up(_double("n") / F.col("h"), 2)).otherwise(0.0).alias("connections_per_hour"),
+        F.when(F.col("h") > 0, X.round_half_up(F.col("h"), 2)).otherwise(0.0).alias("total_hours"),
+        X.round_half_up(_double("max_hour_bytes") / F.lit(3600.0), 2).alias("peak_bytes_per_second"), "peak_hour",
+        F.col("max_hour_bytes").alias("total_peak_bytes"), F.size(names).alias("unique_protocols"), names.alias("protocols"),
+        "download_bytes", "upload_bytes",
+        F.when(F.col("upload_bytes") > 0, X.round_half_up(_double("download_bytes") / _double("upload_bytes"), 2)).alias("ratio"),
+        *_SECTIONS).withColumnRenamed("active_hours_map", "active_hours")
 
 
 def text_summary(flows: DataFrame) -> DataFrame:

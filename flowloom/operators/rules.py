@@ -2,8 +2,7 @@
 
 Group rules read the endpoint roll-up instead of the raw flows: ports and targets are counted
 on already distinct (user, source, destination, port) rows, and a hot source is spread over
-its destinations before the last aggregation. In one query the roll-up's shuffle is reused by
-all rules.
+its destinations before the last aggregation.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from flowloom import schema as S
 from flowloom.functions import quantiles as Q
 from flowloom.functions import scalars as X
 from flowloom.operators.common import endpoints, grouped, rows, span_seconds, sum_bytes
+from flowloom.session import durable
 
 RULES = ["reconnaissance", "sensitive_service", "traffic_anomaly", "off_hours_activity", "prompt_injection",
          "ai_agent_activity", "web_payload_attack", "dns_tunneling", "data_exfiltration", "port_sweep", "beaconing"]
@@ -112,7 +112,10 @@ def sensitive_service(flows: DataFrame, ends: DataFrame | None = None) -> DataFr
 
 
 def traffic_anomaly(flows: DataFrame) -> DataFrame:
-    """Among the five largest users: five times the median user and at least 10 MiB."""
+    """Among the five largest users: five times the median user and at least 10 MiB.
+
+    Works on flows or on the endpoint roll-up alike: only users and bytes are read.
+    """
     per_user = grouped(flows, "user").agg(sum_bytes())
     median = F.greatest(F.floor(Q.exact_quantiles(per_user, "bytes", {"m": 0.5}).scalar()), F.lit(1)).cast("double")
     population = per_user.agg(rows("c")).scalar()
@@ -125,8 +128,12 @@ def traffic_anomaly(flows: DataFrame) -> DataFrame:
                   "user")
 
 
-def off_hours(flows: DataFrame) -> DataFrame:
-    g = grouped(flows.where(F.hour("timestamp").between(0, 5)), "user").agg(rows("packets"), sum_bytes())
+def off_hours(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    if ends is None:
+        g = grouped(flows.where(F.hour("timestamp").between(0, 5)), "user").agg(rows("packets"), sum_bytes())
+    else:
+        g = ends.where("night_rows > 0").groupBy("user").agg(
+            F.sum("night_rows").alias("packets"), F.sum("night_bytes").alias("bytes"))
     hit = (F.col("packets") >= 10) | (F.col("bytes") >= 5 * S.MIB)
     return _alert(g.where(hit), "off_hours_activity", F.least(F.lit(78), 36 + F.col("packets") * 2), F.col("user"),
                   [_label("rows", F.col("packets")), _label("bytes", X.human_bytes_wide(F.col("bytes")))], "user")
@@ -168,8 +175,9 @@ def text_rule_hits(df: DataFrame, key: str, text: Column) -> DataFrame:
             .select(key, F.inline(parts)).where(F.col("terms") != ""))
 
 
-def dns_tunneling(flows: DataFrame) -> DataFrame:
-    g = grouped(flows.where(F.col("dst_port") == 53), "user").agg(rows("queries"), sum_bytes())
+def dns_tunneling(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    count = rows("queries") if ends is None else F.sum("n").alias("queries")
+    g = grouped((flows if ends is None else ends).where(F.col("dst_port") == 53), "user").agg(count, sum_bytes())
     mean = F.col("bytes").cast("double") / F.col("queries").cast("double")
     hit = (F.col("queries") > 100) & (mean > 100.0)
     score = F.least(F.lit(95).cast("bigint"), 50 + F.least(F.floor(F.col("queries") / 10), F.lit(30))
@@ -256,10 +264,15 @@ def beaconing(flows: DataFrame) -> DataFrame:
 
 
 def all_alerts(flows: DataFrame) -> DataFrame:
-    """Union of all rules; the endpoint roll-up is planned once and its shuffle reused."""
-    ends = endpoints(flows)
-    parts = [reconnaissance(flows, ends), sensitive_service(flows, ends), traffic_anomaly(flows), off_hours(flows),
-             text_indicators(flows), dns_tunneling(flows), data_exfiltration(flows, ends), port_sweep(flows, ends),
+    """Union of all rules.
+
+    Seven rules read the endpoint roll-up, which is written to the checkpoint folder once: left
+    lazy, column pruning would give each rule its own scan and shuffle of the flows. Text and
+    beacon rules scan the flows themselves, so the table is read three times in all.
+    """
+    ends = durable(endpoints(flows))
+    parts = [reconnaissance(flows, ends), sensitive_service(flows, ends), traffic_anomaly(ends), off_hours(flows, ends),
+             text_indicators(flows), dns_tunneling(flows, ends), data_exfiltration(flows, ends), port_sweep(flows, ends),
              beaconing(flows)]
     out = parts[0]
     for part in parts[1:]:
@@ -307,8 +320,8 @@ def risk_summary(alerts: DataFrame) -> DataFrame:
 
 
 def report(flows: DataFrame) -> dict[str, DataFrame]:
-    """Alerts, block list and summary as three lazy frames over the same plan."""
-    alerts = all_alerts(flows)
+    """Alerts, block list and summary, all from alerts that are evaluated once."""
+    alerts = durable(all_alerts(flows))
     return {"alerts": with_alert_ids(alerts), "block_list": block_list(alerts), "summary": risk_summary(alerts)}
 
 

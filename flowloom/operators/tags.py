@@ -9,6 +9,7 @@ from flowloom import schema as S
 from flowloom.functions import quantiles as Q
 from flowloom.operators.common import grouped, sum_bytes
 from flowloom.operators.profile import user_features
+from flowloom.session import durable
 
 _CLASSES = [*S.BROAD_CLASSES, "others"]
 
@@ -67,18 +68,21 @@ def _marks(names: list[str]) -> Column:
 def with_baselines(features: DataFrame, median_variance: bool = True) -> DataFrame:
     """Add the population figures as uncorrelated scalar subqueries (one row each, no join)."""
     size = F.col("bytes").cast("double")
-    mean = features.agg(F.avg(size).alias("m")).scalar()
-    deviation = features.agg(F.stddev_samp(size).alias("s")).scalar()
+    stats = features.agg(F.struct(F.avg(size).alias("m"), F.stddev_samp(size).alias("s")).alias("st")).scalar()
     median = (Q.exact_quantiles(features.where(F.col("active_hours") > 0), "variance", {"m": 0.5}, Q.double_key).scalar()
               if median_variance else F.lit(0.0))
     return features.withColumns({
-        "pop_mean": F.coalesce(mean, F.lit(0.0)), "pop_std": F.coalesce(deviation, F.lit(0.0)),
+        "pop_mean": F.coalesce(stats["m"], F.lit(0.0)), "pop_std": F.coalesce(stats["s"], F.lit(0.0)),
         "median_variance": F.coalesce(median, F.lit(0.0))})
 
 
 def tagged_users(flows: DataFrame) -> DataFrame:
-    """Feature rows with ``tags array<string>`` in rule order."""
-    return with_baselines(user_features(flows)).withColumn("tags", _marks(TAGS))
+    """Feature rows with ``tags array<string>`` in rule order.
+
+    The feature rows feed the baselines as well as the tags, so they are written once: one scan
+    of the flows instead of one per baseline.
+    """
+    return with_baselines(durable(user_features(flows))).withColumn("tags", _marks(TAGS))
 
 
 def user_tags(flows: DataFrame, *names: str) -> DataFrame:
@@ -87,7 +91,7 @@ def user_tags(flows: DataFrame, *names: str) -> DataFrame:
     ready = user_features(flows)
     needs = {c for c in ("pop_mean", "median_variance") if any(c in TAG_RULES[t] for t in wanted)}
     if needs:
-        ready = with_baselines(ready, "median_variance" in needs)
+        ready = with_baselines(durable(ready), "median_variance" in needs)
     return ready.select("user", F.explode(_marks(wanted)).alias("tag"))
 
 
