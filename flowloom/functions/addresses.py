@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,8 +74,8 @@ def ipv6_hex(text: Column) -> Column:
 
 def _v6_hit(digits: Column, ranges: list[str]) -> Column:
     nets = [ipaddress.ip_network(r) for r in ranges]
-    tests = [digits.between(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in nets]
-    return reduce(lambda a, b: a | b, tests)
+    table = ", ".join(f"struct('{int(n.network_address):032x}' AS lo, '{int(n.broadcast_address):032x}' AS hi)" for n in nets)
+    return F.exists(F.expr(f"array({table})"), lambda r: digits.between(r["lo"], r["hi"]))
 
 
 def _v6_private(digits: Column) -> Column:

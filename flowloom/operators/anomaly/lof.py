@@ -33,7 +33,11 @@ def distinct_points(vectors: DataFrame) -> DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
+    """Pairwise distances, one coordinate at a time: exact differences in little memory."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j, None] - b[None, :, j]) ** 2
+    return np.sqrt(total)
 
 
 def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -38,6 +38,7 @@ TEXT_RULES = {
     "ai_agent_activity": (S.AGENT_TERMS, 64),
     "web_payload_attack": (S.WEB_ATTACK_TERMS, 88),
 }
+ALL_TERMS = [term for terms, _ in TEXT_RULES.values() for term in terms]
 
 
 def clean_flows(df: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def indicator_text(df: DataFrame) -> Column:
 
 def text_indicators(flows: DataFrame) -> DataFrame:
     """Per-row alerts of the three text rules in one scan; evidence is the first five terms."""
-    found = flows.withColumn("_text", indicator_text(flows))
+    # The pattern test runs in generated code; terms are listed for its hits only.
+    found = flows.where(X.has_any_term(indicator_text(flows), ALL_TERMS)).withColumn("_text", indicator_text(flows))
     parts = F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(score).alias("score"),
                                X.matched_terms(F.col("_text"), terms).alias("terms"))
                       for name, (terms, score) in TEXT_RULES.items()])
@@ -171,7 +173,7 @@ def text_rule_hits(df: DataFrame, key: str, text: Column) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(name).alias("rule"),
                                F.array_join(F.slice(X.matched_terms(F.col("_text"), terms), 1, 5), ", ").alias("terms"))
                       for name, (terms, _) in TEXT_RULES.items()])
-    return (df.select(F.col(key), F.lower(text).alias("_text"))
+    return (df.where(X.has_any_term(F.lower(text), ALL_TERMS)).select(F.col(key), F.lower(text).alias("_text"))
             .select(key, F.inline(parts)).where(F.col("terms") != ""))
 
 
@@ -222,9 +224,11 @@ def connection_gaps(flows: DataFrame, chunk_seconds: int = 300) -> DataFrame:
     gap across a chunk border comes from the chunk summaries, one row per chunk in use.
     """
     keys = ["user", "src_ip", "dst_ip"]
-    moments = grouped(flows.where(F.col("timestamp").isNotNull()), *keys, "timestamp").agg(rows("n")).withColumn(
-        "us", X.epoch_micros(F.col("timestamp"))).withColumn(
-        "chunk", F.floor(F.col("us") / F.lit(chunk_seconds * 1_000_000)))
+    us = X.epoch_micros(F.col("timestamp"))
+    spread = flows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "timestamp"])).select(
+        *keys, us.alias("us"), F.floor(us / F.lit(chunk_seconds * 1_000_000)).alias("chunk")).repartition(*keys, "chunk")
+    # One shuffle serves the distinct timestamps, the ordering and the chunk summaries.
+    moments = spread.groupBy(*keys, "chunk", "us").agg(rows("n"))
     inside = moments.withColumn(
         "gap", F.col("us") - F.lag("us").over(Window.partitionBy(*keys, "chunk").orderBy("us")))
 

@@ -58,11 +58,13 @@ def canonicalise(raw: DataFrame, ingest_ts: str | datetime, keep: list[str] | No
     if "src_ip" not in source or "dst_ip" not in source:
         raise ImportFailure("source and destination address columns are needed")
 
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+
     def cell(name: str) -> Column:
         if name not in source:
             return F.lit(None).cast("string")
-        value = F.col("`" + source[name].replace("`", "``") + "`").cast("string")
-        return F.when(~value.isin(NULL_TOKENS), value)
+        value = "cast(`" + source[name].replace("`", "``") + "` AS string)"
+        return F.expr(f"CASE WHEN {value} NOT IN ({tokens}) THEN {value} END")
 
     def text(name: str, default: str) -> Column:
         return F.coalesce(F.trim(cell(name)), F.lit(default))

@@ -143,26 +143,30 @@ def port_scan_windows(flows: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     the number of covering ports is one running sum, however many flows there are.
     """
     reach, chunk = S.LIVE_SCAN_SECONDS * 1_000_000, chunk_seconds * 1_000_000
-    timed = flows.select("flow_id", "src_ip", "dst_port", X.epoch_micros(F.col("timestamp")).alias("us"))
-    hits = timed.groupBy("src_ip", "us", "dst_port").agg(F.count(F.lit(1)).alias("n"))
-    own = F.floor(F.col("us") / F.lit(chunk))
+    timed = flows.select("flow_id", "src_ip", "dst_port", X.epoch_micros(F.col("timestamp")).alias("us")).where(
+        "src_ip IS NOT NULL AND us IS NOT NULL")
     last = F.floor((F.col("us") + F.lit(reach)) / F.lit(chunk))
-    copies = hits.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.col("own"), last)))
+    # One shuffle by (source, chunk) serves every step up to the counts.
+    copies = (timed.withColumn("own", F.floor(F.col("us") / F.lit(chunk)))
+              .withColumn("chunk", F.explode(F.sequence(F.col("own"), last))).repartition("src_ip", "chunk")
+              .groupBy("src_ip", "chunk", "us", "dst_port").agg(F.first("own").alias("own")))
     port = Window.partitionBy("src_ip", "chunk", "dst_port").orderBy("us")
     before, after = F.lag("us").over(port), F.lead("us").over(port)
     marked = copies.withColumns({"fresh": before.isNull() | (F.col("us") - before > reach),
                                  "ends": after.isNull() | (after - F.col("us") > reach)})
+
+    def step(at: Column, delta: int, probe: bool) -> Column:
+        return F.struct(at.alias("at"), F.lit(delta).alias("delta"), F.lit(probe).alias("probe"))
+
     # Coverage starts with the hit and ends one microsecond after its last half minute.
-    steps = F.array_compact(F.array(
-        F.when(F.col("fresh"), F.struct(F.col("us").alias("at"), F.lit(1).alias("delta"))),
-        F.when(F.col("ends"), F.struct((F.col("us") + reach + 1).alias("at"), F.lit(-1).alias("delta")))))
+    steps = F.array_compact(F.array(F.when(F.col("fresh"), step(F.col("us"), 1, False)),
+                                    F.when(F.col("ends"), step(F.col("us") + reach + 1, -1, False)),
+                                    F.when(F.col("own") == F.col("chunk"), step(F.col("us"), 0, True))))
     changes = marked.select("src_ip", "chunk", F.inline(steps)).groupBy("src_ip", "chunk", "at").agg(
-        F.sum("delta").alias("delta"))
-    moments = copies.where(F.col("own") == F.col("chunk")).select(
-        "src_ip", "chunk", F.col("us").alias("at"), F.lit(0).cast("bigint").alias("delta")).distinct()
-    run = Window.partitionBy("src_ip", "chunk").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    counted = (changes.withColumn("probe", F.lit(False)).unionByName(moments.withColumn("probe", F.lit(True)))
-               .withColumn("ports", F.sum("delta").over(run)).where(F.col("probe") & (F.col("ports") >= S.LIVE_SCAN_PORTS))
+        F.sum("delta").alias("delta"), F.bool_or("probe").alias("probe"))
+    run = Window.partitionBy("src_ip", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (changes.withColumn("ports", F.sum("delta").over(run))
+               .where(F.col("probe") & (F.col("ports") >= S.LIVE_SCAN_PORTS))
                .select("src_ip", F.col("at").alias("us"), "ports"))
     return timed.join(counted, ["src_ip", "us"]).select("flow_id", "src_ip", "dst_port", "ports")
 
