@@ -10,6 +10,7 @@ from flowloom.functions import quantiles as Q
 from flowloom.functions import scalars as X
 from flowloom.operators.common import endpoints
 from flowloom.operators.profile import user_features
+from flowloom.session import durable
 
 CONTAMINATION, TOP_N, MIN_USERS, SEED = 0.1, 10, 5, 42
 
@@ -67,8 +68,11 @@ def scaled_scores(raw: DataFrame, column: str = "outlyingness") -> DataFrame:
 
 
 def flag_outliers(raw: DataFrame, users: int, contamination: float = CONTAMINATION) -> DataFrame:
-    """Scores plus the flag: beyond the (1 - contamination) quantile of the outlyingness."""
-    keyed = raw.withColumn("_k", F.floor((F.col("outlyingness") + 10.0) * 1e9 + 0.5))
+    """Scores plus the flag: beyond the (1 - contamination) quantile of the outlyingness.
+
+    The raw values are written once: range, quantile and result would each run the model again.
+    """
+    keyed = durable(raw).withColumn("_k", F.floor((F.col("outlyingness") + 10.0) * 1e9 + 0.5))
     cut = Q.exact_quantiles(keyed, "_k", {"cut": 1.0 - contamination_for(users, contamination)}).scalar()
     return scaled_scores(keyed.withColumn("is_anomaly", F.col("_k").cast("double") > cut)).drop("_k")
 

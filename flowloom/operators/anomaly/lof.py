@@ -172,4 +172,4 @@ def outlyingness(vectors: DataFrame, users: int, k: int = NEIGHBOURS) -> DataFra
 
 
 def detect(vectors: DataFrame, users: int, contamination: float = U.CONTAMINATION) -> DataFrame:
-    return U.flag_outliers(durable(outlyingness(vectors, users)), users, contamination)
+    return U.flag_outliers(outlyingness(vectors, users), users, contamination)

@@ -288,9 +288,10 @@ def with_alert_ids(alerts: DataFrame) -> DataFrame:
     """Consecutive ids SEC-0001, SEC-0002, ... in rule order, numbered without one global sort.
 
     Alerts are ranked inside (rule, hash prefix) buckets; the bucket offsets come from a
-    running sum over at most 11 x 4096 count rows.
+    running sum over at most 11 x 4096 count rows. Counting and ranking both read the alerts,
+    so they are written once first.
     """
-    digest = alerts.withColumn("digest", F.md5("alert_key")).withColumn("bucket", F.substring("digest", 1, 3))
+    digest = durable(alerts).withColumn("digest", F.md5("alert_key")).withColumn("bucket", F.substring("digest", 1, 3))
     sizes = digest.groupBy("rule_no", "bucket").agg(rows("size"))
     before = F.coalesce(F.sum("size").over(
         Window.orderBy("rule_no", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -325,8 +326,8 @@ def risk_summary(alerts: DataFrame) -> DataFrame:
 
 def report(flows: DataFrame) -> dict[str, DataFrame]:
     """Alerts, block list and summary, all from alerts that are evaluated once."""
-    alerts = durable(all_alerts(flows))
-    return {"alerts": with_alert_ids(alerts), "block_list": block_list(alerts), "summary": risk_summary(alerts)}
+    alerts = with_alert_ids(all_alerts(flows))
+    return {"alerts": alerts, "block_list": block_list(alerts), "summary": risk_summary(alerts)}
 
 
 def attack_sources(flows: DataFrame, blocked: DataFrame) -> DataFrame:
