@@ -125,7 +125,7 @@ def traffic_anomaly(flows: DataFrame) -> DataFrame:
     hit = (F.col("users") >= 2) & (F.col("ratio") >= 5.0) & (F.col("bytes") >= 10 * S.MIB)
     score = F.least(F.lit(85).cast("bigint"), F.floor(F.lit(35.0) + F.col("ratio") * 6.0))
     return _alert(biggest.where(hit), "traffic_anomaly", score, F.col("user"),
-                  [_label("bytes", X.human_bytes_wide(F.col("bytes"))), _label("times_median", _one_digit(F.col("ratio")))],
+                  [_label("bytes", X.human_bytes_wide("bytes")), _label("times_median", _one_digit(F.col("ratio")))],
                   "user")
 
 
@@ -137,7 +137,7 @@ def off_hours(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
             F.sum("night_rows").alias("packets"), F.sum("night_bytes").alias("bytes"))
     hit = (F.col("packets") >= 10) | (F.col("bytes") >= 5 * S.MIB)
     return _alert(g.where(hit), "off_hours_activity", F.least(F.lit(78), 36 + F.col("packets") * 2), F.col("user"),
-                  [_label("rows", F.col("packets")), _label("bytes", X.human_bytes_wide(F.col("bytes")))], "user")
+                  [_label("rows", F.col("packets")), _label("bytes", X.human_bytes_wide("bytes"))], "user")
 
 
 def indicator_text(df: DataFrame) -> Column:
@@ -148,7 +148,7 @@ def indicator_text(df: DataFrame) -> Column:
 
 def text_indicators(flows: DataFrame) -> DataFrame:
     """Per-row alerts of the three text rules in one scan; evidence is the first five terms."""
-    # The pattern test runs in generated code; terms are listed for its hits only.
+    # A cheap yes/no test first; terms are listed for its hits only.
     found = flows.where(X.has_any_term(indicator_text(flows), ALL_TERMS)).withColumn("_text", indicator_text(flows))
     parts = F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(score).alias("score"),
                                X.matched_terms(F.col("_text"), terms).alias("terms"))
@@ -185,7 +185,7 @@ def dns_tunneling(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     score = F.least(F.lit(95).cast("bigint"), 50 + F.least(F.floor(F.col("queries") / 10), F.lit(30))
                     + F.least(F.floor(mean / 10.0), F.lit(15)))
     return _alert(g.where(hit), "dns_tunneling", score, F.col("user"),
-                  [_label("queries", F.col("queries")), _label("bytes", X.human_bytes_wide(F.col("bytes"))),
+                  [_label("queries", F.col("queries")), _label("bytes", X.human_bytes_wide("bytes")),
                    _label("mean", _one_digit(mean))], "user")
 
 
@@ -197,7 +197,7 @@ def data_exfiltration(flows: DataFrame, ends: DataFrame | None = None) -> DataFr
                     + F.col("targets") * 3)
     reason = F.concat(F.lit("data_exfiltration port "), F.col("dst_port").cast("string"))
     return _alert(g.where(F.col("bytes") >= 10 * S.MIB), "data_exfiltration", score, F.col("user"),
-                  [_label("port", F.col("dst_port")), _label("bytes", X.human_bytes_wide(F.col("bytes"))),
+                  [_label("port", F.col("dst_port")), _label("bytes", X.human_bytes_wide("bytes")),
                    _label("targets", F.col("targets"))], "user", reason)
 
 
