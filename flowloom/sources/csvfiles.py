@@ -145,8 +145,15 @@ def write_profiles(profiles: DataFrame, path: str) -> None:
 
 
 def read_profiles(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Profiles back from JSON with the schema of a profile frame, maps included."""
-    return spark.read.schema(like.schema).json(path)
+    """Profiles back from JSON with the schema of a profile frame.
+
+    JSON keys are texts: maps are read with text keys and cast to the wanted key type.
+    """
+    def as_text_keys(kind: T.DataType) -> T.DataType:
+        return T.MapType(T.StringType(), kind.valueType) if isinstance(kind, T.MapType) else kind
+
+    texts = T.StructType([T.StructField(f.name, as_text_keys(f.dataType)) for f in like.schema])
+    return spark.read.schema(texts).json(path).select(*[F.col(f.name).cast(f.dataType) for f in like.schema])
 
 
 def export_csv(flows: DataFrame, path: str) -> None:
