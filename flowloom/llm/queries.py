@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontamination, language, minhash, mixing, neighbours, quality, substring, webtext
+from flowloom.llm import chat, decontamination, language, minhash, mixing, neighbours, quality, substring, suffixes, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op3_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_sorted_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = quality.held_out(3, 1)
@@ -80,7 +85,7 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_nb_svm_quality, op2_entropy_mixing, op3_debruijn_substrings, op5_cross_parsing_language, op6_template_decontamination,
+    op1_nb_svm_quality, op2_entropy_mixing, op3_debruijn_substrings, op4_suffix_sorted_bytes, op5_cross_parsing_language, op6_template_decontamination,
     op7_event_sourced_chat, op8_tree_scored_pages, op9_bagminhash, op10_block_matrix_neighbours)}
 
 _FINE = """vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_or([x <> 0 FOR x IN embedding])
