@@ -78,12 +78,14 @@ def _windows(width: int, seed: int):
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("digest", pa.binary())])
+    """Digests of the asked stretches under their source coordinates, each once a batch."""
+    schema = pa.schema([("src_doc", pa.int64()), ("src_tk", pa.int32()), ("src_a", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])
     for batch in batches:
-        out = []
-        for text, doc, tk, spans in zip(*(batch[c].to_pylist() for c in ("text", "doc_id", "tk", "spans"))):
+        out = set()
+        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
             words = text.encode().split()
-            out += [(doc, tk, s["a"], s["b"], hashlib.md5(b" ".join(words[s["a"]:s["b"]])).digest()) for s in spans]
+            out.update((s["src_doc"], s["src_tk"], s["src_a"], s["b"] - s["a"],
+                        hashlib.md5(b" ".join(words[s["a"]:s["b"]])).digest()) for s in spans)
         columns = list(zip(*out)) if out else [[]] * 5
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -163,18 +165,15 @@ def repeated_paths(docs: DataFrame, work: Workspace, width: int = WIDTH, k: int
 
 
 def _verified(docs: DataFrame, paths: DataFrame) -> bool:
-    """Whether the words at both coordinates of every path are the same."""
-    length = F.col("b") - F.col("a")
+    """Whether all copies of a path have the words at its source coordinates."""
     source = paths.select(F.col("src_doc").alias("doc_id"), F.col("src_tk").alias("tk"), F.col("src_a").alias("a"),
-                          (F.col("src_a") + length).alias("b"))
-    asked = paths.select(*_KEY, "a", "b").unionByName(source).distinct().groupBy(*_KEY).agg(
-        F.collect_list(F.struct("a", "b")).alias("spans"))
-    digests = docs.join(asked, _KEY).select(*_KEY, "text", "spans").mapInArrow(
-        _digests, "doc_id long, tk int, a int, b int, digest binary").distinct()
-    left = paths.withColumn("src_b", F.col("src_a") + length).join(digests, [*_KEY, "a", "b"])
-    right = digests.select(F.col("doc_id").alias("src_doc"), F.col("tk").alias("src_tk"), F.col("a").alias("src_a"),
-                           F.col("b").alias("src_b"), F.col("digest").alias("expected"))
-    wrong = left.join(right, ["src_doc", "src_tk", "src_a", "src_b"]).where("digest <> expected")
+                          (F.col("src_a") + F.col("b") - F.col("a")).alias("b"), "src_doc", "src_tk", "src_a").distinct()
+    asked = paths.select(*source.columns).unionAll(source).groupBy(*_KEY).agg(
+        F.collect_list(F.struct("a", "b", "src_doc", "src_tk", "src_a")).alias("spans"))
+    digests = docs.join(asked, _KEY).select("text", "spans").mapInArrow(
+        _digests, "src_doc long, src_tk int, src_a int, n int, digest binary")
+    wrong = digests.groupBy("src_doc", "src_tk", "src_a", "n").agg(
+        F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
     return wrong.limit(1).count() == 0
 
 
