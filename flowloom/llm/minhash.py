@@ -22,7 +22,7 @@ from flowloom.llm.components import components
 from flowloom.llm.storage import Workspace, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 _CHUNK = 1 << 22
 _letters: list[np.ndarray] = []
 
@@ -157,7 +157,7 @@ def _overlap(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, least_rounds: int = 3) -> DataFrame:
+                    rows: int = ROWS, least_rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, tk (text key), class_id, class_size and first_of_class.
 
     Two texts are linked if the multisets of their word shingles overlap by ``threshold`` (sum of the
