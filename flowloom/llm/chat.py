@@ -39,7 +39,7 @@ def messages(log: DataFrame) -> DataFrame:
     ``message`` form message 0. Repeated ``message`` rows are messages of their own. All steps keep
     the partitioning by conv_id, so the log is shuffled once; a conversation's text must fit a row.
     """
-    order = W.partitionBy("conv_id").orderBy("turn", "seq", "role", "text")
+    order = W.partitionBy("conv_id").orderBy("turn", "seq", "role", "text").rowsBetween(W.unboundedPreceding, 0)
     kind = F.coalesce("kind", F.lit("delta"))
     marked = log.select(
         "conv_id", "turn", F.col("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("n"),

@@ -39,10 +39,10 @@ def _is_letter() -> np.ndarray:
 
 
 def automaton(codes: list[int], size: int) -> np.ndarray:
-    """Suffix automaton as a table of (next state * size) * 2 + 1 if a new phrase begins.
+    """Suffix automaton as a table of (next state * size) * 2, plus 1 if the code begins a new phrase.
 
-    The last code stands for padding and keeps the state. A code that no state knows is a phrase of
-    its own and leads back to the start.
+    Reading starts in the last state, from which every code begins a phrase. A code that the text lacks
+    is a phrase of its own and leads back there. The last code stands for padding and keeps the state.
     """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -69,14 +69,15 @@ def automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    start = np.zeros(size, np.int64)
+    unit, fresh = 2 * size, len(step)
+    begin = np.full(size, fresh * unit + 1)
     for c, to in step[0].items():
-        start[c] = to
-    table = np.tile(start * (2 * size) + 1, (len(step), 1))
+        begin[c] = to * unit + 1
+    table = np.tile(begin, (fresh + 1, 1))
     for i, row in enumerate(step):
         if row:
-            table[i, list(row)] = np.fromiter(row.values(), np.int64, len(row)) * (2 * size)
-    table[:, size - 1] = np.arange(len(step)) * (2 * size)
+            table[i, list(row)] = np.fromiter(row.values(), np.int64, len(row)) * unit
+    table[:, size - 1] = np.arange(fresh + 1) * unit
     return table.astype(np.int32).ravel()
 
 
@@ -118,7 +119,7 @@ def identify(texts: list[str | None], profile: Profile) -> tuple[list[str], np.n
     owner = np.repeat(np.arange(len(texts)), pieces)
     cost = np.empty((len(tables), len(texts)))
     for i, table in enumerate(tables):
-        state, count = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int32)
+        state, count = np.full(grid.shape[1], (len(table) - size) * 2, np.int32), np.zeros(grid.shape[1], np.int32)
         for column in grid:
             state = table[(state >> 1) + column]
             count += state & 1
