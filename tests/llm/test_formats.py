@@ -1,5 +1,7 @@
 """Operators 7, 8 and 10."""
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def test_nearest_equals_brute_force(spark):
     want = []
     for q, x in fine.items():
         if q % 20 == 0:
-            score = {c: sum((a * b for a, b in zip(x.tolist(), y.tolist())), 0.0) for c, y in fine.items() if c != q and len(y) == len(x)}
+            score = {c: reduce(lambda s, p: s + p[0] * p[1], zip(x.tolist(), y.tolist()), 0.0) for c, y in fine.items() if c != q and len(y) == len(x)}
             want += [(q, n + 1, c, s) for n, (c, s) in enumerate(sorted(score.items(), key=lambda z: (-z[1], z[0]))[:20])]
     assert sorted(got) == sorted(want)
     assert neighbours.nearest(table.where("false")).collect() == []
