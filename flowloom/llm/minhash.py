@@ -179,10 +179,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     many = spread.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("band")
     members = work.save("members", spread.join(many, "band"))
     work.drop("spread")
+    work.sweep()
     sources = members.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
     met = (keyed["doc_id"].eqNullSafe(sources["doc_id"])) & (keyed["tk"] == sources["tk"])
     bags = work.save("bags", keyed.join(sources, met).select("node", "text")
                      .mapInArrow(_sets(size), "node long, bag binary").dropDuplicates(["node"]))
+    work.sweep()
     links = labels = checked = None
     turn = 0
     while True:
@@ -204,6 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
                           .mapInArrow(_overlap(threshold), "a long, b long, similarity double"))
         links = found if links is None else links.unionAll(found)
         checked = pairs if checked is None else checked.unionAll(pairs)
+        work.sweep()
         turn += 1
         if found.limit(1).count():
             labels = components(links, work, f"labels{turn}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,9 @@ class Workspace:
         self.folder = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
 
     def save(self, name: str, frame: DataFrame) -> DataFrame:
-        """Write the frame, read it back, and let Spark drop the shuffle files behind it."""
+        """Write the frame and read it back, which cuts the lineage."""
         schema = frame.schema
         frame.write.parquet(f"{self.folder}/{name}")
-        del frame
-        self.sweep()
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str) -> None:
@@ -43,9 +42,14 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def sweep(self) -> None:
-        """Shuffles nobody refers to are removed when the driver collects its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark remove the shuffle files of finished jobs now, not when the driver next needs memory.
+
+        What a job leaves behind is only free for a second collection, a moment after the first.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def partitions(spark: SparkSession, n_bytes: int, each: int) -> int:

@@ -123,6 +123,7 @@ def repeated_paths(docs: DataFrame, work: Workspace, width: int = WIDTH, k: int
     twice = (edges.groupBy("gram").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
              .where("x < y").select("gram"))
     shared = work.save(f"shared{seed}", edges.join(twice, "gram"))
+    work.sweep()
     first = work.save(f"first{seed}", shared.groupBy("gram", "context").agg(
         F.min(F.struct("doc_id", "tk", "low")).alias("src"), F.first("n").alias("n"),
         F.first("head").alias("head"), F.first("tail").alias("tail")))
@@ -135,6 +136,7 @@ def repeated_paths(docs: DataFrame, work: Workspace, width: int = WIDTH, k: int
               .agg(F.collect_list(F.struct("gram", "context", F.col("src.low").alias("low"), "n")).alias("wanted")))
     windows = work.save(f"windows{seed}", docs.join(wanted, _KEY).select("doc_id", "tk", "text", "wanted").mapInArrow(
         _windows(width, seed), "gram long, context long, o int, window long, doc_id long, tk int, at int"))
+    work.sweep()
     best = windows.groupBy("window").agg(F.min(F.struct("doc_id", "tk", "at")).alias("src"))
     placed = windows.select("gram", "context", "o", "window").join(best, "window").select(
         "gram", "context", "o", F.col("src.doc_id").alias("src_doc"), F.col("src.tk").alias("src_tk"),
@@ -193,6 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFr
     seed = 1
     while True:
         paths = repeated_paths(usable, work, width, k, seed)
+        work.sweep()
         if _verified(usable, paths):
             break
         seed += 1

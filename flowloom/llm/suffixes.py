@@ -14,6 +14,8 @@ bucket each anchor once, so a string that a third of all documents hold costs on
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import PythonException
@@ -138,6 +140,21 @@ def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 _ENTRY = [("gram", H.U), ("mark", H.U), ("doc", np.int64), ("left", np.uint8), ("n", np.uint8)]
 
 
+def _pressed(entries: np.ndarray) -> bytes:
+    """Column after column, compressed: the bytes around anchors are text."""
+    return zlib.compress(b"".join(np.ascontiguousarray(entries[f]).tobytes() for f in entries.dtype.names), 1)
+
+
+def _unpressed(blob: bytes, kind: np.dtype) -> np.ndarray:
+    data, at = zlib.decompress(blob), 0
+    out = np.empty(len(data) // kind.itemsize, kind)
+    for f in kind.names:
+        size = kind[f].itemsize * len(out)
+        out[f] = np.frombuffer(data, kind[f].base, size // kind[f].base.itemsize, at).reshape(out[f].shape)
+        at += size
+    return out
+
+
 def _contexts(s: _Shape):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("entries", pa.binary())])
     kind = np.dtype([*_ENTRY, ("bytes", np.uint8, (s.longest,))])
@@ -169,7 +186,7 @@ def _contexts(s: _Shape):
         out = out[order]
         cut = list(zip(bounds[:-1], bounds[1:]))
         return pa.table([pa.array(buckets, pa.int32()), pa.array([key[0].as_py()] * len(cut), pa.int32()),
-                         pa.array([out[a:b].tobytes() for a, b in cut], pa.binary())], schema=schema)
+                         pa.array([_pressed(out[a:b]) for a, b in cut], pa.binary())], schema=schema)
 
     return run
 
@@ -272,7 +289,7 @@ def _resolve(s: _Shape):
     reach = s.width - s.k + 1
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, kind) for x in table["entries"].to_pylist()]
+        parts = [_unpressed(x, kind) for x in table["entries"].to_pylist()]
         block = np.repeat(table["block"].to_numpy(), [len(x) for x in parts])
         entries = np.concatenate(parts)
         order = np.lexsort((entries["doc"], entries["mark"], entries["gram"]))
@@ -386,9 +403,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFr
         try:
             anchors = usable.groupBy("__block").applyInArrow(_anchors(s), "bucket int, block int, grams binary, twice binary")
             replies = work.save(f"replies{seed}", anchors.groupBy("bucket").applyInArrow(_shared, "block int, bucket int, bits binary"))
+            work.sweep()
             contexts = usable.groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(
                 _contexts(s), "bucket int, block int, entries binary")
             pieces = work.save(f"pieces{seed}", contexts.groupBy("bucket").applyInArrow(_resolve(s), "block int, pieces binary"))
+            work.sweep()
             break
         except PythonException as error:
             if _COLLISION not in str(error):
