@@ -24,6 +24,11 @@ def double_key(value: Column) -> Column:
         F.lit(0).cast("bigint"))
 
 
+def signed_key(value: Column) -> Column:
+    """Order-preserving bigint for any finite double."""
+    return F.when(value < 0.0, -double_key(-value)).otherwise(double_key(value))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], key=None) -> DataFrame:
     """One row with one linearly interpolated quantile per entry of ``probs``.
 

@@ -72,9 +72,10 @@ def flag_outliers(raw: DataFrame, users: int, contamination: float = CONTAMINATI
 
     The raw values are written once: range, quantile and result would each run the model again.
     """
-    keyed = durable(raw).withColumn("_k", F.floor((F.col("outlyingness") + 10.0) * 1e9 + 0.5))
-    cut = Q.exact_quantiles(keyed, "_k", {"cut": 1.0 - contamination_for(users, contamination)}).scalar()
-    return scaled_scores(keyed.withColumn("is_anomaly", F.col("_k").cast("double") > cut)).drop("_k")
+    kept = durable(raw)
+    probs = {"cut": 1.0 - contamination_for(users, contamination)}
+    cut = Q.exact_quantiles(kept, "outlyingness", probs, Q.signed_key).scalar()
+    return scaled_scores(kept.withColumn("is_anomaly", F.col("outlyingness") > cut))
 
 
 def within_user_evidence(features: DataFrame) -> DataFrame:

@@ -28,15 +28,15 @@ def store(frame: DataFrame, path: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime) -> DataFrame:
-    """CSV or capture files into the flow table partitioned by date."""
+    """CSV or capture files into the flow table partitioned by date, with a repeatable ``flow_id``."""
     kind = path.rstrip("/*").rsplit(".", 1)[-1].lower()
     if kind in ("pcap", "pcapng", "cap"):
         flows = capture.scan_capture(spark, path)
     elif kind == "csv" or "." not in path.rsplit("/", 1)[-1]:
-        flows = csvfiles.scan_csv(spark, path, ingest_ts)
+        flows = csvfiles.scan_csv(spark, path, ingest_ts, with_file=True)
     else:
         raise csvfiles.ImportFailure("only csv, pcap, pcapng and cap files can be read")
-    csvfiles.write_flows(flows, table)
+    csvfiles.write_flows(csvfiles.with_flow_id(flows).drop("source_file"), table)
     return csvfiles.read_flows(spark, table)
 
 

@@ -118,7 +118,6 @@ LIVE_BUCKETS_KEPT = 30
 LIVE_BUCKET_SECONDS = 5
 LIVE_SCAN_PORTS = 6
 LIVE_SCAN_SECONDS = 30
-LIVE_SCAN_MEMORY = 64
 LIVE_LARGE_FLOW_BYTES = 50_000
 LIVE_ALERTS_KEPT = 500
 

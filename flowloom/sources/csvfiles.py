@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from flowloom import schema as S
 from flowloom.sources.canonical import ImportFailure, canonicalise, synthesised_columns
@@ -46,6 +48,15 @@ def file_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return heads.join(other, "file", "left").select("file", "header", F.coalesce("other", F.lit("UTF-8")).alias("charset"))
 
 
+def _dialect_groups(spark: SparkSession, path: str | list[str]) -> list[Row]:
+    """Files by charset and header line."""
+    groups = (file_dialects(spark, path).groupBy("charset", "header")
+              .agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("charset", "header").collect())
+    if not groups:
+        raise ImportFailure("no data rows")
+    return groups
+
+
 def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | datetime, multi_line: bool = False,
              with_file: bool = False) -> DataFrame:
     """Canonical flows of CSV files with mixed charsets and headers.
@@ -53,12 +64,8 @@ def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | dateti
     Files of one charset and header line are read together. The grouping holds one entry per
     file, like Spark's own file index. gb18030 needs ``spark.sql.legacy.javaCharsets=true``.
     """
-    groups = (file_dialects(spark, path).groupBy("charset", "header")
-              .agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("charset", "header").collect())
-    if not groups:
-        raise ImportFailure("no data rows")
     parts = []
-    for group in groups:
+    for group in _dialect_groups(spark, path):
         raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
                .option("encoding", group["charset"]).option("multiLine", multi_line).csv(group["files"]))
         # A byte-order mark belongs to the file, not to the first header.
@@ -89,6 +96,17 @@ def import_csv(spark: SparkSession, path: str, table: str, ingest_ts: str | date
     return {"type": "CSV", "records": seen.get["records"], "synthesised": synthesised_columns(header_columns)}
 
 
+def with_flow_id(flows: DataFrame) -> DataFrame:
+    """Adds ``flow_id``, a key drawn from the row itself and its place among equal rows.
+
+    The same rows get the same keys in whatever order or split they are read. A ``source_file``
+    column keeps equal rows of different files apart.
+    """
+    content = flows.withColumn("_content", F.xxhash64(*flows.columns))
+    nth = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(0)))
+    return content.withColumn("flow_id", F.xxhash64("_content", nth)).drop("_content")
+
+
 def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
     """Flow table in Parquet, one folder per date, one file set per date and task group."""
     dated = flows.withColumn("date", F.to_date("timestamp"))
@@ -127,17 +145,24 @@ def quality_issues(raw: DataFrame, key: str) -> DataFrame:
 
 
 def scan_quality(spark: SparkSession, path: str) -> DataFrame:
-    """Quality issues of CSV files by file and row text; missing columns come as one row each."""
-    header = spark.read.option("header", True).csv(path).columns
-    names = [c.strip().lstrip("﻿") for c in header]
-    missing = [c for c in S.BASE_COLUMNS if c not in names]
-    if missing:
-        return spark.createDataFrame([("", "missing_column", c) for c in missing], "file string, rule string, value string")
-    fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
-           .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(path)
-           .withColumn("file", F.col("_metadata.file_name")))
-    return quality_issues(raw, "file")
+    """Quality issues of CSV files by file and row text; missing columns come as one row per header.
+
+    Files are read by their own charset and header, as in ``scan_csv``.
+    """
+    parts = []
+    for group in _dialect_groups(spark, path):
+        reader = spark.read.option("header", True).option("encoding", group["charset"])
+        names = [c.strip().lstrip("\ufeff") for c in reader.csv(group["files"]).columns]
+        missing = [c for c in S.BASE_COLUMNS if c not in names]
+        if missing:
+            parts.append(spark.createDataFrame([("", "missing_column", c) for c in missing], "file string, rule string, value string"))
+            continue
+        fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
+        raw = (reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
+               .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(group["files"])
+               .withColumn("file", F.col("_metadata.file_name")))
+        parts.append(quality_issues(raw, "file"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:

@@ -96,10 +96,14 @@ def sensitive_ports(events: DataFrame) -> DataFrame:
 def scan_step(seen: list[tuple[int, int]], ts_us: int, port: int) -> tuple[list[tuple[int, int]], int]:
     """Remember one hit; return the new memory and the port count if the rule fires, else 0.
 
-    A source keeps its last 64 hits. Six different ports within 30 seconds fire and clear them.
+    The memory holds the last time of each port seen within 30 seconds, so it is bounded by the
+    rule itself: six different ports fire and clear it.
     """
-    seen = (seen + [(ts_us, port)])[-S.LIVE_SCAN_MEMORY:]
-    ports = {p for t, p in seen if ts_us - t <= S.LIVE_SCAN_SECONDS * 1_000_000}
+    oldest = ts_us - S.LIVE_SCAN_SECONDS * 1_000_000
+    seen = [(t, p) for t, p in seen if t >= oldest and (p != port or t > ts_us)]
+    if all(p != port for _, p in seen):
+        seen.append((ts_us, port))
+    ports = {p for _, p in seen}
     return ([], len(ports)) if len(ports) >= S.LIVE_SCAN_PORTS else (seen, 0)
 
 
@@ -118,7 +122,7 @@ def _scan_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     if seen:
         state.update(([t for t, _ in seen], [p for _, p in seen]))
         # Event time this far ahead makes every remembered hit useless.
-        wake = seen[-1][0] // 1000 + S.LIVE_SCAN_SECONDS * 1000 + 1
+        wake = max(t for t, _ in seen) // 1000 + S.LIVE_SCAN_SECONDS * 1000 + 1
         state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
@@ -127,7 +131,7 @@ def _scan_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 
 def port_scans(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Stateful scan rule per source. State is at most 64 hits per source and expires by event time."""
+    """Stateful scan rule per source. State is at most five ports per source and expires by event time."""
     keyed = events.withWatermark("timestamp", watermark).select(
         "src_ip", "timestamp", "flow_id", "dst_port", F.unix_micros("timestamp").alias("ts_us"))
     return keyed.groupBy("src_ip").applyInPandasWithState(

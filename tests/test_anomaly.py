@@ -119,3 +119,10 @@ def test_constant_feature_scales_to_zero(spark):
     frame = spark.createDataFrame(rows, "user string, " + ", ".join(f"{c} double" for c in S.FEATURE_NAMES))
     out = {r["user"]: r for r in U.standardise(frame).collect()}
     assert out["u0"]["total_packets"] == 0.0 and abs(out["u2"]["total_bytes"] - 1.224744871) < 1e-8
+
+
+def test_large_scores_are_still_told_apart(spark):
+    from flowloom.operators.anomaly import features
+
+    raw = spark.createDataFrame([(f"u{i}", float(i) if i < 80 else 2e10 + i * 1e6) for i in range(100)], "user string, outlyingness double")
+    assert features.flag_outliers(raw, 100).where("is_anomaly").count() == 1

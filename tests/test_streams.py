@@ -107,3 +107,12 @@ def test_latest_buckets_fill_gaps(spark):
     rows = [(datetime(2024, 1, 1, 0, 0, 0), 5, 1), (datetime(2024, 1, 1, 0, 0, 15), 7, 2)]
     out = G.latest_buckets(spark.createDataFrame(rows, "ts timestamp, bytes bigint, events bigint")).orderBy("ts").collect()
     assert [(r["bytes"], r["events"]) for r in out] == [(5, 1), (0, 0), (0, 0), (7, 2)]
+
+
+def test_scan_memory_keeps_every_port_in_reach():
+    hits = [(i * 1000, 1 + i) for i in range(5)] + [(6000 + i, 5) for i in range(64)] + [(15_000_000, 6)]
+    seen, fired = [], 0
+    for ts_us, port in hits:
+        seen, count = G.scan_step(seen, ts_us, port)
+        fired += count
+    assert fired == 6 and seen == []
