@@ -157,13 +157,13 @@ def _overlap(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, least_rounds: int = 2) -> DataFrame:
+                    rows: int = ROWS, least_rounds: int = 2, centres: int = 4) -> DataFrame:
     """One row per input row: doc_id, tk (text key), class_id, class_size and first_of_class.
 
     Two texts are linked if the multisets of their word shingles overlap by ``threshold`` (sum of the
     lesser counts over sum of the greater); classes are the connected components. Texts with one
     multiset are one node. In every band bucket one member of each class so far is compared with a
-    centre; rounds go on with new centres until one finds no link (``least_rounds`` at least), so a
+    centre, in later rounds with ``centres`` of them; rounds go on until one finds no link (``least_rounds`` at least), so a
     bucket costs as many comparisons as it has classes, not pairs. class_id is the least doc_id.
     Null texts and texts without words are classes of their own; null doc_ids take part but name no
     class unless all are null. Repeated rows share a class. first_of_class marks the least (doc_id, tk), all its repeats
@@ -189,14 +189,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     turn = 0
     while True:
         if labels is None:
-            now = members.select("band", "node", F.col("node").alias("label"), F.struct("doc_id", "node").alias("rank"))
+            now = members.withColumn("label", F.col("node"))
         else:
-            now = members.join(labels, "node", "left").select(
-                "band", "node", F.coalesce("label", "node").alias("label"),
-                F.struct(F.xxhash64("node", F.lit(turn)).alias("doc_id"), "node").alias("rank"))
-        chosen = now.groupBy("band", "label").agg(F.min("rank").alias("rank"))
-        centre = chosen.groupBy("band").agg(F.min(F.struct("rank", "label")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = chosen.join(centre, "band").where("label <> c.label").select(
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if turn:  # several independent centres a round, so that few rounds are needed
+            ranks = [F.struct(F.xxhash64("node", F.lit(turn * centres + i)).alias("first"), "node") for i in range(centres)]
+        else:
+            ranks = [F.struct(F.col("doc_id").alias("first"), "node")]
+        ranked = now.select("band", "label", F.posexplode(F.array(*ranks)).alias("try", "rank"))
+        chosen = ranked.groupBy("band", "try", "label").agg(F.min("rank").alias("rank"))
+        centre = chosen.groupBy("band", "try").agg(F.min(F.struct("rank", "label")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        pairs = chosen.join(centre, ["band", "try"]).where("label <> c.label").select(
             F.least("rank.node", "c.rank.node").alias("a"), F.greatest("rank.node", "c.rank.node").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
