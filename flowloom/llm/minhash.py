@@ -136,6 +136,35 @@ def _sets(size: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["bag"]]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in bags]))).astype(np.int32)
+        flat = pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))
+        yield pa.record_batch([batch["node"], batch["label"], pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                              names=["node", "label", "elements"])
+
+
+def candidates(bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different label in (node, label, bag) that may reach ``threshold``; no pair that does is left out.
+
+    In one order of all elements, rarest first, two bags that overlap enough share an element among the
+    first of each (prefix filter), early enough in both for the rest to make up the overlap (position filter).
+    """
+    rows = bags.mapInArrow(_elements, "node long, label long, elements array<long>").select(
+        "node", "label", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("often", "element"))), F.lit(1),
+                    (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    heads = rows.join(often, "element").groupBy("node", "label", "n").agg(first.alias("head")).select(
+        "node", "label", "n", F.posexplode("head").alias("at", "e")).where("e.often > 1").select(
+        "node", "label", "n", F.col("e.element").alias("element"), (F.col("n") - F.col("at")).alias("rest"))
+    least = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+    met = ((F.col("x.element") == F.col("y.element")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+           & (F.least("x.rest", "y.rest") >= least))
+    return heads.alias("x").join(heads.alias("y"), met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _overlap(threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -157,14 +186,15 @@ def _overlap(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, least_rounds: int = 2, centres: int = 4) -> DataFrame:
+                    rows: int = ROWS, rounds: int = 2, centres: int = 4) -> DataFrame:
     """One row per input row: doc_id, tk (text key), class_id, class_size and first_of_class.
 
     Two texts are linked if the multisets of their word shingles overlap by ``threshold`` (sum of the
     lesser counts over sum of the greater); classes are the connected components. Texts with one
-    multiset are one node. In every band bucket one member of each class so far is compared with a
-    centre, in later rounds with ``centres`` of them; rounds go on until one finds no link (``least_rounds`` at least), so a
-    bucket costs as many comparisons as it has classes, not pairs. class_id is the least doc_id.
+    multiset are one node. First, ``rounds`` times, one member of each class of a band bucket is compared with the
+    bucket's centre (later with ``centres`` of them), which merges most of a large class at a cost of its classes, not pairs.
+    Then all pairs that share a bucket and are still apart go through ``candidates`` and are verified, so
+    every link between bucket mates counts. class_id is the least doc_id.
     Null texts and texts without words are classes of their own; null doc_ids take part but name no
     class unless all are null. Repeated rows share a class. first_of_class marks the least (doc_id, tk), all its repeats
     included. An empty table gives an empty table; other columns are not looked at.
@@ -186,17 +216,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
                      .mapInArrow(_sets(size), "node long, bag binary").dropDuplicates(["node"]))
     work.sweep()
     links = labels = checked = None
-    turn = 0
-    while True:
+
+    def labelled() -> DataFrame:
         if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn:  # several independent centres a round, so that few rounds are needed
+            return members.withColumn("label", F.col("node"))
+        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        left, right = (bags.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
+        return work.save(name, pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
+                         .mapInArrow(_overlap(threshold), "a long, b long, similarity double"))
+
+    for turn in range(rounds):
+        if turn:  # several independent centres, which leave fewer classes apart
             ranks = [F.struct(F.xxhash64("node", F.lit(turn * centres + i)).alias("first"), "node") for i in range(centres)]
         else:
             ranks = [F.struct(F.col("doc_id").alias("first"), "node")]
-        ranked = now.select("band", "label", F.posexplode(F.array(*ranks)).alias("try", "rank"))
+        ranked = labelled().select("band", "label", F.posexplode(F.array(*ranks)).alias("try", "rank"))
         chosen = ranked.groupBy("band", "try", "label").agg(F.min("rank").alias("rank"))
         centre = chosen.groupBy("band", "try").agg(F.min(F.struct("rank", "label")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
         pairs = chosen.join(centre, ["band", "try"]).where("label <> c.label").select(
@@ -204,17 +240,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = work.save(f"pairs{turn}", pairs)
-        left, right = (bags.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-        found = work.save(f"links{turn}", pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
-                          .mapInArrow(_overlap(threshold), "a long, b long, similarity double"))
+        found = verify(pairs, f"links{turn}")
         links = found if links is None else links.unionAll(found)
         checked = pairs if checked is None else checked.unionAll(pairs)
         work.sweep()
-        turn += 1
         if found.limit(1).count():
             labels = components(links, work, f"labels{turn}")
-        elif turn >= least_rounds or labels is None:
-            break
+    now = work.save("apart", labelled().select("band", "node", "label"))
+    mixed = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    apart = now.join(mixed, "band").select("node", "label").distinct()
+    rest = candidates(apart.join(bags, "node").select("node", "label", "bag"), threshold).distinct()
+    if checked is not None:
+        rest = rest.join(checked, ["a", "b"], "left_anti")
+    found = verify(rest, "links-rest")
+    work.sweep()
+    if found.limit(1).count():
+        labels = components(found if links is None else links.unionAll(found), work, "labels-rest")
     work.drop("bags")
     named = rows_.select("doc_id", "tk", "node")
     if labels is None:

@@ -127,6 +127,48 @@ def test_near_duplicates(make_docs):
         {c for d, c, _ in want if c is not None})
 
 
+def test_candidates_leave_no_link_out(spark):
+    rnd = random.Random(5)
+    sets, base = [], list(range(1, 90))
+    for i in range(120):
+        x = set(sets[-1] if i % 3 else base)
+        for v in rnd.sample(sorted(x), rnd.randint(0, 14)):
+            x.remove(v)
+            x.add(rnd.randint(100, 100_000))
+        sets.append(x)
+    sets += [{1}, {1}, {1, 2}, {7, 8, 9, 10}, {7, 8, 9, 10, 11}, set()]
+    rows = [(i, i // 2, bytearray(b"".join(v.to_bytes(8, "little") for v in sorted(x)))) for i, x in enumerate(sets)]
+    found = minhash.candidates(spark.createDataFrame(rows, "node long, label long, bag binary"), 0.8)
+    got = {tuple(r) for r in found.collect()}
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if i // 2 != j // 2 and len(x & y) >= 0.8 * len(x | y) > 0}
+    assert want <= got and len(want) > 10
+    assert len(got) < len(sets) ** 2 / 4
+
+
+def test_classes_of_a_large_group_are_whole(make_docs):
+    """A group of near copies whose members mostly lie apart: only chains hold it together."""
+    rnd = random.Random(8)
+    base = words(120, 4)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rnd.sample(range(120), 3 + i % 3):
+            w[k] = f"v{rnd.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(make_docs(*rows)).collect()}
+    bags, least = [bag(t) for _, t in rows], list(range(len(rows)))
+    moved = True
+    linked = [(i, j) for j in range(len(rows)) for i in range(j)
+              if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())]
+    while moved:
+        moved = False
+        for i, j in linked:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                moved = True
+    assert got == dict(enumerate(least))
+
+
 def test_signatures_estimate_weighted_jaccard():
     import numpy as np
 
