@@ -22,9 +22,11 @@ _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole steps from -127 to 127 of each row, and the row's step."""
+    """Whole steps from -127 to 127 of each row, and the row's step. Rows too small to divide by get zeros and a step of 1."""
     step = np.abs(x).max(axis=1) / 127.0
-    return np.rint(x / step[:, None]).astype(np.int8), step
+    small = step < 1e-290
+    step = np.where(small, 1.0, step)
+    return np.where(small[:, None], 0, np.rint(x / step[:, None])).astype(np.int8), step
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -44,9 +46,10 @@ def _tile(q, q8, q_step, q_ids, c, c8, c_step, c_ids, k: int) -> list[list[tuple
     error = 0.5 * (q_step[:, None] * np.abs(c).sum(1)[None, :] + near[:, None] * c_step[None, :])
     error += 1e-12 * (np.abs(rough) + error)
     own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, -np.inf, rough - error)
+    wide = ~np.isfinite(rough) | ~np.isfinite(error)  # beyond double: such pairs are worked out, never bounded
+    low = np.where(own | wide, -np.inf, rough - error)
     bar = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(q), -np.inf)
-    row, col = np.nonzero((rough + error >= bar[:, None]) & ~own)
+    row, col = np.nonzero((wide | (rough + error >= bar[:, None])) & ~own)
     score = np.concatenate([exact(q[row[i:i + 65536]], c[col[i:i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
     ids = c_ids[col]
     order = np.lexsort((ids, -score, row))

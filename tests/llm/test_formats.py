@@ -3,6 +3,7 @@
 from functools import reduce
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import chat, neighbours, queries, webtext
@@ -69,6 +70,18 @@ def test_nearest_equals_brute_force(spark):
     assert neighbours.nearest(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-305, 1e-320, 1e120])
+def test_tile_at_the_ends_of_double(scale):
+    rnd = np.random.default_rng(1)
+    q, c = rnd.normal(size=(8, 6)) * (1e150 if scale > 1 else 1), rnd.normal(size=(300, 6))
+    c *= np.where(rnd.random(300) < 0.3, scale, 1.0)[:, None]
+    (q8, q_step), (c8, c_step) = neighbours.quantise(q), neighbours.quantise(c)
+    got = neighbours._tile(q, q8, q_step, np.arange(8) + 1000, c, c8, c_step, np.arange(300), 20)
+    for own, x in zip(got, q):
+        scores = neighbours.exact(np.repeat(x[None, :], 300, 0), c)
+        assert own == sorted(zip((-scores).tolist(), range(300)))[:20]
+
+
 def test_queries_are_whole(spark, small):
     turns = queries.op7_event_sourced_chat(spark, small)
     given = spark.read.parquet(f"{small}/conversations.parquet")
