@@ -57,7 +57,7 @@ add("h12_per_file_totals",
     "count(DISTINCT user_id) AS unique_users FROM events")
 add("h13_profile_search", over_flows(H.profile_search, "R_1"), on_flows(
     f"SELECT DISTINCT {U} FROM flows WHERE contains(lower({U}), 'r_1')"))
-add("h13_profile_search_blank", over_flows(H.profile_search), on_flows(f"SELECT DISTINCT {U} FROM flows ORDER BY 1 LIMIT 12"))
+add("h13_profile_search_blank", over_flows(H.profile_search, "", 12), on_flows(f"SELECT DISTINCT {U} FROM flows ORDER BY 1 LIMIT 12"))
 add("g12_alert_text_filter", lambda spark, sf: H.alert_search(R.all_alerts(V.flows(spark, sf)), "Sensitive_Service SSH"), on_flows(
     "SELECT * FROM alerts WHERE contains(lower(type || ' ' || severity || ' ' || title || ' ' || entity || ' ' || evidence), "
     "'sensitive_service ssh')", *ALL_ALERTS))

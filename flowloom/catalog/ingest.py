@@ -19,6 +19,7 @@ raw AS (
   SELECT flow_id,
     CASE WHEN flow_id % 17 = 0 THEN TIMESTAMP '{NOW}'
          WHEN flow_id % 5 = 0 THEN make_timestamp(CAST('17' || lpad(CAST(flow_id % 100000000 AS VARCHAR), 8, '0') AS BIGINT) * 1000000 + 250000)
+         WHEN flow_id % 7 = 0 THEN {_STAMP} - INTERVAL 2 HOUR
          ELSE {_STAMP} END AS ts,
     src_ip, CASE WHEN flow_id % 41 = 0 THEN 'unknown' ELSE dst_ip END AS dst_ip, src_port,
     CASE WHEN flow_id % 23 = 0 OR flow_id % 29 = 0 OR flow_id % 31 = 0 OR flow_id % 37 = 0 THEN 0 ELSE dst_port END AS dst_port,

@@ -35,8 +35,9 @@ def data_info(flows: DataFrame) -> DataFrame:
 
 
 def random_rows(flows: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """A repeatable handful of rows; ``n`` is held within 1..100."""
-    n = max(1, min(n, 100))
+    """A repeatable handful of ``n`` rows."""
+    if n < 1:
+        raise ValueError("n must be positive")
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("flow_id").cast("string")))
     return flows.orderBy(draw).limit(n)
 
@@ -117,11 +118,10 @@ def global_tables(flows: DataFrame) -> dict[str, DataFrame]:
             "app_category": B.category_bytes(flows)}
 
 
-def profile_search(flows: DataFrame, query: str = "", n: int = 12) -> DataFrame:
-    """User ids containing the query; the first ``n`` in name order when it is blank."""
-    found = P.users(flows)
-    q = query.strip().lower()
-    return found.where(F.contains(F.lower("user"), F.lit(q))) if q else found.orderBy("user").limit(n)
+def profile_search(flows: DataFrame, query: str = "", n: int | None = None) -> DataFrame:
+    """User ids containing the query (all for a blank one); with ``n``, the first so many in name order."""
+    found = P.users(flows).where(F.contains(F.lower("user"), F.lit(query.strip().lower())))
+    return found if n is None else found.orderBy("user").limit(n)
 
 
 def alert_search(alerts: DataFrame, query: str) -> DataFrame:

@@ -44,9 +44,7 @@ ALL_TERMS = [term for terms, _ in TEXT_RULES.values() for term in terms]
 def clean_flows(df: DataFrame) -> DataFrame:
     """Numbers coerced (junk is 0), text nulls to ``unknown``, ``hour`` added."""
     def number(name: str, kind: str) -> Column:
-        value = F.col(name).cast("string").try_cast("double")
-        fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 9.2e18)
-        return F.when(fine, value.cast("bigint")).otherwise(F.lit(0).cast("bigint")).cast(kind)
+        return F.coalesce(X.whole_number(F.col(name).cast("string")).try_cast(kind), F.lit(0).cast(kind))
 
     changes = {c: number(c, k) for c, k in (("bytes", "bigint"), ("src_port", "int"), ("dst_port", "int"))
                if c in df.columns}

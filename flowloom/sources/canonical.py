@@ -49,10 +49,11 @@ def synthesised_columns(columns: list[str]) -> list[str]:
     return [c for c in ("timestamp", "src_port", "dst_port", "protocol", "bytes") if c not in found]
 
 
-def canonicalise(raw: DataFrame, ingest_ts: str | datetime, keep: list[str] | None = None) -> DataFrame:
+def canonicalise(raw: DataFrame, ingest_ts: str | datetime, keep: list[str] | None = None, time_unit: str = "s") -> DataFrame:
     """Project to the 19 canonical columns (plus ``keep``), all typed and without nulls.
 
     ``ingest_ts`` replaces absent or unreadable times, so that a rerun gives the same table.
+    ``time_unit`` is what epoch numbers count: s, ms, us or ns.
     """
     source = resolve_columns(raw.columns)
     if "src_ip" not in source or "dst_ip" not in source:
@@ -72,7 +73,7 @@ def canonicalise(raw: DataFrame, ingest_ts: str | datetime, keep: list[str] | No
     moment = F.lit(str(ingest_ts)).cast("timestamp_ntz")
     first = raw.select(
         *[F.col(c) for c in keep or []],
-        X.parse_time(cell("timestamp"), moment).alias("timestamp"),
+        X.parse_time(cell("timestamp"), moment, time_unit).alias("timestamp"),
         text("src_ip", "unknown").alias("src_ip"),
         text("dst_ip", "unknown").alias("dst_ip"),
         X.to_port(cell("src_port")).alias("src_port"),

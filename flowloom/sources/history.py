@@ -59,7 +59,11 @@ def retained(history: DataFrame, now: datetime, days: int = 30) -> DataFrame:
 
 
 def drop_expired(spark: SparkSession, path: str, now: datetime, days: int = 30) -> int:
-    """Delete reports older than ``days``; whole days are dropped as folders, one day is rewritten."""
+    """Delete reports older than ``days``; whole days are dropped as folders, one day is rewritten.
+
+    The border day is replaced in one committed overwrite before any folder goes, so a failure at any
+    point leaves every kept report in place.
+    """
     cutoff = now - timedelta(days=days)
     history = read_history(spark, path)
     old = expired(history, now, days)
@@ -68,11 +72,13 @@ def drop_expired(spark: SparkSession, path: str, now: datetime, days: int = 30)
         return 0
     border = history.where(F.col("created_date") == F.lit(cutoff.date()))
     rest = durable(retained(border, now, days))
-    whole_days = [r[0] for r in old.where(F.col("created_date") <= F.lit(cutoff.date())).select("created_date").distinct().collect()]
+    kept = not rest.isEmpty()
+    if kept:
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+    days_gone = F.col("created_date") < F.lit(cutoff.date()) if kept else F.col("created_date") <= F.lit(cutoff.date())
+    whole_days = [r[0] for r in history.where(days_gone).select("created_date").distinct().collect()]
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     for day in whole_days:
         folder = fs_path(f"{path}/created_date={day}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if not rest.isEmpty():
-        rest.write.mode("append").partitionBy("created_date").parquet(path)
     return gone

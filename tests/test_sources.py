@@ -61,14 +61,19 @@ def test_first_alias_wins_and_addresses_are_required(spark):
 
 
 def test_times_ports_and_sizes(spark):
-    rows = [("1700000000.5", "80.9", "12.9"), ("2024-01-02T03:04:05+02:00", "-0.5", "-1"), ("01/02/2024 03:04", "inf", "inf"),
+    rows = [("1700000000.5", "80.9", "12.9"), ("2024-01-02 03:04:05Z", "0", "9007199254740993"), ("9" * 12, "0", "1e30"), ("2024-01-02T03:04:05+02:00", "-0.5", "-1"), ("01/02/2024 03:04", "inf", "inf"),
             ("Jan  2, 2024 03:04:05.123456789 UTC", "65536", "nan"), ("junk", "x", ""), ("2024/1/2 3:4:5", "65535", "1e3")]
     df = spark.createDataFrame(rows, "t string, p string, b string")
     out = df.select(X.parse_time(F.col("t"), F.lit(NOW).cast("timestamp_ntz")), X.to_port(F.col("p")), X.to_bytes(F.col("b"))).collect()
     assert [tuple(r) for r in out] == [
-        (datetime(2023, 11, 14, 22, 13, 20, 500000), 80, 12), (datetime(2024, 1, 2, 3, 4, 5), 0, 0),
+        (datetime(2023, 11, 14, 22, 13, 20, 500000), 80, 12), (datetime(2024, 1, 2, 3, 4, 5), 0, 9007199254740993), (datetime(2024, 2, 1), 0, 0),
+        (datetime(2024, 1, 2, 1, 4, 5), 0, 0),
         (datetime(2024, 1, 2, 3, 4), 0, 0), (datetime(2024, 1, 2, 3, 4, 5), 0, 0),
         (datetime(2024, 2, 1), 0, 0), (datetime(2024, 1, 2, 3, 4, 5), 65535, 1000)]
+    epochs = [("1700000000500", "ms"), ("1700000000500000", "us"), ("1700000000500000000", "ns")]
+    for number, unit in epochs:
+        got = spark.createDataFrame([(number,)], "t string").select(X.parse_time(F.col("t"), F.lit(NOW).cast("timestamp_ntz"), unit)).first()[0]
+        assert got == datetime(2023, 11, 14, 22, 13, 20, 500000)
 
 
 def test_private_addresses_match_the_registry(spark):
