@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders; windows of ``size`` template words are hash-joined
 between documents and benchmark, and a match counts only if its slots are filled consistently: along one
-alignment a benchmark value always stands for the same document value and the other way round.
+alignment a benchmark value always stands for the same document value and the other way round. Names are
+judged in two views, and what leaves too few plain words for a template is joined word for word.
 """
 
 from __future__ import annotations
@@ -18,69 +19,127 @@ BROADCAST_WINDOWS = 200_000
 # Unit words that may follow a number.
 UNITS = ("mm|cm|m|km|miles?|feet|foot|inch(?:es)?|yards?|mg|g|kg|grams?|kilograms?|tons?|lbs?|pounds?|ounces?|oz|ml|l|litres?|liters?|"
          "gallons?|seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|kmh|mph|degrees?")
-# Private-use marks that start a slot: number, name, unit.
-_NUM, _NAME, _UNIT, _END = "\uE001", "\uE002", "\uE003", "\uE004"
-_NOT_WORD = r"(?:[\x00-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]|[.,](?![0-9]))+"
+# Private-use marks that start a slot: number, name, unit; and one for a capitalised word that may only open a sentence.
+_NUM, _NAME, _UNIT, _END, _OPEN, _LAST = "\uE001", "\uE002", "\uE003", "\uE004", "\uE005", "\uE006"
+_NOT_WORD = (r"(?:[\x00-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]"
+             r"|[.,](?![0-9]))+")
+# Scripts written without blanks: each character is a word.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: How a window is joined: names by their left neighbour, every capitalised word a name, or word for word.
+NEAR, WIDE, EXACT = 1, 2, 4
 
 
 def slotted(text):
     """Words of a text in lower case; a number, name or unit keeps its value behind a mark.
 
-    A name is a capitalised word after a letter, digit or comma and one blank, so not one that opens a sentence. A unit is a
-    known unit word after a number. Null gives null, a text without words an empty array.
+    A name is a capitalised word after a letter, digit or comma and one blank; any other capitalised word gets the mark
+    of one that may only open a sentence. A unit is a known unit word after a number. Null gives null, a text without
+    words an empty array.
     """
-    named = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},] \p{Lu})(?=\p{Ll})", f"{_NAME}$0")
-    numbered = F.regexp_replace(F.lower(named), r"[0-9]+(?:[.,][0-9]+)*", f"{_NUM}$0")
+    spaced = F.regexp_replace(text, _UNSPACED, " $0 ")
+    named = F.regexp_replace(spaced, r"\p{Lu}(?<=[\p{L}\p{N},] \p{Lu})(?=\p{Ll})", f"{_NAME}$0")
+    opened = F.regexp_replace(named, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}]\p{{Lu}})(?=\p{{Ll}})", f"{_OPEN}$0")
+    numbered = F.regexp_replace(F.lower(opened), r"[0-9]+(?:[.,][0-9]+)*", f"{_NUM}$0")
     measured = F.regexp_replace(numbered, rf"(?<=[0-9])( ?)({UNITS})(?![\p{{L}}0-9])", f" {_UNIT}$2")
     return F.filter(F.split(measured, _NOT_WORD), lambda w: w != "")
 
 
+def _plain(w):
+    return (w < _NUM) | (w >= _END)
+
+
+def view(words, wide: bool):
+    """The words with every capitalised word a name, or with sentence openers plain."""
+    rest = lambda w: F.substring(w, 2, 1 << 30)
+    return F.transform(words, lambda w: F.when(w.startswith(_OPEN), F.concat(F.lit(_NAME), rest(w)) if wide else rest(w)).otherwise(w))
+
+
 def template(words):
-    """The words with slot values taken out."""
-    return F.transform(words, lambda w: F.when(w < _NUM, w).when(w >= _END, w).otherwise(F.substring(w, 1, 1)))
+    """The words of a view with slot values taken out."""
+    return F.transform(words, lambda w: F.when(_plain(w), w).otherwise(F.substring(w, 1, 1)))
+
+
+def bare(words):
+    """The words without marks."""
+    return F.transform(words, lambda w: F.when((w >= _NUM) & (w < _LAST), F.substring(w, 2, 1 << 30)).otherwise(w))
 
 
 def windows(words, size: int):
-    """Hash of every ``size`` neighbouring template words; null for fewer words."""
+    """Hash of every ``size`` neighbouring template words; empty for fewer words."""
     last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(words, i, size))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _asked(items: DataFrame, size: int, least: int) -> DataFrame:
+    """item_id, at, length, window, kinds of all windows to look for."""
+    views = items.withColumns({"near": template(view("words", False)), "wide": template(view("words", True)), "bare": bare("words")})
+    each = views.select("item_id", "near", "wide", F.posexplode(F.arrays_zip(
+        windows(F.col("near"), size).alias("n"), windows(F.col("wide"), size).alias("w"), windows(F.col("bare"), size).alias("b"))).alias("at", "h"))
+    plain = lambda side: F.size(F.filter(F.slice(side, F.col("at") + 1, size), _plain))
+    # The wide view has the fewest plain words.
+    ways = F.array(F.struct(F.col("h.n").alias("window"), F.when(plain("near") >= least, NEAR).alias("kinds")),
+                   F.struct(F.col("h.w").alias("window"), F.when(plain("wide") >= least, WIDE).alias("kinds")),
+                   F.struct(F.col("h.b").alias("window"), F.when(plain("wide") < least, EXACT).alias("kinds")))
+    long = each.select("item_id", "at", F.lit(size).alias("length"), F.inline(ways)).where("kinds is not null")
+    short = views.where(F.size("words").between(1, size - 1)).select(
+        "item_id", F.lit(0).alias("at"), F.size("words").alias("length"),
+        F.xxhash64("bare").alias("window"), F.lit(EXACT).alias("kinds"))
+    return long.unionByName(short).groupBy("item_id", "at", "length", "window").agg(F.bit_or("kinds").alias("kinds"))
+
+
+def _given(docs: DataFrame, size: int, exact: list[int]) -> DataFrame:
+    """doc_id, tk, place, window, kinds of all windows of the documents; word for word in the lengths ``exact``."""
+    # Each step is a column of its own: inlined into a lambda it would be worked out again for every window.
+    split = docs.select("doc_id", "tk", slotted(F.col("text")).alias("words"))
+    views = split.select("doc_id", "tk", template(view("words", False)).alias("near"), template(view("words", True)).alias("wide"),
+                         *([bare("words").alias("bare")] if exact else []))
+    each = views.select("doc_id", "tk", F.posexplode(F.arrays_zip(
+        windows(F.col("near"), size).alias("n"), windows(F.col("wide"), size).alias("w"),
+        *[windows(F.col("bare"), n).alias(f"b{n}") for n in exact])).alias("place", "h"))
+    as_way = lambda window, kinds: F.struct(window.alias("window"), F.lit(kinds).alias("kinds"))
+    same = F.col("h.n") == F.col("h.w")
+    ways = F.array(as_way(F.col("h.n"), F.when(same, NEAR | WIDE).otherwise(NEAR)), as_way(F.when(~same, F.col("h.w")), WIDE),
+                   *[as_way(F.col(f"h.b{n}"), EXACT) for n in exact])
+    return each.select("doc_id", "tk", "place", F.inline(ways)).where("window is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: int = LEAST_WORDS) -> DataFrame:
     """One row per document text, item and alignment: doc_id, tk, item_id, shift, n_windows, n_slots, first, last.
 
-    Only benchmark windows with at least ``least`` plain words are joined; items of fewer than ``size``
-    words match nothing. Null texts and ids, and texts without words, match nothing. Repeated rows give
-    one set of matches. An empty table on either side gives an empty result.
+    Benchmark windows with at least ``least`` plain words are joined as templates, the others and whole items of
+    fewer than ``size`` words word for word (in lower case). Null texts and ids, and texts without words, match nothing.
+    Repeated rows give one set of matches. An empty table on either side gives an empty result.
     """
     work = Workspace(docs.sparkSession, "decontamination")
     items = benchmark.where("item_id is not null and text is not null").select("item_id", slotted(F.col("text")).alias("words"))
     items = work.save("items", items)
-    plain = F.size(F.filter(F.slice("words", F.col("at") + 1, size), lambda w: (w < _NUM) | (w >= _END)))
-    templates = items.withColumn("template", template(F.col("words")))
-    asked = templates.select("item_id", "words", F.posexplode(windows(F.col("template"), size)).alias("at", "window"))
-    asked = work.save("asked", asked.where(plain >= least).select("item_id", "at", "window").distinct())
+    asked = work.save("asked", _asked(items, size, least))
+    exact = sorted(r.length for r in asked.where(F.col("kinds").bitwiseAND(EXACT) != 0).select("length").distinct().collect())
     usable = docs.where("doc_id is not null and text is not null").select("doc_id", text_key().alias("tk"), "text")
-    # Each step is a column of its own: inlined into a lambda it would be worked out again for every window.
-    split = usable.select("doc_id", "tk", slotted(F.col("text")).alias("words"))
-    given = split.select("doc_id", "tk", template(F.col("words")).alias("words")).select(
-        "doc_id", "tk", F.posexplode(windows(F.col("words"), size)).alias("place", "window"))
     bounded = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    met = given.join(F.broadcast(asked) if bounded else asked, "window")
-    aligned = work.save("aligned", met.groupBy("doc_id", "tk", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last")))
-    per = aligned.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "shift", "n_windows", "first", "last")).alias("found"))
+    sought = asked.withColumnRenamed("kinds", "sought")
+    met = _given(usable, size, exact).join(F.broadcast(sought) if bounded else sought, "window")
+    common = F.col("kinds").bitwiseAND(F.col("sought"))
+    kind = F.filter(F.array(*map(F.lit, (NEAR, WIDE, EXACT))), lambda k: common.bitwiseAND(k) != 0)
+    aligned = met.where(common != 0).select("doc_id", "tk", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "length", F.explode(kind).alias("kind"))
+    aligned = work.save("aligned", aligned.groupBy("doc_id", "tk", "item_id", "shift", "kind").agg(
+        F.sort_array(F.collect_set("at")).alias("ats"), F.min("at").alias("first"), F.max(F.col("at") + F.col("length")).alias("end")))
+    per = aligned.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "shift", "kind", "ats", "first", "end")).alias("found"))
     words = usable.join(per, ["doc_id", "tk"]).select("doc_id", "tk", slotted(F.col("text")).alias("own"), F.explode("found").alias("f"))
-    covered = words.select("doc_id", "tk", "f.*", F.slice("own", F.col("f.first") + F.col("f.shift") + 1,
-                                                          F.col("f.last") - F.col("f.first") + size).alias("own"))
-    both = covered.join(items, "item_id").withColumn("theirs", F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + size))
+    covered = words.select("doc_id", "tk", "f.*", F.slice("own", F.col("f.first") + F.col("f.shift") + 1, F.col("f.end") - F.col("f.first")).alias("own"))
+    both = covered.join(items, "item_id").withColumn("theirs", F.slice("words", F.col("first") + 1, F.col("end") - F.col("first")))
+    seen = lambda side: F.when(F.col("kind") == WIDE, view(side, True)).otherwise(view(side, False))
+    both = both.withColumn("own", seen("own")).withColumn("theirs", seen("theirs"))
     # Slots of both sides side by side; only where both hold a slot of one type.
     is_slot = lambda p: (F.substring(p["own"], 1, 1) == F.substring(p["theirs"], 1, 1)) & (p["own"] >= _NUM) & (p["own"] < _END)
     pairs = F.array_distinct(F.filter(F.arrays_zip("own", "theirs"), is_slot))
     counted = both.withColumn("pairs", pairs)
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (distinct("own") == F.size("pairs")) & (distinct("theirs") == F.size("pairs"))
-    return counted.where(consistent).select("doc_id", "tk", "item_id", "shift", "n_windows", F.size("pairs").alias("n_slots"), "first", "last").distinct()
+    consistent = (F.col("kind") == EXACT) | ((distinct("own") == F.size("pairs")) & (distinct("theirs") == F.size("pairs")))
+    return counted.where(consistent).groupBy("doc_id", "tk", "item_id", "shift").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"),
+        F.min("first").alias("first"), F.max(F.element_at("ats", -1)).alias("last"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

@@ -125,6 +125,18 @@ def test_templates(spark, make_docs):
     assert decontamination.clean(docs, bench.where("false")).count() == docs.count()
 
 
+def test_every_item_is_joined(spark, make_docs):
+    texts = ["What is the capital of Australia?", "12 + 7 = 19, 30 - 4 = 26, 5 * 5 = 25", "The Great Fire Of London Began In Pudding Lane On Sunday",
+             "请问澳大利亚的首都是哪一个城市", "Maria had a basket of red apples for the school fair"]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    filler = " ".join(words(30, 5))
+    said = ["what is the capital of Australia", *texts[1:4], "Peter had a basket of red apples for the school fair"]
+    docs = make_docs(*[(i, f"{filler}\n({t}) {filler}") for i, t in enumerate(said)], (5, filler), (6, f"你好{texts[3][2:]}吗"),
+                     (7, "What is the capital of Austria"), (8, "12 + 7 = 18, 30 - 4 = 26, 5 * 5 = 24"), (9, texts[0]))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(i, i) for i in range(5)} | {(6, 3), (9, 0)}
+
+
 def test_leaks_equal_brute_force(spark, small):
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
 
