@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation (operator 6), DataFrame functions only.
 
 Numbers, names and units become typed placeholders; windows of ``size`` template words are hash-joined
-between documents and benchmark, and a match counts only if its slots are filled consistently: along one
-alignment a benchmark value always stands for the same document value and the other way round. Names are
-judged in two views, and what leaves too few plain words for a template is joined word for word.
+between documents and benchmark, and a match counts only if its slots are filled consistently: in one unbroken
+run of matched windows a benchmark value always stands for the same document value. Names are judged in two
+views, and what leaves too few plain words for a template is joined word for word. Of an inconsistent run,
+stretches of at least twice ``size`` words that are verbatim still count.
 """
 
 from __future__ import annotations
@@ -71,6 +72,25 @@ def windows(words, size: int):
         F.array().cast("array<bigint>"))
 
 
+def _runs(ats, length):
+    """The windows by runs, in each of which one overlaps or adjoins the next."""
+    starts = F.filter(ats, lambda a, i: (i == 0) | (a > F.get(ats, i - 1) + length))
+    return F.transform(starts, lambda s, i: F.filter(ats, lambda a: (a >= s) & (a < F.coalesce(F.get(starts, i + 1), F.lit(2**31 - 1)))))
+
+
+def _verbatim(ats, first, own, theirs, size: int):
+    """The windows inside verbatim stretches of at least twice ``size`` words."""
+    places = F.transform(F.arrays_zip(own, theirs), lambda p, i: F.when(p["own"] != p["theirs"], i))
+    ends = F.concat(F.array(F.lit(-1)), F.filter(places, lambda i: i.isNotNull()), F.array(F.size(own)))
+
+    def inside(at):
+        before = F.array_max(F.filter(ends, lambda e: e < at - first))
+        after = F.array_min(F.filter(ends, lambda e: e >= at - first))
+        return (after >= at - first + size) & (after - before > 2 * size)
+
+    return F.filter(ats, inside)
+
+
 def _asked(items: DataFrame, size: int, least: int) -> DataFrame:
     """item_id, at, length, window, kinds of all windows to look for."""
     views = items.withColumns({"near": template(view("words", False)), "wide": template(view("words", True)), "bare": bare("words")})
@@ -124,7 +144,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: int
     kind = F.filter(F.array(*map(F.lit, (NEAR, WIDE, EXACT))), lambda k: common.bitwiseAND(k) != 0)
     aligned = met.where(common != 0).select("doc_id", "tk", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "length", F.explode(kind).alias("kind"))
     aligned = work.save("aligned", aligned.groupBy("doc_id", "tk", "item_id", "shift", "kind").agg(
-        F.sort_array(F.collect_set("at")).alias("ats"), F.min("at").alias("first"), F.max(F.col("at") + F.col("length")).alias("end")))
+        F.sort_array(F.collect_set("at")).alias("ats"), F.max("length").alias("length")))
+    aligned = aligned.select("doc_id", "tk", "item_id", "shift", "kind", "length", F.explode(_runs(F.col("ats"), F.col("length"))).alias("ats"))
+    aligned = aligned.withColumns({"first": F.element_at("ats", 1), "end": F.element_at("ats", -1) + F.col("length")})
     per = aligned.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "shift", "kind", "ats", "first", "end")).alias("found"))
     words = usable.join(per, ["doc_id", "tk"]).select("doc_id", "tk", slotted(F.col("text")).alias("own"), F.explode("found").alias("f"))
     covered = words.select("doc_id", "tk", "f.*", F.slice("own", F.col("f.first") + F.col("f.shift") + 1, F.col("f.end") - F.col("f.first")).alias("own"))
@@ -135,11 +157,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, least: int
     is_slot = lambda p: (F.substring(p["own"], 1, 1) == F.substring(p["theirs"], 1, 1)) & (p["own"] >= _NUM) & (p["own"] < _END)
     pairs = F.array_distinct(F.filter(F.arrays_zip("own", "theirs"), is_slot))
     counted = both.withColumn("pairs", pairs)
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (F.col("kind") == EXACT) | ((distinct("own") == F.size("pairs")) & (distinct("theirs") == F.size("pairs")))
-    return counted.where(consistent).groupBy("doc_id", "tk", "item_id", "shift").agg(
+    consistent = (F.col("kind") == EXACT) | (F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))) == F.size("pairs"))
+    verbatim = _verbatim(F.col("ats"), F.col("first"), F.col("own"), F.col("theirs"), size)
+    judged = counted.withColumns({"ats": F.when(consistent, F.col("ats")).otherwise(verbatim),
+                                  "pairs": F.when(consistent, F.col("pairs")).otherwise(F.filter("pairs", lambda p: p["own"] == p["theirs"]))})
+    return judged.where(F.size("ats") > 0).groupBy("doc_id", "tk", "item_id", "shift").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"),
-        F.min("first").alias("first"), F.max(F.element_at("ats", -1)).alias("last"))
+        F.min(F.element_at("ats", 1)).alias("first"), F.max(F.element_at("ats", -1)).alias("last"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

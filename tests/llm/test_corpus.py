@@ -137,6 +137,18 @@ def test_every_item_is_joined(spark, make_docs):
     assert got == {(i, i) for i in range(5)} | {(6, 3), (9, 0)}
 
 
+def test_slots_are_judged_by_run(spark, make_docs):
+    some = lambda tag, n: " ".join(f"{tag}{chr(97 + i)}" for i in range(n))
+    item = f"{some('p', 20)} then Maria left and {some('q', 20)} then Maria came {some('r', 9)}"
+    sums = f"he took 3 red and 5 green ones {some('s', 4)}"
+    bench = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    docs = make_docs((1, item.replace("Maria came", "Anna came")), (2, sums.replace("3", "4").replace("5", "4")),
+                     (3, item.replace(some("q", 20), some("t", 20)).replace("Maria came", "Anna came")), (4, some("u", 26)), (5, item))
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 1), (5, 1)} and got[(5, 1)] == 56 - 7
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [4]
+
+
 def test_leaks_equal_brute_force(spark, small):
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
 
