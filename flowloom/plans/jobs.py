@@ -27,13 +27,16 @@ def store(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
-def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime) -> DataFrame:
-    """CSV or capture files into the flow table partitioned by date, with a repeatable ``flow_id``."""
+def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime, time_unit: str = "s") -> DataFrame:
+    """CSV or capture files into the flow table partitioned by date, with a repeatable ``flow_id``.
+
+    ``time_unit`` is what epoch numbers of CSV files count; ``csvfiles.scan_quality`` lists the times that were replaced.
+    """
     kind = path.rstrip("/*").rsplit(".", 1)[-1].lower()
     if kind in ("pcap", "pcapng", "cap"):
         flows = capture.scan_capture(spark, path)
     elif kind == "csv" or "." not in path.rsplit("/", 1)[-1]:
-        flows = csvfiles.scan_csv(spark, path, ingest_ts, with_file=True)
+        flows = csvfiles.scan_csv(spark, path, ingest_ts, with_file=True, time_unit=time_unit)
     else:
         raise csvfiles.ImportFailure("only csv, pcap, pcapng and cap files can be read")
     csvfiles.write_flows(csvfiles.with_flow_id(flows).drop("source_file"), table)

@@ -6,13 +6,14 @@ from datetime import datetime
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from flowloom import schema as S
-from flowloom.sources.canonical import ImportFailure, canonicalise, synthesised_columns
+from flowloom.functions import scalars as X
+from flowloom.sources.canonical import ImportFailure, canonicalise, resolve_columns, synthesised_columns
 
 SUPPORTED_EXTENSIONS = ("csv", "pcap", "pcapng", "cap")
 
@@ -58,8 +59,8 @@ def _dialect_groups(spark: SparkSession, path: str | list[str]) -> list[Row]:
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | datetime, multi_line: bool = False,
-             with_file: bool = False) -> DataFrame:
-    """Canonical flows of CSV files with mixed charsets and headers.
+             with_file: bool = False, time_unit: str = "s") -> DataFrame:
+    """Canonical flows of CSV files with mixed charsets and headers; ``time_unit`` as in ``canonicalise``.
 
     Files of one charset and header line are read together. The grouping holds one entry per
     file, like Spark's own file index. gb18030 needs ``spark.sql.legacy.javaCharsets=true``.
@@ -73,7 +74,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | dateti
         keep = []
         if with_file:
             raw, keep = raw.withColumn("source_file", F.col("_metadata.file_name")), ["source_file"]
-        parts.append(canonicalise(raw, ingest_ts, keep))
+        parts.append(canonicalise(raw, ingest_ts, keep, time_unit))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -88,10 +89,10 @@ def import_report(flows: DataFrame, path: str, kind: str = "CSV") -> tuple[DataF
                          F.count_if(F.col("bytes") == 0).alias("zero_byte_rows")), seen
 
 
-def import_csv(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime) -> dict[str, object]:
+def import_csv(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime, time_unit: str = "s") -> dict[str, object]:
     """Scan, write the flow table, and report records, kind and synthesised columns."""
     header_columns = spark.read.option("header", True).csv(path).columns
-    frame, seen = import_report(scan_csv(spark, path, ingest_ts), path)
+    frame, seen = import_report(scan_csv(spark, path, ingest_ts, time_unit=time_unit), path)
     write_flows(frame, table)
     return {"type": "CSV", "records": seen.get["records"], "synthesised": synthesised_columns(header_columns)}
 
@@ -126,8 +127,18 @@ def write_canonical_csv(flows: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path))
 
 
-def quality_issues(raw: DataFrame, key: str) -> DataFrame:
-    """Rows breaking a rule: negative or non-integer byte count, wrong field count.
+def _replaced_time(raw: DataFrame, time_unit: str) -> list[Column]:
+    """The rule for times that ``canonicalise`` replaces; none without a time column."""
+    name = resolve_columns(raw.columns).get("timestamp")
+    if name is None:
+        return []
+    value = F.col("`" + name.replace("`", "``") + "`")
+    unread = X.parse_time(value, F.lit(None).cast("timestamp_ntz"), time_unit).isNull()
+    return [F.when(unread, F.struct(F.lit("replaced_time").alias("rule"), F.coalesce(value, F.lit("")).alias("value")))]
+
+
+def quality_issues(raw: DataFrame, key: str, time_unit: str | None = None) -> DataFrame:
+    """Rows breaking a rule: negative or non-integer byte count, wrong field count, with ``time_unit`` also a time not read in it.
 
     ``raw`` is text-typed; a ``_corrupt`` column (from a permissive read) marks rows whose
     field count is off. One row per broken rule.
@@ -137,6 +148,8 @@ def quality_issues(raw: DataFrame, key: str) -> DataFrame:
     whole = F.coalesce(value.rlike(r"^[+-]?\d+$"), F.lit(False))
     rules = [F.when(~whole, F.struct(F.lit("invalid_bytes").alias("rule"), F.coalesce(F.col("bytes").cast("string"), F.lit("")).alias("value"))),
              F.when(whole & (number < 0), F.struct(F.lit("negative_bytes").alias("rule"), F.col("bytes").cast("string").alias("value")))]
+    if time_unit:
+        rules += _replaced_time(raw, time_unit)
     if "_corrupt" in raw.columns:
         wrong = F.col("_corrupt").isNotNull()
         rules = [F.when(~wrong, r) for r in rules]
@@ -144,8 +157,8 @@ def quality_issues(raw: DataFrame, key: str) -> DataFrame:
     return raw.select(key, F.inline(F.array_compact(F.array(*rules))))
 
 
-def scan_quality(spark: SparkSession, path: str) -> DataFrame:
-    """Quality issues of CSV files by file and row text; missing columns come as one row per header.
+def scan_quality(spark: SparkSession, path: str, time_unit: str = "s") -> DataFrame:
+    """Quality issues of CSV files by file and row text; missing columns come as one row per header, replaced times one by one.
 
     Files are read by their own charset and header, as in ``scan_csv``.
     """
@@ -156,12 +169,15 @@ def scan_quality(spark: SparkSession, path: str) -> DataFrame:
         missing = [c for c in S.BASE_COLUMNS if c not in names]
         if missing:
             parts.append(spark.createDataFrame([("", "missing_column", c) for c in missing], "file string, rule string, value string"))
+            raw = reader.option("escape", '"').csv(group["files"]).toDF(*names).withColumn("file", F.col("_metadata.file_name"))
+            if rule := _replaced_time(raw, time_unit):
+                parts.append(raw.select("file", F.inline(F.array_compact(F.array(*rule)))))
             continue
         fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
         raw = (reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
                .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(group["files"])
                .withColumn("file", F.col("_metadata.file_name")))
-        parts.append(quality_issues(raw, "file"))
+        parts.append(quality_issues(raw, "file", time_unit))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -206,6 +206,20 @@ def test_quality_rules_on_files(spark, tmp_path):
     assert missing == set(S.BASE_COLUMNS) - {"timestamp", "bytes"}
 
 
+def test_epoch_unit_of_csv_files(spark, tmp_path):
+    path, table, other = tmp_path / "e.csv", str(tmp_path / "t"), str(tmp_path / "o")
+    path.write_text(HEADER + _line("a").replace("2024-01-01 10:00:00", "1704103200500") + _line("b").replace("2024-01-01 10:00:00", "soon"))
+    want = {("a", datetime(2024, 1, 1, 10, 0, 0, 500000)), ("b", datetime(2024, 2, 1))}
+    assert {(r["user"], r["timestamp"]) for r in jobs.ingest(spark, str(path), table, NOW, "ms").collect()} == want
+    csvfiles.import_csv(spark, str(path), other, NOW, "ms")
+    assert {(r["user"], r["timestamp"]) for r in csvfiles.read_flows(spark, other).collect()} == want
+    issues = lambda name, unit: {(r["rule"], r["value"]) for r in csvfiles.scan_quality(spark, str(name), unit).collect()}
+    assert issues(path, "ms") == {("replaced_time", "soon")}
+    assert issues(path, "s") == {("replaced_time", "soon"), ("replaced_time", "1704103200500")}
+    (tmp_path / "n.csv").write_text("timestamp,ip.src,ip.dst\n1704103200500,10.0.0.1,8.8.8.8\n")
+    assert ("replaced_time", "1704103200500") in issues(tmp_path / "n.csv", "s")
+
+
 def test_history_append_find_page_and_retention(spark, tmp_path, make_flows):
     path = str(tmp_path / "reports")
     for day in (1, 5, 5, 9):
