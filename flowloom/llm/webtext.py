@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring (operator 8).
 
 Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best
-container and its good siblings are kept.
+container is kept with all of the article around it, or else with its good siblings.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert dia
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "score", "chars", "link", "kept")
+    __slots__ = ("tag", "parent", "cut", "score", "own", "chars", "link", "kept")
 
     def __init__(self, tag: str, parent: _Node | None, cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
-        self.score, self.chars, self.link, self.kept = 0.0, 0, 0, None
+        self.score, self.own, self.chars, self.link, self.kept = 0.0, 0.0, 0, 0, None
 
 
 def _is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -132,6 +132,7 @@ def extract(page: str | None) -> str:
     for node, text, linked in blocks:
         points = 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
         up, level = node.parent if node.tag not in ("body", "article", "main", "div", "section") and node.parent else node, 0
+        node.own += points if up is not node else 0
         walk = node
         while walk:
             walk.chars += len(text)
@@ -148,9 +149,18 @@ def extract(page: str | None) -> str:
     if final[id(best)] <= 0:
         return ""
     least = max(1.0, 0.2 * final[id(best)])
-    for n in seen.values():
-        n.kept = n is best or (n.parent is best.parent and best.parent is not None and n.link < 0.5 * n.chars
-                               and (final[id(n)] >= least or (n.tag == "p" and n.chars > 80)))
+    whole = best
+    while whole and whole.tag not in ("article", "main"):
+        whole = whole.parent
+    siblings = [n for n in seen.values() if n.parent is best.parent and n is not best]
+    if whole is None and best.parent is not None and all(n.link < 0.5 * n.chars for n in siblings):
+        whole = best.parent
+    best.kept = True
+    if whole:
+        whole.kept = True
+    for n in siblings:
+        own = n.own * (1.0 - n.link / max(1, n.chars))
+        n.kept = n.kept or (n.link < 0.5 * n.chars and (max(final[id(n)], own) >= least or (n.tag not in ("div", "section") and n.chars > 80)))
 
     def inside(node: _Node | None) -> bool:
         while node:

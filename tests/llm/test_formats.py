@@ -44,6 +44,19 @@ def test_page_text():
     assert webtext.extract("<div><p>one, two</p></div><p>" + "long text, " * 20 + "</p>").endswith("long text,")
 
 
+def test_pages_keep_the_whole_article():
+    long, code = "long text, with commas, " * 20, "x = 1\n" * 40
+    page = (f"<body><article><h1>Title</h1><p class=lead>Short lead</p><div class=body><p>{long}</p></div><pre>{code}</pre></article>"
+            "<div class=sidebar><p>other</p></div></body>")
+    text = webtext.extract(page)
+    assert text.split("\n")[:2] == ["Title", "Short lead"] and text.endswith("x = 1") and "other" not in text
+    short = webtext.extract(f"<article><section><p>{long}</p></section><section><p>short</p></section></article>")
+    assert short.endswith("short")
+    links = "<ul>" + "<li><a href=x>go there</a></li>" * 5 + "</ul>"
+    loose = webtext.extract(f"<div><h1>Title</h1><div><p>{long}</p><p>{long}</p></div><pre>{code}</pre>{links}</div>")
+    assert loose.endswith("x = 1") and "go there" not in loose
+
+
 def test_page_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "<p>a</p>", "x")],
                                   "page_id long, url string, html string, text string")
