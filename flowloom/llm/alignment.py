@@ -9,6 +9,8 @@ is told how well its own links agree with the corpus.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,18 @@ from pyspark.sql import functions as F
 from flowloom.llm.storage import Workspace
 
 #: Characters of texts handled at once in a task; a longer text is handled alone.
-SLICE = 1 << 19
+SLICE = 1 << 17
+#: Links of a group up to which they are simply listed; in larger groups equal ids are folded first.
+LISTED = 64
 #: Links expanded at once.
 EXPAND = 1 << 20
 #: Of R (document, pair) rows only HEAVY pairs can have R / HEAVY rows or more; their table is broadcast.
 HEAVY = 1 << 16
 B_BITS = 24
+#: Fixed value: how the byte-level pre-tokenizer cuts a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space from which the faster library may run out of stack.
+LONG_SPACE = re.compile(r"\s{5000}")
 
 
 def _byte_level() -> dict[str, int]:
@@ -35,7 +43,11 @@ def _byte_level() -> dict[str, int]:
 
 
 class ByteBpe:
-    """A byte-level tokenizer file; the text gets a leading space."""
+    """A byte-level tokenizer file; the text gets a leading space.
+
+    Where the file's merges come in the order of their ids and its words are cut by ``WORDS``, the same vocabulary is run by
+    the faster ``tiktoken``, which gives the same ids; tests hold both against each other.
+    """
 
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
@@ -46,9 +58,28 @@ class ByteBpe:
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.fast = self._ranked(json.loads(raw))
+
+    def _ranked(self, file: dict):
+        model, words = file["model"], file.get("pre_tokenizer") or {}
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", ())]
+        plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and not file.get("normalizer")
+        if not plain or model.get("ignore_merges") or merged != list(range(256, 256 + len(merged))):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(merged) else None
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            if self.fast is None or (len(text) > 5000 and LONG_SPACE.search(text)):
+                found = self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+                out.append(np.array(found, np.int64))
+            else:
+                out.append(self.fast.encode_to_numpy(" " + text).astype(np.int64))
+        return out
 
 
 class PieceBpe:
@@ -61,13 +92,13 @@ class PieceBpe:
         self.bytes = [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i)
                       else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def coalesce(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> np.ndarray:
+def coalesce(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Group number of each interval: sorted by start, a group breaks where a start reaches the running maximum end."""
-    order = np.lexsort((side, start))
+    order = np.lexsort((start,))
     reach = np.maximum.accumulate(end[order])
     fresh = np.ones(len(order), bool)
     fresh[1:] = start[order][1:] >= reach[:-1]
@@ -82,46 +113,60 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_keys)))
 
 
-def _folded(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal keys folded, their weights added up, in the order of the keys."""
+def _folded(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys folded with their weights added up (1 each if none are given), in the order of the keys."""
+    if weight is None:
+        key = np.sort(key)
+        start, n = _runs(key)
+        return key[start], n
     order = np.argsort(key, kind="stable")
     start, _ = _runs(key[order])
     return key[order][start], np.add.reduceat(weight[order], start) if len(start) else weight[:0]
 
 
-def linked_pairs(ids_a, group_a, ids_b, group_b, group_doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, pair key, links) of all documents, each pair of a document once, in order.
-
-    Equal ids of one side of a group are folded before the sides meet, and at most about ``EXPAND`` pairs (or those of one
-    id) are held before they are folded by document.
-    """
-    sides = []
-    for ids, group in ((ids_a, group_a), (ids_b, group_b)):
-        key, n = _folded((group << B_BITS) | ids, np.ones(len(ids), np.int64))
-        sides.append((key >> B_BITS, key & ((1 << B_BITS) - 1), n))
-    (ga, ia, na), (gb, ib, nb) = sides
-    first, last = np.searchsorted(gb, ga, "left"), np.searchsorted(gb, ga, "right")
-    width = last - first
-    done, held = np.concatenate([[0], np.cumsum(width)]), []
-    row = 0
-    while row < len(ga):
+def _expanded(first_a, n_a, first_b, n_b, of_a, of_b, head) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, place in A, place in B) of all pairs of each group, some ``EXPAND`` at a time; ``head`` is a group's key part."""
+    width = np.repeat(n_b, n_a)
+    a = np.arange(len(width)) + np.repeat(first_a - np.concatenate([[0], np.cumsum(n_a)[:-1]]) if len(n_a) else n_a, n_a)
+    first, head = np.repeat(first_b, n_a), np.repeat(head, n_a)
+    done, row = np.concatenate([[0], np.cumsum(width)]), 0
+    while row < len(width):
         stop = max(row + 1, int(np.searchsorted(done, done[row] + EXPAND, "right")) - 1)
         w = width[row:stop]
-        a = np.repeat(np.arange(row, stop), w)
-        b = np.arange(done[row], done[stop]) - np.repeat(done[row:stop], w) + np.repeat(first[row:stop], w)
-        pair, doc = (ia[a] << B_BITS) | ib[b], group_doc[ga[a]]
-        order = np.lexsort((pair, doc))
-        pair, doc, links = pair[order], doc[order], (na[a] * nb[b])[order]
-        start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
-        held.append((doc[start], pair[start], np.add.reduceat(links, start)))
+        left = np.repeat(a[row:stop], w)
+        right = np.arange(done[row], done[stop]) + np.repeat(first[row:stop] - done[row:stop], w)
+        yield np.repeat(head[row:stop], w) | (of_a[left] << B_BITS) | of_b[right], left, right
         row = stop
-    if len(held) < 2:
-        return held[0] if held else (np.zeros(0, np.int64),) * 3
-    doc, pair, links = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((pair, doc))
-    doc, pair = doc[order], pair[order]
-    start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]))
-    return doc[start], pair[start], np.add.reduceat(links[order], start)
+
+
+def linked_pairs(ids_a, in_a, ids_b, in_b, group_doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pair key, links) of all documents, each pair of a document once, in order.
+
+    ``in_a`` and ``in_b`` are the tokens of each group. Links of small groups are listed and counted. In larger ones equal
+    ids of a side are folded before the sides meet. About ``EXPAND`` pairs, or those of one id, are held before they
+    are folded by document.
+    """
+    if not len(group_doc):
+        return (np.zeros(0, np.int64),) * 3
+    docs, local = np.unique(group_doc, return_inverse=True)
+    if len(docs) >= 1 << 63 - 2 * B_BITS:
+        raise ValueError("too many documents in one slice")
+    head = local.astype(np.int64) << 2 * B_BITS
+    first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    small = in_a * in_b <= LISTED
+    held = [_folded(key) for key, _, _ in _expanded(*(x[small] for x in (first_a, in_a, first_b, in_b)), ids_a, ids_b, head[small])]
+    if not small.all():
+        sides = []
+        for ids, n in ((ids_a, in_a), (ids_b, in_b)):
+            group = np.repeat(np.arange(len(n)), n)
+            key, times = _folded((group << B_BITS | ids)[~small[group]])
+            distinct = np.bincount(key >> B_BITS, minlength=len(n))
+            sides.append((key & ((1 << B_BITS) - 1), times, np.cumsum(distinct) - distinct, distinct))
+        (ia, ta, fa, na), (ib, tb, fb, nb) = sides
+        for key, left, right in _expanded(fa, na, fb, nb, ia, ib, head):
+            held.append(_folded(key, ta[left] * tb[right]))
+    key, links = held[0] if len(held) == 1 else _folded(*(np.concatenate(x) for x in zip(*held)))
+    return docs[key >> 2 * B_BITS], key & ((1 << 2 * B_BITS) - 1), links
 
 
 class Aligner:
@@ -130,27 +175,29 @@ class Aligner:
     def __init__(self, raw_a: bytes, raw_b: bytes):
         self.a, self.b = ByteBpe(raw_a), PieceBpe(raw_b)
         self.size_a, self.size_b = (np.array([len(t) for t in x.bytes], np.int64) for x in (self.a, self.b))
+        self.bytes_a, self.bytes_b = np.empty(len(self.size_a), object), np.empty(len(self.size_b), object)
+        self.bytes_a[:], self.bytes_b[:] = self.a.bytes, self.b.bytes
         # An id is printed with what follows it: "," inside a side, "|" after A's last, ";" after B's last of a group.
         self.shown = np.array([f"{i}{mark}" for n, marks in ((len(self.size_a), ",|"), (len(self.size_b), ",;"))
                                for mark in marks for i in range(n)], object)
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both tokenizers; none where the joined bytes of either differ from space and text."""
-        out = []
+        out, none = [], np.zeros(0, np.int64)
         for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
             whole = b" " + text.encode("utf-8", "surrogatepass")
-            same = text and b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b.bytes.__getitem__, b)) == whole
-            out.append((a, b) if same else ([], []))
+            same = text and b"".join(self.bytes_a[a].tolist()) == whole and b"".join(self.bytes_b[b].tolist()) == whole
+            out.append((a, b) if same else (none, none))
         return out
 
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """Per text: counts, printed groups, and its pairs with their numbers of links (``pair_ends`` cuts them by text)."""
         tokens = self.tokens(texts)
         n_a, n_b = (np.array([len(t[i]) for t in tokens], np.int64) for i in (0, 1))
-        ids_a, ids_b = (np.array([x for t in tokens for x in t[i]], np.int64) for i in (0, 1))
+        ids_a, ids_b = (np.concatenate([t[i] for t in tokens]) for i in (0, 1))
         ends = [np.cumsum(size[ids]) for size, ids in ((self.size_a, ids_a), (self.size_b, ids_b))]
         starts = [end - size[ids] for end, size, ids in zip(ends, (self.size_a, self.size_b), (ids_a, ids_b))]
-        group = coalesce(np.concatenate(starts), np.concatenate(ends), np.repeat([0, 1], [len(ids_a), len(ids_b)]))
+        group = coalesce(np.concatenate(starts), np.concatenate(ends))
         group_a, group_b = group[:len(ids_a)], group[len(ids_a):]
         doc_a = np.repeat(np.arange(len(texts)), n_a)
         first_a, in_a = _runs(group_a)
@@ -159,7 +206,7 @@ class Aligner:
         n_groups = np.bincount(group_doc, minlength=len(texts))
         n_links = np.zeros(len(texts), np.int64)
         np.add.at(n_links, group_doc, in_a * in_b)
-        doc, pair, links = linked_pairs(ids_a, group_a, ids_b, group_b, group_doc)
+        doc, pair, links = linked_pairs(ids_a, in_a, ids_b, in_b, group_doc)
         return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "pairs": pair, "links": links,
                 "pair_ends": np.searchsorted(doc, np.arange(len(texts) + 1)),
                 "groups": self._printed(ids_a, group_a, in_a, ids_b, group_b, in_b, n_a + n_b)}

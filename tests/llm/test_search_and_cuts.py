@@ -130,9 +130,19 @@ def test_fim_table(spark):
     assert {r.fim.form for r in fim.transform(docs, rate=0).collect()} == {"plain"}
 
 
+def test_fast_and_plain_byte_bpe_agree():
+    bpe = alignment.ByteBpe(alignment._read(FILES[0]))
+    assert bpe.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b  {chr(c)} 1{chr(c)}2 .{chr(c)}." for c in points[i:i + 500]) for i in range(0, len(points), 500)]
+    texts += [" " * 6000 + "x" + " " * 6000, "it's <|endoftext|> they'LL 've\r\n \t x", "ab" * 20000]
+    plain = bpe.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(bpe.encode(texts), plain))
+
+
 def _groups(aligner, text):
     """Groups between the places where both tokenizers end a token."""
-    (a, b), = aligner.tokens([text])
+    a, b = (x.tolist() for x in aligner.tokens([text])[0])
     ends = [np.cumsum([len(x.bytes[i]) for i in ids]).astype(int).tolist() for x, ids in ((aligner.a, a), (aligner.b, b))]
     out, i, j = [], 0, 0
     for place in sorted(set(ends[0]) & set(ends[1])):
@@ -176,9 +186,11 @@ def test_pairs_are_expanded_in_pieces(monkeypatch):
     want = Counter()
     for a, g in zip(ids_a.tolist(), group_a.tolist()):
         want.update((int(group_doc[g]), a << alignment.B_BITS | b) for b in ids_b[group_b == g].tolist())
-    for size in (alignment.EXPAND, 100):
+    in_a, in_b = (np.bincount(g, minlength=7) for g in (group_a, group_b))
+    for size, listed in ((alignment.EXPAND, 64), (100, 64), (100, 7000), (alignment.EXPAND, 7000)):
         monkeypatch.setattr(alignment, "EXPAND", size)
-        doc, pair, n = alignment.linked_pairs(ids_a, group_a, ids_b, group_b, group_doc)
+        monkeypatch.setattr(alignment, "LISTED", listed)
+        doc, pair, n = alignment.linked_pairs(ids_a, in_a, ids_b, in_b, group_doc)
         assert dict(zip(zip(doc.tolist(), pair.tolist()), n.tolist())) == dict(want)
         assert sorted(doc.tolist()) == doc.tolist()
 
