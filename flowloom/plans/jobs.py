@@ -34,12 +34,12 @@ def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime
     """
     kind = path.rstrip("/*").rsplit(".", 1)[-1].lower()
     if kind in ("pcap", "pcapng", "cap"):
-        flows = capture.scan_capture(spark, path)
+        flows, _ = capture.import_capture(spark, path)
     elif kind == "csv" or "." not in path.rsplit("/", 1)[-1]:
         flows = csvfiles.scan_csv(spark, path, ingest_ts, with_file=True, time_unit=time_unit)
     else:
         raise csvfiles.ImportFailure("only csv, pcap, pcapng and cap files can be read")
-    csvfiles.write_flows(csvfiles.with_flow_id(flows).drop("source_file"), table)
+    csvfiles.write_flows(csvfiles.with_flow_id(flows).drop("source_file", "source_path", "offset"), table)
     return csvfiles.read_flows(spark, table)
 
 

@@ -101,8 +101,11 @@ def with_flow_id(flows: DataFrame) -> DataFrame:
     """Adds ``flow_id``, a key drawn from the row itself and its place among equal rows.
 
     The same rows get the same keys in whatever order or split they are read. A ``source_file``
-    column keeps equal rows of different files apart.
+    column keeps equal rows of different files apart. Rows of captures have their key from file and offset,
+    without a shuffle.
     """
+    if {"source_path", "offset"} <= set(flows.columns):
+        return flows.withColumn("flow_id", F.xxhash64("source_path", "offset"))
     content = flows.withColumn("_content", F.xxhash64(*flows.columns))
     nth = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(0)))
     return content.withColumn("flow_id", F.xxhash64("_content", nth)).drop("_content")
