@@ -20,9 +20,29 @@ def _plain(frame, column="ts"):
     return frame.withColumn(column, F.col(column).cast("timestamp_ntz"))
 
 
-add("g2_running_totals",
-    lambda spark, sf: G.running_totals(V.flows(spark, sf)).select("events", "total_bytes", "last_event_at"),
-    on_flows(f"SELECT count(*) AS events, {big('sum(bytes)')} AS total_bytes, max({T}) AS last_event_at FROM flows"))
+_WALK = """hits AS (
+  SELECT src_ip, epoch_us("timestamp") AS us, dst_port AS port, row_number() OVER (PARTITION BY src_ip ORDER BY "timestamp", flow_id) AS n
+  FROM flows WHERE src_ip IS NOT NULL AND "timestamp" IS NOT NULL),
+walk AS (
+  SELECT src_ip, n, us, [{'t': us, 'p': port}] AS seen, 0 AS fired FROM hits WHERE n = 1
+  UNION ALL
+  SELECT src_ip, n, us, CASE WHEN len(now) >= 6 THEN now[1:0] ELSE now END, CASE WHEN len(now) >= 6 THEN len(now) ELSE 0 END FROM (
+    SELECT h.src_ip, h.n, h.us, list_append(list_filter(w.seen, lambda x: x.t >= h.us - 30000000 AND x.p <> h.port),
+                                            {'t': h.us, 'p': h.port}) AS now
+    FROM walk w JOIN hits h ON h.src_ip = w.src_ip AND h.n = w.n + 1))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+add("g2_running_totals", lambda spark, sf: G.running_totals(V.flows(spark, sf)), _recursive(on_flows(
+    f"SELECT count(*) AS events, {big('sum(bytes)')} AS total_bytes, count(DISTINCT {U}) AS unique_users, count(DISTINCT src_ip) AS unique_src_ips, "
+    f"{big(f'count(*) FILTER (bytes >= 50000) + count(*) FILTER (dst_port IN ({_susp})) + (SELECT count(*) FROM walk WHERE fired > 0)')} AS alerts, "
+    f"max({T}) AS last_event_at FROM flows", _WALK)))
+add("g4_port_scan_alerts", over_flows(G.port_scan_alerts), _recursive(on_flows(
+    "SELECT make_timestamp(us) AS ts, 'high' AS level, 'port_scan' AS title, src_ip AS entity, fired || ' ports in 30 s' AS detail "
+    "FROM walk WHERE fired > 0", _WALK)))
 _buckets = (f"b AS (SELECT time_bucket(INTERVAL '5 seconds', {T}) AS ts, {big('sum(bytes)')} AS bytes, count(*) AS events "
             "FROM flows GROUP BY 1)")
 add("g3_traffic_buckets", lambda spark, sf: _plain(G.traffic_buckets(_zoned(spark, sf))), on_flows("SELECT * FROM b", _buckets))

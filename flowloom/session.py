@@ -18,6 +18,8 @@ def build_session(app: str = "flowloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.legacy.javaCharsets": "true",  # gb18030 files
+        # Map and list state with timers (live port scans) need this store.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from flowloom import schema as S
 from flowloom.functions import scalars as X
 from flowloom.operators.common import rows, sum_bytes
-from flowloom.operators.traffic import top_text
+from flowloom.operators.traffic import recent_downloads, top_text
+from flowloom.streaming.increments import IncrementTable
+from flowloom.streaming.scans import ALERT_FIELDS, LATE, port_scan_alerts, scan_events, scan_step  # noqa: F401
 
 WATERMARK = "30 seconds"
-ALERT_FIELDS = ["ts", "level", "title", "entity", "detail"]
 
 
 def live_schema() -> T.StructType:
@@ -34,18 +31,74 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return (spark.readStream.schema(live_schema()).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """Totals of the whole stream; distinct counts are sketches of fixed size."""
-    return events.agg(rows("events"), sum_bytes(name="total_bytes"),
-                      F.approx_count_distinct("user", 0.01).alias("unique_users"),
-                      F.approx_count_distinct("src_ip", 0.01).alias("unique_src_ips"),
-                      F.max("timestamp").alias("last_event_at"))
+_TOTALS = ("events", "total_bytes", "unique_users", "unique_src_ips", "alerts", "last_event_at")
+
+
+def running_totals(events: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Totals of a table of flows, exact: events, bytes, users, source addresses, alerts, time of the last event.
+
+    Alerts are large flows, sensitive ports and scans; ``scans`` are the scan alerts if already at hand.
+    """
+    alerts = F.count_if(F.col("bytes") >= S.LIVE_LARGE_FLOW_BYTES) + F.count_if(F.col("dst_port").isin(S.SUSPICIOUS_PORTS))
+    fired = (port_scan_alerts(events) if scans is None else scans).agg(rows("n")).scalar()
+    return events.agg(rows("events"), sum_bytes(name="total_bytes"), F.countDistinct("user").alias("unique_users"),
+                      F.countDistinct("src_ip").alias("unique_src_ips"), alerts.alias("alerts"),
+                      F.max("timestamp").alias("last_event_at")).withColumn("alerts", F.col("alerts") + fired).select(*_TOTALS)
+
+
+def _total_parts(batch: DataFrame) -> DataFrame:
+    """Totals of one micro-batch: sums, and one sketch of fixed size for each distinct count."""
+    alerts = F.count_if(F.col("bytes") >= S.LIVE_LARGE_FLOW_BYTES) + F.count_if(F.col("dst_port").isin(S.SUSPICIOUS_PORTS))
+    return batch.agg(rows("events"), sum_bytes(name="total_bytes"), F.hll_sketch_agg("user", 14).alias("users"),
+                     F.hll_sketch_agg("src_ip", 14).alias("src_ips"), alerts.alias("alerts"), F.max("timestamp").alias("last_event_at"))
+
+
+def _merged_totals(parts: DataFrame) -> DataFrame:
+    return parts.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("events", "total_bytes")),
+                     *(F.hll_union_agg(c).alias(c) for c in ("users", "src_ips")), F.coalesce(F.sum("alerts"), F.lit(0).cast("bigint")).alias("alerts"),
+                     F.max("last_event_at").alias("last_event_at"))
+
+
+def total_increments(spark: SparkSession, table: str) -> IncrementTable:
+    """Running totals of a stream. Distinct counts are sketches (standard error 0.8 %), the rest is exact; the alerts are the
+    stateless ones, scan alerts stand in their own table."""
+    return IncrementTable(spark, table, _total_parts, _merged_totals)
+
+
+def read_totals(table: IncrementTable, scans: DataFrame | None = None) -> DataFrame:
+    """The six totals as of the last finished batch; ``scans`` are the stream's scan alerts."""
+    fired = F.lit(0).cast("bigint") if scans is None else scans.where(F.col("title") == "port_scan").agg(rows("n")).scalar()
+    return table.read().select("events", "total_bytes", F.hll_sketch_estimate("users").alias("unique_users"),
+                               F.hll_sketch_estimate("src_ips").alias("unique_src_ips"), (F.col("alerts") + fired).alias("alerts"), "last_event_at")
+
+
+def second_increments(spark: SparkSession, table: str) -> IncrementTable:
+    """Bytes and events per second of event time, kept from a stream: buckets and rates are read from it, late events included."""
+    def partial(batch: DataFrame) -> DataFrame:
+        return batch.where("timestamp is not null").groupBy(F.date_trunc("second", "timestamp").alias("second")).agg(sum_bytes(), rows("events"))
 
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("second").agg(F.sum("bytes").alias("bytes"), F.sum("events").alias("events"))
 
-def traffic_buckets(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Bytes and events per five seconds. Events later than the watermark stay in the raw table only."""
+    return IncrementTable(spark, table, partial, merge)
+
+
+def read_buckets(table: IncrementTable) -> DataFrame:
+    """Five-second buckets of a stream's seconds."""
+    return table.read().groupBy(F.window("second", f"{S.LIVE_BUCKET_SECONDS} seconds").alias("w")).agg(
+        F.sum("bytes").alias("bytes"), F.sum("events").alias("events")).select(F.col("w.start").alias("ts"), "bytes", "events")
+
+
+def read_rate(table: IncrementTable) -> DataFrame:
+    """Events per second over five seconds, each second, of a stream's seconds."""
+    return table.read().groupBy(F.window("second", "5 seconds", "1 second").alias("w")).agg(F.sum("events").alias("n")).select(
+        F.col("w.end").alias("ts"), (F.col("n").cast("double") / 5.0).alias("events_per_second"))
+
+
+def traffic_buckets(events: DataFrame) -> DataFrame:
+    """Bytes and events per five seconds of a table; a stream keeps them through :func:`second_increments`."""
     seconds = f"{S.LIVE_BUCKET_SECONDS} seconds"
-    return (events.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", seconds).alias("w"))
+    return (events.groupBy(F.window("timestamp", seconds).alias("w"))
             .agg(sum_bytes(), rows("events")).select(F.col("w.start").alias("ts"), "bytes", "events"))
 
 
@@ -69,10 +122,9 @@ def latest_buckets(buckets: DataFrame, kept: int = S.LIVE_BUCKETS_KEPT) -> DataF
                          F.coalesce(hit["events"], zero).alias("events"))
 
 
-def event_rate(events: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
-    """Events per second over a five-second window sliding by one second."""
-    timed = events.withWatermark("timestamp", watermark) if watermark else events
-    return (timed.groupBy(F.window("timestamp", "5 seconds", "1 second").alias("w")).agg(rows("n"))
+def event_rate(events: DataFrame) -> DataFrame:
+    """Events per second over a five-second window sliding by one second, of a table; for a stream see :func:`read_rate`."""
+    return (events.groupBy(F.window("timestamp", "5 seconds", "1 second").alias("w")).agg(rows("n"))
             .select(F.col("w.end").alias("ts"), (F.col("n").cast("double") / 5.0).alias("events_per_second")))
 
 
@@ -93,50 +145,9 @@ def sensitive_ports(events: DataFrame) -> DataFrame:
                   F.concat_ws(" / ", "user", "src_ip"), F.format_string("port %d", "dst_port"))
 
 
-def scan_step(seen: list[tuple[int, int]], ts_us: int, port: int) -> tuple[list[tuple[int, int]], int]:
-    """Remember one hit; return the new memory and the port count if the rule fires, else 0.
-
-    The memory holds the last time of each port seen within 30 seconds, so it is bounded by the
-    rule itself: six different ports fire and clear it.
-    """
-    oldest = ts_us - S.LIVE_SCAN_SECONDS * 1_000_000
-    seen = [(t, p) for t, p in seen if t >= oldest and (p != port or t > ts_us)]
-    if all(p != port for _, p in seen):
-        seen.append((ts_us, port))
-    ports = {p for _, p in seen}
-    return ([], len(ports)) if len(ports) >= S.LIVE_SCAN_PORTS else (seen, 0)
-
-
-def _scan_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    times, ports = state.get if state.exists else ([], [])
-    seen, fired = list(zip(times, ports)), []
-    # Only time and port of this source in this micro-batch are held, in event order.
-    hits = pd.concat([b[["ts_us", "flow_id", "dst_port"]] for b in batches]).sort_values(["ts_us", "flow_id"])
-    for ts_us, port in zip(hits["ts_us"].tolist(), hits["dst_port"].tolist()):
-        seen, count = scan_step(seen, ts_us, port)
-        if count:
-            fired.append((pd.Timestamp(ts_us, unit="us"), "high", "port_scan", key[0], f"{count} ports in 30 s"))
-    if seen:
-        state.update(([t for t, _ in seen], [p for _, p in seen]))
-        # Event time this far ahead makes every remembered hit useless.
-        wake = max(t for t, _ in seen) // 1000 + S.LIVE_SCAN_SECONDS * 1000 + 1
-        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    if fired:
-        yield pd.DataFrame(fired, columns=ALERT_FIELDS)
-
-
 def port_scans(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Stateful scan rule per source. State is at most five ports per source and expires by event time."""
-    keyed = events.withWatermark("timestamp", watermark).select(
-        "src_ip", "timestamp", "flow_id", "dst_port", F.unix_micros("timestamp").alias("ts_us"))
-    return keyed.groupBy("src_ip").applyInPandasWithState(
-        _scan_state, "ts timestamp, level string, title string, entity string, detail string",
-        "times array<bigint>, ports array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+    """Scan alerts of a stream, in event order per source; see :mod:`flowloom.streaming.scans`."""
+    return scan_events(events, watermark).where(F.col("title") != LATE)
 
 
 def port_scan_windows(flows: DataFrame, chunk_seconds: int = 60) -> DataFrame:
@@ -224,18 +235,18 @@ def session_status(flows: DataFrame) -> DataFrame:
     return out
 
 
-def stream_counts(events: DataFrame, column: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep counts per value of ``column`` as a table of mergeable increments.
+def count_increments(spark: SparkSession, table: str, column: str) -> IncrementTable:
+    """Packets and bytes per value of ``column``, kept from a stream."""
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(column).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+
+    return IncrementTable(spark, table, lambda batch: batch.groupBy(column).agg(rows("packets"), sum_bytes()), merge)
 
-    Each micro-batch writes its own folder, overwritten if the batch is retried after a failure,
-    so the sums stay exact.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy(column).agg(rows("packets"), sum_bytes()).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
-    return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def stream_counts(events: DataFrame, column: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep counts per value of ``column`` as a table of mergeable increments."""
+    return count_increments(events.sparkSession, table, column).start(events, checkpoint)
 
 
 def read_counts(spark: SparkSession, table: str, column: str) -> DataFrame:
-    return spark.read.parquet(table).groupBy(column).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    return count_increments(spark, table, column).read()
