@@ -58,8 +58,41 @@ def _model(name):
     return run
 
 
+_nine = ", ".join(
+    half_up(f"CASE WHEN coalesce(stddev_pop({c}) OVER (), 0) <= abs(avg({c}) OVER ()) * CAST(1e-12 AS DOUBLE) THEN CAST(0 AS DOUBLE) "
+            f"ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END", 9) for c in S.FEATURE_NAMES)
+_square = " + ".join(f"(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])" for i in range(1, len(S.FEATURE_NAMES) + 1))
+#: The factor by all pairs: equal vectors are one point with a weight, neighbours are cut at k by distance and then digest.
+_FACTOR = f"""
+vecs AS (SELECT {USER}, [{_nine}] AS v FROM feats),
+pts AS (SELECT v, count(*) AS w, md5(array_to_string([CAST(round(x * CAST(1e9 AS DOUBLE)) AS BIGINT) FOR x IN v], ',')) AS vid FROM vecs GROUP BY v),
+size AS (SELECT count(*) AS n, least(20, count(*) - 1) AS k FROM vecs),
+pairs AS (
+  SELECT a.vid, b.vid AS nid, round(sqrt({_square}), 12) AS dist, b.w FROM pts a JOIN pts b ON a.vid <> b.vid
+  UNION ALL SELECT vid, vid, CAST(0 AS DOUBLE), w - 1 FROM pts WHERE w > 1),
+near AS (
+  SELECT vid, nid, dist, least(w, k - before) AS w FROM (
+    SELECT *, coalesce(sum(w) OVER (PARTITION BY vid ORDER BY dist, nid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pairs), size
+  WHERE before < k),
+kdist AS (SELECT vid, max(dist) AS kd FROM near GROUP BY 1),
+lrd AS (
+  SELECT n.vid, CAST(1 AS DOUBLE) / (sum(greatest(d.kd, n.dist) * n.w) / sum(n.w) + CAST(1e-10 AS DOUBLE)) AS lrd
+  FROM near n JOIN kdist d ON d.vid = n.nid GROUP BY 1),
+factor AS (
+  SELECT n.vid, round(sum(m.lrd * n.w) / sum(n.w) / any_value(l.lrd), 9) AS o FROM near n JOIN lrd m ON m.vid = n.nid JOIN lrd l ON l.vid = n.vid GROUP BY n.vid),
+scored AS (SELECT v.{USER}, f.o FROM vecs v JOIN pts p ON p.v = v.v JOIN factor f ON f.vid = p.vid),
+place AS (SELECT list(o ORDER BY o) AS os, any_value(n) AS n, (CAST(1 AS DOUBLE) - least(CAST(0.1 AS DOUBLE), greatest(
+  CAST(1 AS DOUBLE) / any_value(n), CAST(0.01 AS DOUBLE)))) * (any_value(n) - 1) AS pos FROM scored, size),
+cut AS (SELECT os[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * (os[least(CAST(floor(pos) AS BIGINT) + 2, n)] - os[CAST(floor(pos) AS BIGINT) + 1])
+  AS c FROM place)"""
+_lof = _model("local_outlier_factor")
 add("f3_isolation_forest", _model("isolation_forest"))
-add("f4_local_outlier_factor", _model("local_outlier_factor"))
+add("f4_local_outlier_factor", lambda spark, sf: _lof(spark, sf).selectExpr(
+    "user", "floor(outlyingness * 10000D + 0.5D) / 10000D AS outlyingness", "is_anomaly", "anomaly_score"),
+    on_flows(f"SELECT {USER}, {half_up('o', 4)} AS outlyingness, o > (SELECT c FROM cut) AS is_anomaly, "
+             f"CASE WHEN max(o) OVER () - min(o) OVER () < CAST(1e-9 AS DOUBLE) THEN CAST(50 AS DOUBLE) ELSE "
+             + half_up("(o - min(o) OVER ()) / (max(o) OVER () - min(o) OVER ()) * CAST(100 AS DOUBLE)", 2) + " END AS anomaly_score FROM scored",
+             FEATURES.strip(), _FACTOR.strip()))
 add("f5_one_class_svm", _model("one_class_svm"))
 add("f6_ensemble_vote", lambda spark, sf: M.ensemble(V.flows(spark, sf))["anomalies"])
 add("f10_model_summary", lambda spark, sf: M.model_report(V.flows(spark, sf), "isolation_forest")["summary"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.operators.anomaly import features as U
+from flowloom.session import durable
 
 TREES, SAMPLE = 120, 256
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -27,7 +28,7 @@ def average_path(size: np.ndarray | int):
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     tree = int(pdf["tree"].iloc[0])
-    points = np.array(pdf.sort_values("draw")["v"].tolist())
+    points = np.array(pdf.sort_values(["draw", "user"])["v"].tolist())
     rng = np.random.default_rng([seed, tree])
     limit = math.ceil(math.log2(max(len(points), 2)))
     nodes, open_nodes = [], [(0, np.arange(len(points)), 0)]
@@ -54,17 +55,33 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
-def fit(vectors: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = U.SEED) -> pd.DataFrame:
-    """All trees as one small node table (at most trees x 511 rows).
+def drawn_users(vectors: DataFrame, users: int, trees: int = TREES, sample: int = SAMPLE, seed: int = U.SEED) -> DataFrame:
+    """(tree, draw, v): for every tree the ``sample`` users of all whose draw is least, all of them if there are fewer.
 
-    Draws depend on the user name and seed only, never on partitioning. A pool of
-    trees x sample users is enough for every tree, however many users there are.
+    A draw is a hash of seed, tree and user, so it never depends on partitioning. Users beyond a threshold that lets
+    through some twice as many as wanted are left out before the shuffle; the threshold is raised until no tree lacks users.
+    What is left is cut to ``sample`` rows a tree in each task and once more after the shuffle.
     """
-    pool = vectors.withColumn("h", F.xxhash64(F.lit(seed), "user")).orderBy("h", "user").limit(trees * sample).drop("h")
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "draw", F.xxhash64(F.lit(seed), "tree", "user"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "user"))
-    drawn = spread.withColumn("r", rank).where(F.col("r") <= sample).select("tree", "draw", "v")
+    ahead = 2.0
+    while True:
+        share = min(1.0, ahead * sample / max(users, 1))
+        limit = F.lit(int((share - 0.5) * 2.0 ** 64)) if share < 1.0 else F.lit((1 << 63) - 1)
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, "user").alias("draw")))
+        near = vectors.select("user", "v", F.explode(F.filter(draws, lambda d: d["draw"] <= limit)).alias("d")).select("user", "v", "d.tree", "d.draw")
+        drawn = near.withColumn("r", rank).where(F.col("r") <= sample).select("tree", "draw", "user", "v")
+        if share >= 1.0:
+            return drawn
+        drawn = durable(drawn)
+        counts = drawn.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(sample, users)).count()
+        if counts == trees:
+            return drawn
+        ahead *= 8
+
+
+def fit(vectors: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = U.SEED, users: int | None = None) -> pd.DataFrame:
+    """All trees as one small node table (at most trees x 511 rows), each grown from a sample of all users."""
+    drawn = drawn_users(vectors, vectors.count() if users is None else users, trees, sample, seed)
     return drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed), _NODES).toPandas()
 
 
@@ -99,5 +116,5 @@ def outlyingness(vectors: DataFrame, nodes: pd.DataFrame, users: int, sample: in
 
 
 def detect(vectors: DataFrame, users: int, contamination: float = U.CONTAMINATION, seed: int = U.SEED) -> DataFrame:
-    nodes = fit(vectors, seed=seed)
+    nodes = fit(vectors, seed=seed, users=users)
     return U.flag_outliers(outlyingness(vectors, nodes, users), users, contamination)

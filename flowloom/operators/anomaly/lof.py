@@ -1,10 +1,10 @@
 """Local outlier factor on exact nearest neighbours, without comparing all pairs.
 
-Equal vectors are merged first and carry a weight, so copies never pile up in one task. The
-rest is a Voronoi partitioning: points go to their nearest pivot, a first neighbour search in
-the own cell gives each point a radius, and only cells that can hold something nearer (triangle
-and hyperplane bounds, both exact) are searched as well. Cells are cut into blocks of bounded
-size on both sides of the search, so a dense cell becomes many tasks.
+Equal vectors are merged first and carry a weight, so copies never pile up in one task. The rest lies in a
+two-level tree of boxes. The upper level is cut at medians of a sample whose size grows with the square root of the
+data, so its cells hold about equally many points; a task cuts its cell further into leaves of at most
+``LEAF`` points with their bounding boxes. A search takes leaves by distance, nearest first, and its radius shrinks
+as it goes. Points whose radius leaves their upper cell visit the nearest other cell, and then every cell still in reach.
 """
 
 from __future__ import annotations
@@ -21,15 +21,25 @@ from pyspark.sql.window import Window
 from flowloom.operators.anomaly import features as U
 from flowloom.session import durable
 
-NEIGHBOURS, BLOCK, CELL_TARGET, MAX_PIVOTS = 20, 20_000, 2_000, 4_096
-_CHUNK = 512
+#: Least points of an upper cell, points of a leaf, sampled points for each upper cell, queries of one task.
+NEIGHBOURS, CELL, LEAF, SAMPLED, BLOCK = 20, 4_096, 128, 64, 20_000
+#: Points compared with a group of queries at once.
+STEP = 1_024
+_SLACK = 1e-9  # keeps rounding from hiding a tie
 _FOUND = "vid string, nid string, dist double, w bigint"
 
 
 def distinct_points(vectors: DataFrame) -> DataFrame:
-    """(vid, v, w): one row per different vector with the number of users sharing it."""
-    return vectors.groupBy("v").agg(F.count(F.lit(1)).alias("w")).select(
-        F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).alias("vid"), "v", "w")
+    """(vid, v, w): one row per different vector with the number of users sharing it.
+
+    ``vid`` is a digest of the coordinates in steps of 1e-9, as :func:`U.vectors` rounds them, and of their text where
+    they are finer.
+    """
+    steps = F.transform("v", lambda x: F.round(x * 1e9).cast("bigint"))
+    plain = F.forall("v", lambda x: F.round(x * 1e9).cast("bigint") / 1e9 == x)
+    text = F.array_join(F.transform("v", lambda x: x.cast("string")), ",")
+    vid = F.concat(F.md5(F.array_join(steps.cast("array<string>"), ",")), F.when(plain, "").otherwise(F.concat(F.lit(":"), F.md5(text))))
+    return vectors.groupBy("v").agg(F.count(F.lit(1)).alias("w")).select(vid.alias("vid"), "v", "w")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,65 +50,134 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and distance to it."""
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), _CHUNK):
-                part = batch.iloc[at:at + _CHUNK]
-                d = _distances(np.array(part["v"].tolist()), shared.value)
-                cell = d.argmin(axis=1)
-                yield part.assign(cell=cell, d=d[np.arange(len(part)), cell])
-
-    return points.mapInPandas(run, "vid string, v array<double>, w bigint, cell int, d double")
+def box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each point (or box, given as its own low and high) to each box; 0 inside."""
+    first, last = (x, x) if not isinstance(x, tuple) else x
+    total = np.zeros((len(first), len(low)))
+    for j in range(low.shape[1]):
+        gap = np.maximum(low[None, :, j] - last[:, j, None], first[:, j, None] - high[None, :, j])
+        total += np.maximum(gap, 0.0) ** 2
+    return np.sqrt(total)
 
 
-def _search(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """The k nearest data points per query inside (cell, data block, query block) groups."""
+def median_cuts(x: np.ndarray, leaves: int, most: int = 0) -> tuple[list[tuple[int, float, int, int]], list[np.ndarray]]:
+    """Cuts (dimension, value, below, above) and the rows of each leaf; a negative side -1 - i is leaf i.
+
+    The largest part is cut at the median of its widest dimension until there are ``leaves`` parts, or until none has more than
+    ``most`` rows. Rows must differ from each other to be told apart.
+    """
+    cuts: list[tuple[int, float, int, int]] = []
+    parts: list[np.ndarray] = []
+    todo = [(np.arange(len(x)), leaves, None)]
+    while todo:
+        rows, share, place = todo.pop()
+        spread = x[rows].max(axis=0) - x[rows].min(axis=0) if len(rows) else np.zeros(1)
+        if (len(rows) <= most if most else share < 2) or len(rows) < 2 or not spread.max() > 0:
+            number = -1 - len(parts)
+            parts.append(rows)
+        else:
+            axis = int(spread.argmax())
+            values = np.sort(x[rows, axis])
+            value = values[(len(rows) - 1) // 2]
+            if value == values[-1]:  # more than half lie on the maximum
+                value = values[values < value][-1]
+            below = x[rows, axis] <= value
+            number = len(cuts)
+            cuts.append((axis, float(value), 0, 0))
+            todo += [(rows[~below], share // 2, (number, 3)), (rows[below], share - share // 2, (number, 2))]
+        if place is not None:
+            cut = list(cuts[place[0]])
+            cut[place[1]] = number
+            cuts[place[0]] = tuple(cut)
+    return cuts, parts
+
+
+def _leaf_of(x: np.ndarray, cuts: list[tuple[int, float, int, int]]) -> np.ndarray:
+    at = np.zeros(len(x), np.int64) if cuts else np.full(len(x), -1)
+    table = np.array([(a, b, c) for a, _, b, c in cuts], np.int64).reshape(-1, 3)
+    values = np.array([c[1] for c in cuts])
+    while (inner := at >= 0).any():
+        rows = np.flatnonzero(inner)
+        axis, below, above = table[at[rows]].T
+        at[rows] = np.where(x[rows, axis] <= values[at[rows]], below, above)
+    return -1 - at
+
+
+class Leaves:
+    """Points of one upper cell in boxes."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+        _, parts = median_cuts(points, 0, LEAF)
+        self.order = np.concatenate(parts)
+        self.bounds = np.cumsum([0, *map(len, parts)])
+        self.points, self.ids, self.weights = points[self.order], ids[self.order], weights[self.order]
+        self.low = np.array([self.points[a:b].min(axis=0) for a, b in zip(self.bounds, self.bounds[1:])])
+        self.high = np.array([self.points[a:b].max(axis=0) for a, b in zip(self.bounds, self.bounds[1:])])
+        #: Places in the order of the ids, which settles equal distances.
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[np.argsort(self.ids, kind="stable")] = np.arange(len(ids))
+        self.visits = self.asked = 0
+
+    def nearest(self, queries: np.ndarray, names: np.ndarray, radius: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance) of the ``k`` nearest within each query's radius, itself left out."""
+        home = box_distance(queries, self.low, self.high).argmin(axis=1) if len(queries) <= 4096 else np.concatenate(
+            [box_distance(queries[i:i + 4096], self.low, self.high).argmin(axis=1) for i in range(0, len(queries), 4096)])
+        found = [np.zeros((3, 0))]
+        order = np.argsort(home, kind="stable")
+        # Queries of one leaf go together, so that what is near to one is near to all.
+        edges = np.flatnonzero(np.diff(home[order])) + 1
+        for a, b in zip([0, *edges], [*edges, len(order)]):
+            for at in range(a, b, LEAF):
+                found.append(self._group(order[at:min(at + LEAF, b)], queries, names, radius, k))
+        rows, places, dist = np.concatenate(found, axis=1)
+        return rows.astype(np.int64), places.astype(np.int64), dist
+
+    def _group(self, own: np.ndarray, queries: np.ndarray, names: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
+        x, limit = queries[own], radius[own].copy()
+        far = box_distance((x.min(axis=0)[None], x.max(axis=0)[None]), self.low, self.high)[0]
+        rows, places, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        todo, at = np.argsort(far, kind="stable"), 0
+        self.asked += len(own)
+        while at < len(todo) and far[todo[at]] <= limit.max() + _SLACK:
+            stop, size = at, 0
+            while stop < len(todo) and size < STEP and far[todo[stop]] <= limit.max() + _SLACK:
+                size += self.bounds[todo[stop] + 1] - self.bounds[todo[stop]]
+                stop += 1
+            boxes, at = todo[at:stop], stop
+            reach = box_distance(x, self.low[boxes], self.high[boxes]) <= limit[:, None] + _SLACK
+            self.visits += int(reach.sum())
+            sizes = self.bounds[boxes + 1] - self.bounds[boxes]
+            wanted = np.repeat(self.bounds[boxes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            d = np.round(_distances(x, self.points[wanted]), 12)
+            good = np.repeat(reach, sizes, axis=1) & (d <= limit[:, None] + _SLACK) & (names[own][:, None] != self.ids[wanted][None, :])
+            r, c = np.nonzero(good)
+            rows, places, dist = np.concatenate([rows, r]), np.concatenate([places, wanted[c]]), np.concatenate([dist, d[r, c]])
+            best = np.lexsort((self.rank[places], dist, rows))
+            rows, places, dist = rows[best], places[best], dist[best]
+            first = np.searchsorted(rows, rows)
+            keep = np.arange(len(rows)) - first < k
+            rows, places, dist = rows[keep], places[keep], dist[keep]
+            full = np.bincount(rows, minlength=len(own)) >= k
+            last = np.searchsorted(rows, np.arange(len(own)), "right") - 1
+            limit = np.where(full, np.minimum(limit, dist[np.maximum(last, 0)] if len(dist) else np.inf), limit)
+        return np.stack([own[rows], places, dist])
+
+
+def _search(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The k nearest points of the asked upper cell within the radius of each query (vid, v, cell, ub)."""
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "nid": [], "dist": [], "w": []}).astype(
-                {"vid": str, "nid": str, "dist": float, "w": "int64"})
-        right = right.sort_values("vid", kind="stable")
-        points, ids, weights = np.array(right["v"].tolist()), right["vid"].to_numpy(), right["w"].to_numpy()
-        out = []
-        for at in range(0, len(left), _CHUNK):
-            part = left.iloc[at:at + _CHUNK]
-            names = part["vid"].to_numpy()
-            d = np.round(_distances(np.array(part["v"].tolist()), points), 12)
-            d[names[:, None] == ids[None, :]] = np.inf
-            keep = min(k, d.shape[1])
-            near = np.argsort(d, axis=1, kind="stable")[:, :keep]
-            dist = np.take_along_axis(d, near, axis=1)
-            rows = np.isfinite(dist)
-            out.append(pd.DataFrame({"vid": np.repeat(names, keep)[rows.ravel()], "nid": ids[near][rows],
-                                     "dist": dist[rows], "w": weights[near][rows]}))
-        return pd.concat(out)
-
-    keys = ["cell", "ds", "qs"]
-    # Fresh column identities: both sides may stem from the same frame.
-    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
-    return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(block, _FOUND)
-
-
-def _blocks(rows: F.Column) -> F.Column:
-    return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.lit(1)).cast("int")
-
-
-def _cut(queries: DataFrame, data: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give both sides block numbers; each side is repeated for the blocks of the other."""
-    demand = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    # One row per pivot, so at most MAX_PIVOTS rows.
-    plan = F.broadcast(sizes.join(demand, "cell").select(
-        "cell", _blocks(F.col("rows")).alias("nd"), _blocks(F.col("asked")).alias("nq")))
-    slot = F.xxhash64("vid")
-    q = (queries.join(plan, "cell").withColumn("qs", F.pmod(slot, F.col("nq")).cast("int"))
-         .withColumn("ds", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).select("vid", "v", "cell", "ds", "qs"))
-    d = (data.join(plan, "cell").withColumn("ds", F.pmod(slot, F.col("nd")).cast("int"))
-         .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("vid", "v", "w", "cell", "ds", "qs"))
-    return q, d
+            return pd.DataFrame({"vid": [], "nid": [], "dist": [], "w": []}).astype({"vid": str, "nid": str, "dist": float, "w": "int64"})
+        leaves = Leaves(np.array(right["v"].tolist()), right["vid"].to_numpy(), right["w"].to_numpy())
+        names = left["vid"].to_numpy()
+        rows, places, dist = leaves.nearest(np.array(left["v"].tolist()), names, left["ub"].to_numpy(float), k)
+        return pd.DataFrame({"vid": names[rows], "nid": leaves.ids[places], "dist": dist, "w": leaves.weights[places]})
+
+    asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nq"))
+    left = queries.join(asked, "cell").select("vid", "v", "ub", F.col("cell").alias("cell"), F.pmod(F.xxhash64("vid"), F.col("nq")).cast("int").alias("qs"))
+    right = placed.select("vid", "v", "w", "cell").join(asked, "cell").select(
+        *(F.col(c).alias(c) for c in ("vid", "v", "w", "cell")), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qs"))
+    return left.groupBy("cell", "qs").cogroup(right.groupBy("cell", "qs")).applyInPandas(block, _FOUND)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -109,49 +188,65 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
             .withColumn("w", F.least(F.col("w"), F.lit(k) - F.col("before"))).drop("before"))
 
 
-def _other_cells(points: DataFrame, pivots: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """Further cells that may hold a neighbour nearer than ``ub``."""
-    context = points.sparkSession.sparkContext
-    shared = context.broadcast((pivots, radius, _distances(pivots, pivots)))
+def _place(points: DataFrame, count: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Points with their upper cell, and the cells' boxes (low, high)."""
+    cells = math.ceil(count / max(CELL, 8 * math.isqrt(count)))
+    sample = np.array([r["v"] for r in points.orderBy("vid").limit(SAMPLED * cells).select("v").collect()]) if cells > 1 else np.zeros((1, 1))
+    cuts, _ = median_cuts(sample, cells)
+    shared = points.sparkSession.sparkContext.broadcast(cuts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=_leaf_of(np.array(batch["v"].tolist()), shared.value).astype("int32"))
+
+    placed = durable(points.mapInPandas(run, "vid string, v array<double>, w bigint, cell int"))
+    size = len(points.select("v").first()["v"])
+    rows = placed.groupBy("cell").agg(F.array(*(F.min(F.col("v")[i]) for i in range(size))).alias("low"),
+                                      F.array(*(F.max(F.col("v")[i]) for i in range(size))).alias("high")).collect()
+    low, high = np.full((len(cuts) + 1, size), np.inf), np.full((len(cuts) + 1, size), -np.inf)
+    for r in rows:  # one row per upper cell
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+    return placed, low, high
+
+
+def _other_cells(points: DataFrame, low: np.ndarray, high: np.ndarray, first: bool) -> DataFrame:
+    """Other upper cells within each point's radius: the nearest one, or all but that one."""
+    shared = points.sparkSession.sparkContext.broadcast((low, high))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, reach, between = shared.value
+        lows, highs = shared.value
         for batch in batches:
-            for at in range(0, len(batch), _CHUNK):
-                part = batch.iloc[at:at + _CHUNK]
-                d = _distances(np.array(part["v"].tolist()), centres)
-                own, ub = part["cell"].to_numpy(), part["ub"].to_numpy()[:, None]
-                gap = between[own]
-                plane = (d ** 2 - (d[np.arange(len(part)), own] ** 2)[:, None]) / np.where(gap > 0, 2 * gap, np.inf)
-                # A hair of slack keeps rounding from hiding a tie.
-                visit = (np.maximum(d - reach[None, :], plane) <= ub + 1e-9) & (reach[None, :] >= 0)
-                visit[np.arange(len(part)), own] = False
-                rows, cells = np.nonzero(visit)
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                far = box_distance(np.array(part["v"].tolist()), lows, highs)
+                far[np.arange(len(part)), part["cell"].to_numpy()] = np.inf
+                near = far.argmin(axis=1)
+                reached = np.isfinite(far) & (far <= part["ub"].to_numpy()[:, None] + _SLACK)
+                chosen = np.zeros_like(reached)
+                chosen[np.arange(len(part)), near] = True
+                rows, cells = np.nonzero(reached & (chosen if first else ~chosen))
                 hit = part.iloc[rows]
-                yield pd.DataFrame({"vid": hit["vid"].to_numpy(), "v": hit["v"].to_numpy(), "cell": cells.astype("int32")})
+                yield pd.DataFrame({"vid": hit["vid"].to_numpy(), "v": hit["v"].to_numpy(), "ub": hit["ub"].to_numpy(), "cell": cells.astype("int32")})
 
-    return points.mapInPandas(run, "vid string, v array<double>, cell int")
+    return points.mapInPandas(run, "vid string, v array<double>, ub double, cell int")
 
 
 def neighbours(points: DataFrame, k: int) -> DataFrame:
     """Exact k nearest neighbours (vid, nid, dist, w) of weighted distinct points."""
-    count = points.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(count / CELL_TARGET)))
-    pivots = np.array([r["v"] for r in points.orderBy("vid").limit(wanted).select("v").collect()])
-    placed = durable(_assign(points, pivots))
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("radius"))
-    radius = np.full(len(pivots), -1.0)
-    for row in sizes.collect():  # one row per pivot
-        radius[row["cell"]] = row["radius"]
+    placed, low, high = _place(points, points.count())
+    start = placed.select("vid", "v", "cell", F.lit(float("inf")).alias("ub"))
     copies = placed.where("w > 1").select("vid", F.col("vid").alias("nid"), F.lit(0.0).alias("dist"), (F.col("w") - 1).alias("w"))
-    near = durable(_nearest(_search(*_cut(placed.select("vid", "v", "cell"), placed, sizes), k).unionByName(copies), k))
-    full = near.groupBy("vid").agg(F.sum("w").alias("got"), F.max("dist").alias("far"))
-    # A cell with fewer than k others gives no radius: then every cell is searched.
-    limit = F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
-    bounded = placed.join(full, "vid", "left").withColumn("ub", F.coalesce(limit, F.lit(float("inf"))))
-    visits = durable(_other_cells(bounded.select("vid", "v", "cell", "ub"), pivots, radius))
-    further = _search(*_cut(visits, placed, sizes), k)
-    return _nearest(near.unionByName(further), k)
+    near = durable(_nearest(_search(start, placed, k).unionByName(copies), k))
+    if len(low) == 1:
+        return near
+    for first in (True, False):
+        full = near.groupBy("vid").agg(F.sum("w").alias("got"), F.max("dist").alias("far"))
+        limit = F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+        bounded = placed.join(full, "vid", "left").select("vid", "v", "cell", F.coalesce(limit, F.lit(float("inf"))).alias("ub"))
+        visits = durable(_other_cells(bounded, low, high, first))
+        near = durable(_nearest(near.unionByName(_search(visits, placed, k)), k))
+    return near
 
 
 def outlyingness(vectors: DataFrame, users: int, k: int = NEIGHBOURS) -> DataFrame:

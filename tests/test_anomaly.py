@@ -31,14 +31,41 @@ def cloud():
 
 
 def test_lof_equals_all_pairs_with_many_cells_and_blocks(spark, cloud, monkeypatch):
-    monkeypatch.setattr(lof, "CELL_TARGET", 12)
+    monkeypatch.setattr(lof, "CELL", 25)
+    monkeypatch.setattr(lof, "LEAF", 4)
     monkeypatch.setattr(lof, "BLOCK", 7)
+    monkeypatch.setattr(lof.math, "isqrt", lambda n: 1)
     got = {r["user"]: r["outlyingness"] for r in lof.outlyingness(_vectors(spark, cloud), len(cloud)).collect()}
     want = _brute_lof(cloud, 20)
     assert len(got) == len(cloud)
     assert np.allclose([got[f"u{i:04d}"] for i in range(len(cloud))], want, atol=1e-6)
 
 
+def test_visited_leaves_stay_flat_as_points_grow():
+    visits = {}
+    for n in (20_000, 200_000):
+        rng = np.random.default_rng(9)
+        points = np.round(rng.lognormal(0, 1.5, (n, 3)), 9)
+        leaves = lof.Leaves(points, np.arange(n).astype(str), np.ones(n, np.int64))
+        ask = rng.choice(n, 2000, replace=False)
+        rows, places, dist = leaves.nearest(points[ask], ask.astype(str), np.full(2000, np.inf), 20)
+        visits[n] = leaves.visits / leaves.asked
+        assert len(rows) == 2000 * 20 and (np.diff(leaves.bounds) <= lof.LEAF).all()
+        for i in range(5):
+            d = np.sort(np.delete(np.round(np.sqrt(((points - points[ask[i]]) ** 2).sum(1)), 12), ask[i]))[:20]
+            assert np.array_equal(dist[rows == i], d)
+    assert visits[200_000] < 1.3 * visits[20_000] and visits[200_000] < 200_000 / lof.LEAF / 10
+
+
+def test_median_cuts_tell_rows_apart():
+    x = np.array([[0.0, 0.0]] * 1 + [[5.0, i] for i in range(9)] + [[5.0 - 1e-9, 3.0]])
+    cuts, parts = lof.median_cuts(x, 0, 1)
+    assert sorted(map(len, parts)) == [1] * 11
+    leaf = lof._leaf_of(x, cuts)
+    assert all(parts[leaf[i]].tolist() == [i] for i in range(11))
+    assert lof._leaf_of(x, []).tolist() == [0] * 11
+
+
 def test_lof_counts_copies(spark):
     rng = np.random.default_rng(5)
     base = np.round(rng.normal(0, 1, (60, 3)), 9)
@@ -65,6 +92,27 @@ def test_forest_does_not_depend_on_partitioning(spark, cloud):
     assert one == many
 
 
+def test_trees_draw_from_all_users(spark):
+    rng = np.random.default_rng(6)
+    vectors = _vectors(spark, np.round(rng.normal(size=(3000, 2)), 6))
+    drawn = iforest.drawn_users(vectors, 3000, trees=40, sample=16)
+    rows = drawn.collect()
+    by_tree = {}
+    for r in rows:
+        by_tree.setdefault(r["tree"], set()).add(r["user"])
+    assert len(by_tree) == 40 and {len(u) for u in by_tree.values()} == {16}
+    want = vectors.selectExpr("user", "explode(sequence(0, 39)) AS tree").selectExpr("user", "tree", f"xxhash64({U.SEED}, tree, user) AS draw").toPandas()
+    least = want.sort_values(["tree", "draw", "user"]).groupby("tree").head(16)
+    assert {(t, u) for t, us in by_tree.items() for u in us} == set(zip(least["tree"], least["user"]))
+    # Not only the users that come first by one hash: a pool of 640 would hold a fifth of all.
+    first = set(vectors.selectExpr("user", f"xxhash64({U.SEED}, user) AS h").orderBy("h").limit(640).toPandas()["user"])
+    assert len({r["user"] for r in rows} - first) > 300
+    small = iforest.drawn_users(vectors.limit(5), 5, trees=3, sample=16).collect()
+    assert len(small) == 15
+    # A wrong number of users only costs another round.
+    assert iforest.drawn_users(vectors, 3_000_000, trees=4, sample=16).count() == 64
+
+
 def _exact_svm_scores(points, nu, gamma, steps):
     """The same conditional gradient on the full kernel matrix."""
     k = np.exp(-gamma * ((points[:, None] - points[None]) ** 2).sum(-1))
@@ -89,12 +137,48 @@ def test_svm_follows_the_kernel_solution(spark):
     vectors = _vectors(spark, points)
     weights = ocsvm.fit(vectors, n, 0.1, 0.25)
     got = {r["user"]: -r["outlyingness"] for r in ocsvm.outlyingness(vectors, weights, 0.25).collect()}
-    want = _exact_svm_scores(points, 0.1, 0.25, ocsvm.STEPS)
+    want = _exact_svm_scores(points, 0.1, 0.25, 2000)
     values = np.array([got[f"u{i:04d}"] for i in range(n)])
     assert set(np.argsort(want)[:2]) == set(np.argsort(values)[:2]) == {150, 151}
     assert np.corrcoef(values, want)[0, 1] > 0.95
 
 
+def test_svm_ends_within_its_gap_of_the_direct_solution(spark):
+    rng = np.random.default_rng(12)
+    points = np.round(np.vstack([rng.normal(0, 0.6, (200, 3)), [[5, 5, 5]]]), 9)
+    n, nu, gamma = len(points), 0.1, 1 / 3
+    found = ocsvm.fit_model(_vectors(spark, points), n, nu, gamma)
+    z = ocsvm._mapper(3, gamma, U.SEED)(__import__("pandas").Series(points.tolist()))
+    # Direct: projected gradient over the capped weights of all points.
+    cap, alpha, k = 1 / (nu * n), np.full(n, 1 / n), z @ z.T
+    step = 1 / np.linalg.eigvalsh(k)[-1]
+    for _ in range(5000):
+        x = alpha - step * (k @ alpha)
+        low, high = x.min() - 1, x.max()
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.clip(x - mid, 0, cap).sum() > 1 else (low, mid)
+        alpha = np.clip(x - low, 0, cap)
+    least, got = float(alpha @ k @ alpha), float(found.weights @ found.weights)
+    assert least <= got + 1e-6 and got - least <= found.gap + 1e-6
+    assert found.gap <= ocsvm.TOLERANCE * got and 1 < found.steps < 100
+    scores = z @ found.weights
+    assert np.corrcoef(scores, k @ alpha)[0, 1] > 0.999 and np.argmin(scores) == 200
+
+
+def test_least_norm_mix():
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(30, 4)) + 1.5
+    share = ocsvm.least_norm(points, np.eye(30)[0], 1e-9)
+    w = share @ points
+    assert abs(share.sum() - 1) < 1e-9 and (share >= 0).all() and float((points @ w).min()) >= float(w @ w) - 1e-6
+
+
+def test_svm_warns_when_it_runs_out_of_steps(spark, cloud):
+    with pytest.warns(UserWarning, match="duality gap"):
+        assert ocsvm.fit_model(_vectors(spark, cloud), len(cloud), 0.1, 0.25, steps=1).gap > 0
+
+
 def test_svm_flags_about_nu(spark, cloud):
     assert 1 <= ocsvm.detect(_vectors(spark, cloud), len(cloud)).where("is_anomaly").count() <= 5
 
