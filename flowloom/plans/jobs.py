@@ -18,7 +18,7 @@ from flowloom.operators import traffic as B
 from flowloom.operators.anomaly import ensemble as M
 from flowloom.operators.anomaly import features as U
 from flowloom.session import durable
-from flowloom.sources import capture, csvfiles, history
+from flowloom.sources import capture, csvfiles, history, rownumbers
 
 
 def store(frame: DataFrame, path: str) -> DataFrame:
@@ -28,7 +28,9 @@ def store(frame: DataFrame, path: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime, time_unit: str = "s") -> DataFrame:
-    """CSV or capture files into the flow table partitioned by date, with a repeatable ``flow_id``.
+    """CSV or capture files into the flow table partitioned by date, with a repeatable ``flow_id`` from file and place.
+
+    The numbers of the files stand in ``<table>_files``.
 
     ``time_unit`` is what epoch numbers of CSV files count; ``csvfiles.scan_quality`` lists the times that were replaced.
     """
@@ -39,7 +41,8 @@ def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime
         flows = csvfiles.scan_csv(spark, path, ingest_ts, with_file=True, time_unit=time_unit)
     else:
         raise csvfiles.ImportFailure("only csv, pcap, pcapng and cap files can be read")
-    csvfiles.write_flows(csvfiles.with_flow_id(flows).drop("source_file", "source_path", "offset"), table)
+    keyed = rownumbers.with_flow_id(flows, f"{table.rstrip('/')}_files", place="offset" if "offset" in flows.columns else "row")
+    csvfiles.write_flows(keyed.drop("source_file", "source_path", "offset", "row"), table)
     return csvfiles.read_flows(spark, table)
 
 

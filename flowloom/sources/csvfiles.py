@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from flowloom import schema as S
 from flowloom.functions import scalars as X
 from flowloom.sources.canonical import ImportFailure, canonicalise, resolve_columns, synthesised_columns
+from flowloom.sources.rownumbers import row_counts, with_row_number
 
 SUPPORTED_EXTENSIONS = ("csv", "pcap", "pcapng", "cap")
 
@@ -63,7 +63,8 @@ def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | dateti
     """Canonical flows of CSV files with mixed charsets and headers; ``time_unit`` as in ``canonicalise``.
 
     Files of one charset and header line are read together. The grouping holds one entry per
-    file, like Spark's own file index. gb18030 needs ``spark.sql.legacy.javaCharsets=true``.
+    file, like Spark's own file index. ``with_file`` adds source_file (the name), source_path and row (its number in the
+    file, 2 for the first below the header). gb18030 needs ``spark.sql.legacy.javaCharsets=true``.
     """
     parts = []
     for group in _dialect_groups(spark, path):
@@ -73,7 +74,8 @@ def scan_csv(spark: SparkSession, path: str | list[str], ingest_ts: str | dateti
         raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
         keep = []
         if with_file:
-            raw, keep = raw.withColumn("source_file", F.col("_metadata.file_name")), ["source_file"]
+            raw = with_row_number(raw).withColumn("source_file", F.element_at(F.split("source_path", "/"), -1))
+            keep = ["source_file", "source_path", "row"]
         parts.append(canonicalise(raw, ingest_ts, keep, time_unit))
     out = parts[0]
     for part in parts[1:]:
@@ -90,25 +92,13 @@ def import_report(flows: DataFrame, path: str, kind: str = "CSV") -> tuple[DataF
 
 
 def import_csv(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime, time_unit: str = "s") -> dict[str, object]:
-    """Scan, write the flow table, and report records, kind and synthesised columns."""
-    header_columns = spark.read.option("header", True).csv(path).columns
+    """Scan, write the flow table, and report records, kind and the columns synthesised in any of the files."""
+    missing = [c for group in _dialect_groups(spark, path)
+               for c in synthesised_columns([h.lstrip("\ufeff") for h in spark.read.option("header", True).option(
+                   "encoding", group["charset"]).csv(group["files"]).columns])]
     frame, seen = import_report(scan_csv(spark, path, ingest_ts, time_unit=time_unit), path)
     write_flows(frame, table)
-    return {"type": "CSV", "records": seen.get["records"], "synthesised": synthesised_columns(header_columns)}
-
-
-def with_flow_id(flows: DataFrame) -> DataFrame:
-    """Adds ``flow_id``, a key drawn from the row itself and its place among equal rows.
-
-    The same rows get the same keys in whatever order or split they are read. A ``source_file``
-    column keeps equal rows of different files apart. Rows of captures have their key from file and offset,
-    without a shuffle.
-    """
-    if {"source_path", "offset"} <= set(flows.columns):
-        return flows.withColumn("flow_id", F.xxhash64("source_path", "offset"))
-    content = flows.withColumn("_content", F.xxhash64(*flows.columns))
-    nth = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(0)))
-    return content.withColumn("flow_id", F.xxhash64("_content", nth)).drop("_content")
+    return {"type": "CSV", "records": seen.get["records"], "synthesised": sorted(set(missing))}
 
 
 def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
@@ -140,7 +130,7 @@ def _replaced_time(raw: DataFrame, time_unit: str) -> list[Column]:
     return [F.when(unread, F.struct(F.lit("replaced_time").alias("rule"), F.coalesce(value, F.lit("")).alias("value")))]
 
 
-def quality_issues(raw: DataFrame, key: str, time_unit: str | None = None) -> DataFrame:
+def quality_issues(raw: DataFrame, *keys: str, time_unit: str | None = None) -> DataFrame:
     """Rows breaking a rule: negative or non-integer byte count, wrong field count, with ``time_unit`` also a time not read in it.
 
     ``raw`` is text-typed; a ``_corrupt`` column (from a permissive read) marks rows whose
@@ -157,31 +147,37 @@ def quality_issues(raw: DataFrame, key: str, time_unit: str | None = None) -> Da
         wrong = F.col("_corrupt").isNotNull()
         rules = [F.when(~wrong, r) for r in rules]
         rules.append(F.when(wrong, F.struct(F.lit("field_count").alias("rule"), F.col("_corrupt").alias("value"))))
-    return raw.select(key, F.inline(F.array_compact(F.array(*rules))))
+    return raw.select(*keys, F.inline(F.array_compact(F.array(*rules))))
 
 
-def scan_quality(spark: SparkSession, path: str, time_unit: str = "s") -> DataFrame:
-    """Quality issues of CSV files by file and row text; missing columns come as one row per header, replaced times one by one.
+def scan_quality(spark: SparkSession, path: str | list[str], time_unit: str = "s") -> DataFrame:
+    """(file, source_path, row, rule, value): quality issues of CSV files by row number, and one row per file with its total.
 
-    Files are read by their own charset and header, as in ``scan_csv``.
+    Rules are as in :func:`quality_issues`, ``missing_column`` (row 1, one for each file and column; such a file is only
+    searched for replaced times) and ``total_rows``, whose value is the number of data rows. Row 1 is the header. Files are read by
+    their own charset and header, as in ``scan_csv``.
     """
     parts = []
+    keys = ["source_path", "row"]
     for group in _dialect_groups(spark, path):
         reader = spark.read.option("header", True).option("encoding", group["charset"])
         names = [c.strip().lstrip("\ufeff") for c in reader.csv(group["files"]).columns]
         missing = [c for c in S.BASE_COLUMNS if c not in names]
+        fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
+        scan = (reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
+                .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(group["files"]))
+        totals = row_counts(scan)
+        parts.append(totals.select("source_path", F.lit(1).cast("long").alias("row"), F.lit("total_rows").alias("rule"), F.col("rows").cast("string").alias("value")))
+        raw = with_row_number(scan)
         if missing:
-            parts.append(spark.createDataFrame([("", "missing_column", c) for c in missing], "file string, rule string, value string"))
-            raw = reader.option("escape", '"').csv(group["files"]).toDF(*names).withColumn("file", F.col("_metadata.file_name"))
-            if rule := _replaced_time(raw, time_unit):
-                parts.append(raw.select("file", F.inline(F.array_compact(F.array(*rule)))))
+            parts.append(totals.select("source_path", F.lit(1).cast("long").alias("row"), F.lit("missing_column").alias("rule"),
+                                       F.explode(F.array(*map(F.lit, missing))).alias("value")))
+            if rule := _replaced_time(scan, time_unit):
+                parts.append(raw.select(*keys, F.inline(F.array_compact(F.array(*rule)))))
             continue
-        fields = ", ".join(f"`{c}` STRING" for c in names) + ", _corrupt STRING"
-        raw = (reader.option("mode", "PERMISSIVE").option("enforceSchema", True)
-               .option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).schema(fields).csv(group["files"])
-               .withColumn("file", F.col("_metadata.file_name")))
-        parts.append(quality_issues(raw, "file", time_unit))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(quality_issues(raw, *keys, time_unit=time_unit))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.select(F.element_at(F.split("source_path", "/"), -1).alias("file"), "source_path", "row", "rule", "value")
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:

@@ -148,14 +148,15 @@ def test_captures_without_packets_or_of_another_kind(spark, tmp_path):
 
 
 def test_ingest_keys_tell_captures_apart(spark, tmp_path):
+    table = str(tmp_path / "t")
     for day in ("day1", "day2"):
         (tmp_path / day).mkdir()
         (tmp_path / day / "x.pcap").write_bytes(_pcap(_frames()))
-        jobs.ingest(spark, str(tmp_path / day / "*.pcap"), str(tmp_path / f"t_{day}"), datetime(2024, 1, 1))
-    ids = [{r["flow_id"] for r in spark.read.parquet(str(tmp_path / f"t_{d}")).collect()} for d in ("day1", "day2")]
-    assert len(ids[0]) == len(ids[1]) == 6 and not ids[0] & ids[1]
-    jobs.ingest(spark, str(tmp_path / "day1" / "x.pcap"), str(tmp_path / "again"), datetime(2025, 1, 1))
-    assert {r["flow_id"] for r in spark.read.parquet(str(tmp_path / "again")).collect()} == ids[0]
+        jobs.ingest(spark, str(tmp_path / day / "*.pcap"), table, datetime(2024, 1, 1))
+    ids = [r["flow_id"] for r in spark.read.parquet(table).collect()]
+    assert len(ids) == len(set(ids)) == 12
+    jobs.ingest(spark, str(tmp_path / "day1" / "x.pcap"), table, datetime(2025, 1, 1))
+    assert {r["flow_id"] for r in spark.read.parquet(table).collect()} == set(ids)
 
 
 def _client(extensions, session=b"", split=None):

@@ -199,13 +199,41 @@ def test_process_lookup_order(spark, make_flows):
 def test_quality_rules_on_files(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text(HEADER + _line("a", "-3") + _line("b", "x") + "1,2\n" + _line("c"))
-    issues = {(r["rule"], r["value"]) for r in csvfiles.scan_quality(spark, str(path)).collect()}
-    assert issues == {("negative_bytes", "-3"), ("invalid_bytes", "x"), ("field_count", "1,2")}
+    issues = {(r["row"], r["rule"], r["value"]) for r in csvfiles.scan_quality(spark, str(path)).collect()}
+    assert issues == {(1, "total_rows", "4"), (2, "negative_bytes", "-3"), (3, "invalid_bytes", "x"), (4, "field_count", "1,2")}
     (tmp_path / "m.csv").write_text("timestamp,bytes\n1,2\n")
-    missing = {r["value"] for r in csvfiles.scan_quality(spark, str(tmp_path / "m.csv")).collect()}
+    missing = {r["value"] for r in csvfiles.scan_quality(spark, str(tmp_path / "m.csv")).collect() if r["rule"] == "missing_column"}
     assert missing == set(S.BASE_COLUMNS) - {"timestamp", "bytes"}
 
 
+def test_row_numbers_over_many_blocks_and_keys_of_equal_rows(spark, tmp_path):
+    lines = [_line(f"u{i}", "-1" if i % 97 == 0 else "5") for i in range(3000)]
+    for day in ("day1", "day2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "f.csv").write_text(HEADER + "".join(lines))
+    (tmp_path / "day2" / "short.csv").write_text(HEADER.rstrip())
+    paths, keys = [str(tmp_path / "day1"), str(tmp_path / "day2")], ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("16k", "1k")):
+            spark.conf.set(k, v)
+        found = csvfiles.scan_quality(spark, paths)
+        assert spark.read.csv(paths).rdd.getNumPartitions() > 20
+        rows = {(r["source_path"].split("/")[-2], r["row"]) for r in found.where("rule = 'negative_bytes'").collect()}
+        assert rows == {(d, i + 2) for d in ("day1", "day2") for i in range(0, 3000, 97)}
+        assert sorted(r["value"] for r in found.where("rule = 'total_rows'").collect()) == ["3000", "3000"]
+        tables = [str(tmp_path / f"t{i}") for i in range(2)]
+        for path in paths:
+            jobs.ingest(spark, path, tables[0], NOW)
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    for path in paths:  # read in other splits
+        jobs.ingest(spark, path, tables[1], NOW)
+    small, large = ({(r["flow_id"], r["user"]) for r in csvfiles.read_flows(spark, t).select("flow_id", "user").collect()} for t in tables)
+    assert small == large and len(small) == 6000 and len({k for k, _ in small}) == 6000
+
+
 def test_epoch_unit_of_csv_files(spark, tmp_path):
     path, table, other = tmp_path / "e.csv", str(tmp_path / "t"), str(tmp_path / "o")
     path.write_text(HEADER + _line("a").replace("2024-01-01 10:00:00", "1704103200500") + _line("b").replace("2024-01-01 10:00:00", "soon"))
@@ -213,7 +241,8 @@ def test_epoch_unit_of_csv_files(spark, tmp_path):
     assert {(r["user"], r["timestamp"]) for r in jobs.ingest(spark, str(path), table, NOW, "ms").collect()} == want
     csvfiles.import_csv(spark, str(path), other, NOW, "ms")
     assert {(r["user"], r["timestamp"]) for r in csvfiles.read_flows(spark, other).collect()} == want
-    issues = lambda name, unit: {(r["rule"], r["value"]) for r in csvfiles.scan_quality(spark, str(name), unit).collect()}
+    issues = lambda name, unit: {(r["rule"], r["value"]) for r in csvfiles.scan_quality(
+        spark, str(name), unit).where("rule <> 'total_rows'").collect()}
     assert issues(path, "ms") == {("replaced_time", "soon")}
     assert issues(path, "s") == {("replaced_time", "soon"), ("replaced_time", "1704103200500")}
     (tmp_path / "n.csv").write_text("timestamp,ip.src,ip.dst\n1704103200500,10.0.0.1,8.8.8.8\n")
