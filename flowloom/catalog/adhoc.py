@@ -48,7 +48,35 @@ add("h7_protocol_table", over_flows(H.protocol_table), on_flows(
 add("h8_user_card", over_flows(H.user_card), on_flows(
     f"SELECT {U}, {big('sum(bytes)')} AS total_bytes, count(*) AS packet_count, count(DISTINCT dst_ip) AS unique_destinations, "
     f"min({T}) AS range_start, max({T}) AS range_end FROM flows GROUP BY 1"))
+add("h8_user_card_sections", over_flows(H.user_card_sections), on_flows(
+    f"SELECT {U}, 'hour' AS section, printf('%02d:00', hour({T})) AS name, {big('sum(bytes)')} AS bytes, count(*) AS packets FROM flows GROUP BY 1, 3 "
+    f"UNION ALL SELECT {U}, 'category', app_category, {big('sum(bytes)')}, count(*) FROM flows GROUP BY 1, 3"))
 add("h9_user_full_report", over_flows(H.user_full_report))
+_dbl = "CAST({} AS DOUBLE)".format
+_span = f"{_dbl(f'epoch_us(max({T})) - epoch_us(min({T}))')} / 1000000 / 3600"
+_MEASURES = {
+    "total_bytes": _dbl("b"), "packet_count": _dbl("n"), "unique_destinations": _dbl("d"), "encrypted_packets": _dbl("tls"),
+    "unencrypted_packets": _dbl("n - tls"), "encryption_ratio": pct("tls", "n"),
+    "connections_per_hour": f"CASE WHEN h > 0 THEN {half_up('n / h', 2)} ELSE 0 END", "total_hours": f"CASE WHEN h > 0 THEN {half_up('h', 2)} ELSE 0 END",
+    "peak_bytes_per_second": half_up("CAST(mh AS DOUBLE) / 3600", 2), "peak_hour": _dbl("ph"), "total_peak_bytes": _dbl("mh"),
+    "unique_protocols": _dbl("p"), "download_bytes": _dbl("down"), "upload_bytes": _dbl("up"),
+    "ratio": f"CASE WHEN up > 0 THEN {half_up('CAST(down AS DOUBLE) / up', 2)} END"}
+_CARD = f"""card AS (
+  SELECT a.{U}, a.b, a.n, a.d, a.tls, a.h, a.p, a.down, a.up, m.mh, m.ph FROM (
+    SELECT {U}, sum(bytes) AS b, count(*) AS n, count(DISTINCT dst_ip) AS d, count(*) FILTER (dst_port = 443) AS tls, {_span} AS h,
+      count(DISTINCT protocol) AS p, coalesce(sum(bytes) FILTER (dst_port >= 1024), 0) AS down, coalesce(sum(bytes) FILTER (dst_port < 1024), 0) AS up
+    FROM flows GROUP BY 1) a
+  JOIN (SELECT {U}, max(x) AS mh, arg_max(hh, x * 100 - hh) AS ph FROM (
+    SELECT {U}, hour({T}) AS hh, sum(bytes) AS x FROM flows GROUP BY 1, 2) GROUP BY 1) m ON m.{U} = a.{U})"""
+add("h9_report_sections", lambda spark, sf: H.report_sections(V.flows(spark, sf)).where("section <> 'tag'"), on_flows(" UNION ALL ".join([
+    *(f"SELECT {U}, 'measure' AS section, '{name}' AS name, {sql} AS amount FROM card WHERE ({sql}) IS NOT NULL" for name, sql in _MEASURES.items()),
+    f"SELECT DISTINCT {U}, 'protocol', protocol, CAST(1 AS DOUBLE) FROM flows",
+    f"SELECT {U}, 'category', app_category, {_dbl('sum(bytes)')} FROM flows GROUP BY 1, 3",
+    f"SELECT {U}, 'hour_bytes', printf('%02d:00', hour({T})), {_dbl('sum(bytes)')} FROM flows GROUP BY 1, 3",
+    f"SELECT {U}, 'hour_packets', printf('%02d:00', hour({T})), {_dbl('count(*)')} FROM flows GROUP BY 1, 3",
+    f"(SELECT NULL, 'traffic_ranking', {U}, {_dbl('sum(bytes)')} FROM flows GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 10)",
+    f"SELECT NULL, 'protocol_distribution', protocol, {_dbl('sum(bytes)')} FROM flows GROUP BY 3",
+    f"SELECT NULL, 'app_category', app_category, {_dbl('sum(bytes)')} FROM flows GROUP BY 3"]), _CARD))
 add("h12_per_file_totals",
     lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").selectExpr(
         "*", "cast(floor(value * 1000) AS bigint) AS bytes", "cast(user_id AS string) AS user").transform(

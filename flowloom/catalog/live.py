@@ -82,4 +82,8 @@ add("g11_session_status", over_activity(G.session_status), on_activity(" UNION A
     _count("process", "process_name", 10),
     "(SELECT 'distinct_ips', '', count(*) FROM (SELECT src_ip FROM activity_flows UNION SELECT dst_ip FROM activity_flows))",
     "(SELECT 'total_packets', '', count(*) FROM activity_flows)",
-    f"(SELECT 'total_bytes', '', {big('sum(bytes)')} FROM activity_flows)"])))
+    f"(SELECT 'total_bytes', '', {big('sum(bytes)')} FROM activity_flows)",
+    f"(SELECT 'download', strftime({T}, '%Y-%m-%d %H:%M:%S') || '|' || download_name || '|' || CASE WHEN hostname <> '' THEN hostname ELSE src_ip END "
+    f"|| '|' || content_type, bytes FROM activity_flows WHERE trim(download_name) <> '' ORDER BY {T} DESC, flow_id DESC LIMIT 10)",
+    f"(SELECT 'recent_flow', concat_ws('|', strftime({T}, '%Y-%m-%d %H:%M:%S'), src_ip, src_port, dst_ip, dst_port, protocol, {U}), bytes "
+    f"FROM activity_flows ORDER BY {T} DESC, flow_id DESC LIMIT 20)"])))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.catalog.base import add
 from flowloom.operators import rules as R
 from flowloom.operators import traffic as B
+from flowloom.operators.anomaly import ensemble as M
 from flowloom.plans import jobs
 from flowloom.session import durable
 from flowloom.sources import sample_views as V
@@ -17,6 +18,8 @@ def _dashboard(spark, sf):
     parts = {"total_traffic": B.totals(flows), "user_ranking": B.top_users(flows, 15), "app_category": B.category_bytes(flows),
              "active_hours": B.active_hours(flows), "attack_sources": R.attack_sources(flows, R.block_list(alerts)),
              "risk_summary": R.risk_summary(alerts), "activity_summary": B.activity_summary(flows)}
+    report = M.model_report(flows, "isolation_forest")
+    parts |= {"outlier_summary": report["summary"], "outliers": report["anomalies"]}
     out = None
     for name, frame in parts.items():
         part = frame.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("body"))

@@ -35,8 +35,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], key=None
     ``value`` is a bigint column, or any orderable column with ``key`` mapping it to a bigint.
     An empty input gives nulls.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    return counted_quantiles(value_counts(df, value), probs, key)
+
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(v, n): rows per distinct value, nulls left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_quantiles(counts: DataFrame, probs: dict[str, float], key=None) -> DataFrame:
+    """As :func:`exact_quantiles`, from a table of (v, n); stored counts serve all steps without the rows."""
     k = key(F.col("v")) if key else F.col("v").cast("bigint")
     hist = (counts.withColumn("k", k)
             .withColumn("hi", F.shiftright("k", 2 * _BITS))

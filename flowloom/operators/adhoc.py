@@ -11,14 +11,29 @@ from flowloom.functions import scalars as X
 from flowloom.operators import profile as P
 from flowloom.operators import traffic as B
 from flowloom.operators.common import grouped, rows, sum_bytes
+from flowloom.session import durable
 
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
 def detailed_stats(flows: DataFrame, approx: bool = False) -> DataFrame:
-    quantiles = Q.approx_quantiles if approx else Q.exact_quantiles
-    q = quantiles(flows, "bytes", QUANTILES)
-    base = flows.agg(sum_bytes(name="total_bytes"), rows("total_packets"), F.countDistinct("user").alias("unique_users"))
+    """Totals, bytes per user and quantiles of row sizes.
+
+    The exact form reads the flows once: sizes and users are counted by one grouping, and sums, counts and all ranks come from
+    the stored counts.
+    """
+    if approx:
+        base = flows.agg(sum_bytes(name="total_bytes"), rows("total_packets"), F.countDistinct("user").alias("unique_users"))
+        q = Q.approx_quantiles(flows, "bytes", QUANTILES)
+    else:
+        nothing = F.lit(None)
+        both = F.array(F.struct(F.lit(0).alias("kind"), F.col("bytes").cast("bigint").alias("v"), nothing.cast("string").alias("u")),
+                       F.struct(F.lit(1).alias("kind"), nothing.cast("bigint").alias("v"), F.col("user").alias("u")))
+        stored = durable(flows.select(F.inline(both)).groupBy("kind", "v", "u").agg(F.count(F.lit(1)).alias("n")))
+        base = stored.agg(F.coalesce(F.sum(F.col("v") * F.col("n")), F.lit(0).cast("bigint")).alias("total_bytes"),
+                          F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0).cast("bigint")).alias("total_packets"),
+                          F.count("u").alias("unique_users"))
+        q = Q.counted_quantiles(stored.where("kind = 0 and v is not null").select("v", "n"), QUANTILES)
     mean = F.when(F.col("unique_users") > 0,
                   X.round_half_up(F.col("total_bytes").cast("double") / F.col("unique_users").cast("double"), 2)).otherwise(0.0)
     packed = q.select(F.struct(*[X.round_half_up(F.col(c), 4).alias(c) for c in QUANTILES]).alias("q")).scalar()
@@ -103,13 +118,49 @@ def user_card(flows: DataFrame, user: str | None = None) -> DataFrame:
         F.min("timestamp").alias("range_start"), F.max("timestamp").alias("range_end"))
 
 
+def user_card_sections(flows: DataFrame, user: str | None = None) -> DataFrame:
+    """(user, section, name, bytes, packets): hours and raw categories of one user, or of every user."""
+    if user is not None:
+        flows = flows.where(F.col("user") == user)
+    hour = F.hour("timestamp")
+    parts = F.array(F.struct(F.lit("hour").alias("section"), F.when(hour.isNotNull(), X.hour_label(hour)).alias("name")),
+                    F.struct(F.lit("category").alias("section"), F.col("app_category").alias("name")))
+    # Both groupings share one pass and one shuffle.
+    return grouped(flows.select("user", "bytes", "timestamp", F.inline(parts)), "user", "section", "name").agg(
+        sum_bytes(), F.count("timestamp").alias("packets"))
+
+
 def user_full_report(flows: DataFrame, user: str | None = None) -> DataFrame:
-    """Card, ratios, peak and nested profile of one user, or of every user at once.
+    """Card, ratios, peak, nested profile and raw category split of one user, or of every user at once.
 
     Tags compare with the whole population, so all users are profiled in either case.
     """
+    entry = F.struct(F.col("app_category"), F.col("bytes"))
+    split = B.user_categories(flows, user).groupBy("user").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("app_distribution"))
     full = P.full_reports(flows)
-    return full if user is None else full.where(F.col("user") == user)
+    return (full if user is None else full.where(F.col("user") == user)).join(split, "user", "left")
+
+
+def report_sections(flows: DataFrame, user: str | None = None) -> DataFrame:
+    """(user, section, name, amount): the full report in long form, with the fleet's tables under a null user."""
+    full = user_full_report(flows, user)
+    measures = ("total_bytes", "packet_count", "unique_destinations", "encrypted_packets", "unencrypted_packets", "encryption_ratio",
+                "connections_per_hour", "total_hours", "peak_bytes_per_second", "peak_hour", "total_peak_bytes", "unique_protocols",
+                "download_bytes", "upload_bytes", "ratio")
+    entry = lambda section, name, amount: F.struct(
+        F.lit(section).alias("section"), name.cast("string").alias("name"), amount.cast("double").alias("amount"))
+    single = full.select("user", F.inline(F.array(*(entry("measure", F.lit(m), F.col(m)) for m in measures)))).where("amount is not null")
+    lists = full.select("user", F.inline(F.concat(
+        F.transform("protocols", lambda p: entry("protocol", p, F.lit(1))), F.transform("tags", lambda t: entry("tag", t, F.lit(1))),
+        F.transform(F.map_entries(F.coalesce("app_distribution", F.create_map().cast("map<string,bigint>"))),
+                    lambda e: entry("category", e["key"], e["value"])))))
+    hours = user_card_sections(flows, user).where("section = 'hour'").select("user", F.inline(F.array(
+        entry("hour_bytes", F.col("name"), F.col("bytes")), entry("hour_packets", F.col("name"), F.col("packets")))))
+    out = single.unionByName(lists).unionByName(hours)
+    for section, frame in global_tables(flows).items():
+        key, amount = frame.columns[0], "bytes" if "bytes" in frame.columns else frame.columns[1]
+        out = out.unionByName(frame.select(F.lit(None).cast("string").alias("user"), F.inline(F.array(entry(section, F.col(key), F.col(amount))))))
+    return out
 
 
 def global_tables(flows: DataFrame) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from flowloom import schema as S
 from flowloom.functions import quantiles as Q
 from flowloom.functions import scalars as X
+from flowloom.session import durable
 from flowloom.operators.common import grouped, rows, span_seconds, sum_bytes, top
 
 _STEPS = {"hour": 3600, "5min": 300}
@@ -74,15 +75,24 @@ def _bucket(step_seconds: int) -> Column:
     return F.floor(X.epoch_micros(F.col("timestamp")) / F.lit(step_seconds * 1_000_000))
 
 
+#: Buckets of an empty run that one row expands to.
+GAP_PIECE = 65_536
+
+
 def fill_gaps(buckets: DataFrame, measures: list[str], step_seconds: int) -> DataFrame:
     """Numbered buckets (column ``bucket``) to a gap-free time line with zero rows.
 
-    Each present bucket emits itself and the empty run up to the next one, so no second pass
-    and no join is needed. The window sees one row per present bucket, i.e. calendar-bounded.
+    Each present bucket stands for itself and the empty run up to the next one. The window sees one row per
+    present bucket, i.e. calendar-bounded. A run is dealt over tasks in pieces of ``GAP_PIECE`` buckets before it is
+    expanded, so a gap of centuries fills no task.
     """
     following = F.lead("bucket").over(Window.orderBy("bucket"))
-    spread = buckets.withColumn("_next", following).withColumn(
-        "_b", F.explode(F.sequence(F.col("bucket"), F.coalesce(F.col("_next") - 1, F.col("bucket")))))
+    length = F.coalesce(F.col("_next") - F.col("bucket"), F.lit(1))
+    pieces = buckets.withColumn("_next", following).withColumn("_len", length).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_len") - 1) / F.lit(GAP_PIECE)))))
+    first = F.col("bucket") + F.col("_piece") * F.lit(GAP_PIECE)
+    spread = pieces.repartition("bucket", "_piece").withColumn(
+        "_b", F.explode(F.sequence(first, F.least(F.col("bucket") + F.col("_len"), first + F.lit(GAP_PIECE)) - 1)))
     return spread.select(
         X.from_epoch_seconds(F.col("_b") * step_seconds).alias("time"),
         *[F.when(F.col("_b") == F.col("bucket"), F.col(m)).otherwise(F.lit(0).cast("bigint")).alias(m)
@@ -218,12 +228,15 @@ def tls_share(flows: DataFrame) -> DataFrame:
 
 
 def packet_size_stats(flows: DataFrame, approx: bool = False) -> DataFrame:
-    """Smallest, largest, mean and median row size; the exact median never fills one task."""
-    quantiles = Q.approx_quantiles if approx else Q.exact_quantiles
-    median = quantiles(flows, "bytes", {"median": 0.5})
-    base = flows.agg(F.min("bytes").cast("double").alias("min"), F.max("bytes").cast("double").alias("max"),
-                     X.round_half_up(F.sum("bytes").cast("double") / F.count("bytes").cast("double"), 2).alias("avg"))
-    return base.withColumn("median", median.scalar())
+    """Smallest, largest, mean and median row size. The exact form reads the flows once, into a table of sizes and counts."""
+    if approx:
+        base = flows.agg(F.min("bytes").cast("double").alias("min"), F.max("bytes").cast("double").alias("max"),
+                         X.round_half_up(F.sum("bytes").cast("double") / F.count("bytes").cast("double"), 2).alias("avg"))
+        return base.withColumn("median", Q.approx_quantiles(flows, "bytes", {"median": 0.5}).scalar())
+    counts = durable(Q.value_counts(flows, "bytes"))
+    mean = F.sum(F.col("v") * F.col("n")).cast("double") / F.sum("n").cast("double")
+    base = counts.agg(F.min("v").cast("double").alias("min"), F.max("v").cast("double").alias("max"), X.round_half_up(mean, 2).alias("avg"))
+    return base.withColumn("median", Q.counted_quantiles(counts, {"median": 0.5}).scalar())
 
 
 def hourly_users(flows: DataFrame) -> DataFrame:

@@ -58,12 +58,17 @@ def anomaly_report(flows: DataFrame, out: str, model: str = "isolation_forest",
     return {name: store(frame, f"{out}/{model}_{name}") for name, frame in frames.items()}
 
 
-def dashboard(flows: DataFrame, out: str, alerts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Totals, top 15 users, categories, hours, activity and attack sources as small stored tables."""
+def dashboard(flows: DataFrame, out: str, alerts: DataFrame | None = None, outliers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Totals, top 15 users, categories, hours, activity, attack sources and outliers as small stored tables.
+
+    ``alerts`` and ``outliers`` (summary and anomalies of a model report) are made here unless they are at hand.
+    """
+    outliers = outliers if outliers is not None else M.model_report(flows, "isolation_forest")
     alerts = alerts if alerts is not None else security_report(flows, out)["alerts"]
     parts = {
         "total_traffic": B.totals(flows), "user_ranking": B.top_users(flows, 15), "app_category": B.category_bytes(flows),
         "active_hours": B.active_hours(flows), "attack_sources": R.attack_sources(flows, R.block_list(alerts)),
+        "outlier_summary": outliers["summary"], "outliers": outliers["anomalies"],
     }
     if "hostname" in flows.columns:
         parts["activity_summary"] = B.activity_summary(flows)

@@ -211,8 +211,14 @@ def _host() -> Column:
     return F.coalesce(filled("hostname"), filled("dns_query"), filled("tls_sni"), F.lit(""))
 
 
+_SECONDS = "yyyy-MM-dd HH:mm:ss"
+
+
 def session_status(flows: DataFrame) -> DataFrame:
-    """Counts of categories, activities, hosts and processes, and totals, in long form."""
+    """Counts of categories, activities, hosts and processes, totals, the last 10 downloads and the last 20 flows, in long form.
+
+    A download's name holds its time, file, source and type, a flow's its time, ends, protocol and user; their amount is the bytes.
+    """
     def counted(section: str, column: Column, kept: int | None) -> DataFrame:
         frame = flows.withColumn("_v", column)
         if kept:
@@ -228,7 +234,12 @@ def session_status(flows: DataFrame) -> DataFrame:
         F.struct(F.lit(c).alias("section"), F.lit("").alias("name"), F.col(c).alias("amount"))
         for c in ("total_packets", "total_bytes")])))
     parts = [counted("category", F.col("app_category"), None), counted("activity", unknown, None),
-             counted("host", _host(), 10), counted("process", F.col("process_name"), 10), ips, totals]
+             counted("host", _host(), 10), counted("process", F.col("process_name"), 10), ips, totals,
+             recent_downloads(flows, 10).select(F.lit("download").alias("section"), F.concat_ws(
+                 "|", F.date_format("time", _SECONDS), "name", "source", "content_type").alias("name"), F.col("bytes").alias("amount")),
+             recent_events(flows).select(F.lit("recent_flow").alias("section"), F.concat_ws(
+                 "|", F.date_format("timestamp", _SECONDS), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "user").alias("name"),
+                 F.col("bytes").alias("amount"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
