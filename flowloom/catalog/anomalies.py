@@ -96,3 +96,39 @@ add("f4_local_outlier_factor", lambda spark, sf: _lof(spark, sf).selectExpr(
 add("f5_one_class_svm", _model("one_class_svm"))
 add("f6_ensemble_vote", lambda spark, sf: M.ensemble(V.flows(spark, sf))["anomalies"])
 add("f10_model_summary", lambda spark, sf: M.model_report(V.flows(spark, sf), "isolation_forest")["summary"])
+
+# The vote and the summary over scores that SQL has too: three features taken as raw scores.
+_SCORED = ("total_bytes", "total_packets", "unique_dst_ports")
+
+
+def feature_scores(spark, sf) -> dict:
+    """Flagged and scaled scores of three features."""
+    features, _, users = M.prepare(V.flows(spark, sf))
+    return {c: U.flag_outliers(features.select("user", features[c].alias("outlyingness")), users) for c in _SCORED}
+
+
+def _vote(spark, sf):
+    lists = None
+    for name, scored in feature_scores(spark, sf).items():
+        best = scored.where("is_anomaly").orderBy(scored["anomaly_score"].desc(), "user").limit(10).selectExpr(f"'{name}' AS model", "user", "anomaly_score")
+        lists = best if lists is None else lists.unionByName(best)
+    return M.vote(lists)
+
+
+SCORES = f"""
+fl AS (SELECT * FROM ({_long}) WHERE name IN {_SCORED}),
+pl AS (SELECT name, list(x ORDER BY x) AS os, count(*) AS n, min(x) AS lo, max(x) AS hi, (CAST(1 AS DOUBLE) - least(CAST(0.1 AS DOUBLE), greatest(
+  CAST(1 AS DOUBLE) / count(*), CAST(0.01 AS DOUBLE)))) * (count(*) - 1) AS pos FROM fl GROUP BY 1),
+sc AS (
+  SELECT name AS model, {USER}, x > os[CAST(floor(pos) AS BIGINT) + 1] + (pos - floor(pos)) * (
+      os[least(CAST(floor(pos) AS BIGINT) + 2, n)] - os[CAST(floor(pos) AS BIGINT) + 1]) AS flag,
+    CASE WHEN hi - lo < CAST(1e-9 AS DOUBLE) THEN CAST(50 AS DOUBLE) ELSE {half_up('(x - lo) / (hi - lo) * CAST(100 AS DOUBLE)', 2)} END AS score
+  FROM fl JOIN pl USING (name))"""
+add("f6_vote_of_feature_scores", _vote, on_flows(
+    "SELECT *, CASE WHEN anomaly_score >= 85 THEN 'critical' WHEN anomaly_score >= 70 THEN 'high' WHEN anomaly_score >= 50 THEN 'medium' ELSE 'low' END "
+    f"AS severity FROM (SELECT {USER}, count(*) AS votes, {half_up('avg(score)', 2)} AS anomaly_score, string_agg(model, ', ' ORDER BY model) AS voting_models "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, {USER}) AS r FROM sc WHERE flag) WHERE r <= 10 GROUP BY 1 "
+    f"HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 10)", FEATURES.strip(), SCORES.strip()))
+add("f10_summary_of_feature_scores", lambda spark, sf: U.model_summary(feature_scores(spark, sf)["total_bytes"]), on_flows(
+    "SELECT count(*) AS total_users, count(*) FILTER (flag) AS anomaly_users, count(*) FILTER (NOT flag) AS normal_users, max(score) AS max_score, "
+    f"{half_up('median(score)', 2)} AS median_score FROM sc WHERE model = 'total_bytes'", FEATURES.strip(), SCORES.strip()))

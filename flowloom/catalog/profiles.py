@@ -1,9 +1,13 @@
 """Profile metrics (family C) and behaviour tags (family D)."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from flowloom import schema as S
 from flowloom.catalog.base import add, big, half_up, on_flows, over_flows, pct, seconds
 from flowloom.operators import profile as C
 from flowloom.operators import tags as D
+from flowloom.sources import sample_views as V
 
 U, T = '"user"', '"timestamp"'
 HOUR = f"CAST(hour({T}) AS INTEGER)"
@@ -166,3 +170,34 @@ add("c17_text_summary", over_flows(C.text_summary), on_flows(
     f"|| ', tags: ' || coalesce(t.tags, 'none') AS summary FROM f LEFT JOIN lead USING ({U}) LEFT JOIN "
     f"(SELECT {U}, string_agg(tag, ', ' ORDER BY CASE tag {_list} END) AS tags FROM ({_tags(*D.TAGS)}) GROUP BY 1) t USING ({U})",
     *FEATURES, _ranked))
+
+
+def _profile_sections(spark, sf):
+    """All maps of the profiles in one long typed frame."""
+    full = C.profiles(V.flows(spark, sf))
+
+    def entries(section: str, column: str, value) -> Column:
+        return F.transform(F.map_entries(column), lambda e: F.struct(
+            F.lit(section).alias("section"), e["key"].cast("string").alias("name"), value(e["value"]).cast("double").alias("amount")))
+
+    single = F.array(*(F.struct(F.lit("single").alias("section"), F.lit(name).alias("name"), F.col(column).cast("double").alias("amount"))
+                       for name, column in (("total_bytes", "total_bytes"), ("total_packets", "total_packets"),
+                                            ("dns_queries", "dns_stats.dns_queries"), ("dns_bytes", "dns_stats.dns_bytes"))))
+    same = lambda v: v
+    return full.select("user", F.inline(F.concat(
+        single, entries("category_pct", "category_pct", same), entries("protocol_ratio", "protocol_ratio", same), entries("port_stats", "port_stats", same),
+        entries("daily_bytes", "daily_bytes", same), entries("hour_bytes", "active_hours", lambda v: v["bytes"]),
+        entries("hour_count", "active_hours", lambda v: v["count"])))).where("amount is not null")
+
+
+_dbl = "CAST({} AS DOUBLE)".format
+_one = {"total_bytes": "sum(bytes)", "total_packets": "count(*)", "dns_queries": "count(*) FILTER (WHERE dst_port = 53)",
+        "dns_bytes": "coalesce(sum(bytes) FILTER (WHERE dst_port = 53), 0)"}
+add("c16_profile_sections", _profile_sections, on_flows(" UNION ALL ".join([
+    *(f"SELECT {U}, 'single' AS section, '{name}' AS name, {_dbl(sql)} AS amount FROM flows GROUP BY 1" for name, sql in _one.items()),
+    f"SELECT {U}, 'category_pct', category, pct FROM cs",
+    f"SELECT {U}, 'protocol_ratio', protocol, {pct('b', 'sum(b) OVER (PARTITION BY ' + U + ')')} FROM (SELECT {U}, protocol, sum(bytes) AS b FROM flows GROUP BY 1, 2)",
+    f"SELECT {U}, 'port_stats', CAST(dst_port AS VARCHAR), {_dbl('count(*)')} FROM flows WHERE dst_port IN ({_watched}) GROUP BY 1, 3",
+    f"SELECT {U}, 'daily_bytes', CAST(CAST({T} AS DATE) AS VARCHAR), {_dbl('sum(bytes)')} FROM flows GROUP BY 1, 3",
+    f"SELECT {U}, 'hour_bytes', CAST({HOUR} AS VARCHAR), {_dbl('sum(bytes)')} FROM flows GROUP BY 1, 3",
+    f"SELECT {U}, 'hour_count', CAST({HOUR} AS VARCHAR), {_dbl('count(*)')} FROM flows GROUP BY 1, 3"]), *SHARES))

@@ -144,11 +144,11 @@ add("e11_severity_overrides",
     .groupBy("type", "severity").agg(F.count(F.lit(1)).alias("alerts")),
     on_flows("SELECT type, CASE type WHEN 'beaconing' THEN 'critical' WHEN 'off_hours_activity' THEN 'low' ELSE severity END "
              "AS severity, count(*) AS alerts FROM alerts GROUP BY 1, 2", *ALL_ALERTS))
-_block = ("SELECT target_type, target, max(score) AS max_score, string_agg(DISTINCT title, ', ' ORDER BY title) AS reasons, "
+BLOCK = ("SELECT target_type, target, max(score) AS max_score, string_agg(DISTINCT title, ', ' ORDER BY title) AS reasons, "
           "CASE WHEN max(score) >= 85 THEN 'quarantine' WHEN max(score) >= 75 THEN 'rate_limit' ELSE 'step_up_auth' END AS action, "
           "CASE WHEN max(score) >= 85 THEN 30 WHEN max(score) >= 75 THEN 15 ELSE 10 END AS ttl_minutes "
           "FROM alerts WHERE score >= 70 GROUP BY 1, 2")
-add("e12_block_list", lambda spark, sf: R.block_list(R.all_alerts(V.flows(spark, sf))), on_flows(_block, *ALL_ALERTS))
+add("e12_block_list", lambda spark, sf: R.block_list(R.all_alerts(V.flows(spark, sf))), on_flows(BLOCK, *ALL_ALERTS))
 add("e13_risk_summary", lambda spark, sf: R.risk_summary(R.all_alerts(V.flows(spark, sf))), on_flows(
     "SELECT *, CASE WHEN risk_score >= 90 THEN 'critical' WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 40 THEN 'medium' "
     "ELSE 'low' END AS risk_level FROM (SELECT least(coalesce(max(score), 0), 100) AS risk_score, count(*) AS total_alerts, "
@@ -174,7 +174,7 @@ def _attack_sources(spark, sf):
 
 add("e15_attack_sources", _attack_sources, on_flows(
     f"SELECT (SELECT count(DISTINCT src_ip) FROM flows) AS sources, p AS top_port, CASE p {_names} ELSE 'TCP/UDP' END AS service, "
-    f"(SELECT count(*) FROM ({_block})) AS blocked FROM (SELECT dst_port AS p, count(*) AS n FROM flows GROUP BY 1 "
+    f"(SELECT count(*) FROM ({BLOCK})) AS blocked FROM (SELECT dst_port AS p, count(*) AS n FROM flows GROUP BY 1 "
     "ORDER BY n DESC, p LIMIT 1)", *ALL_ALERTS))
 
 

@@ -110,15 +110,15 @@ def sensitive_service(flows: DataFrame, ends: DataFrame | None = None) -> DataFr
                   [_label("hits", F.col("hits")), _label("targets", F.col("targets"))], "src_ip", reason)
 
 
-def traffic_anomaly(flows: DataFrame) -> DataFrame:
-    """Among the five largest users: five times the median user and at least 10 MiB.
+def traffic_anomaly(flows: DataFrame, largest: int = 5) -> DataFrame:
+    """Among the ``largest`` users: five times the median user and at least 10 MiB.
 
     Works on flows or on the endpoint roll-up alike: only users and bytes are read.
     """
     per_user = grouped(flows, "user").agg(sum_bytes())
     median = F.greatest(F.floor(Q.exact_quantiles(per_user, "bytes", {"m": 0.5}).scalar()), F.lit(1)).cast("double")
     population = per_user.agg(rows("c")).scalar()
-    biggest = per_user.orderBy(F.col("bytes").desc(), F.col("user")).limit(5).withColumns(
+    biggest = per_user.orderBy(F.col("bytes").desc(), F.col("user")).limit(largest).withColumns(
         {"ratio": F.col("bytes").cast("double") / median, "users": population})
     hit = (F.col("users") >= 2) & (F.col("ratio") >= 5.0) & (F.col("bytes") >= 10 * S.MIB)
     score = F.least(F.lit(85).cast("bigint"), F.floor(F.lit(35.0) + F.col("ratio") * 6.0))
@@ -144,8 +144,8 @@ def indicator_text(df: DataFrame) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in present]))
 
 
-def text_indicators(flows: DataFrame) -> DataFrame:
-    """Per-row alerts of the three text rules in one scan; evidence is the first five terms."""
+def text_indicators(flows: DataFrame, shown: int = 5) -> DataFrame:
+    """Per-row alerts of the three text rules in one scan; evidence is the first ``shown`` terms."""
     # A cheap yes/no test first; terms are listed for its hits only.
     found = flows.where(X.has_any_term(indicator_text(flows), ALL_TERMS)).withColumn("_text", indicator_text(flows))
     parts = F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(score).alias("score"),
@@ -161,15 +161,15 @@ def text_indicators(flows: DataFrame) -> DataFrame:
     return hits.select(
         number.alias("rule_no"), kind.alias("type"), F.col("score").cast("int").alias("score"),
         X.rule_severity(F.col("score")).alias("severity"), kind.alias("title"), _pair().alias("entity"),
-        F.concat(F.lit("terms="), F.array_join(F.slice("terms", 1, 5), ", ")).alias("evidence"),
+        F.concat(F.lit("terms="), F.array_join(F.slice("terms", 1, shown), ", ")).alias("evidence"),
         action.alias("suggested_action"), F.lit("src_ip").alias("target_type"), F.col("src_ip").alias("target"),
         F.concat_ws("|", kind, _pair(), kind, F.col("flow_id").cast("string")).alias("alert_key"))
 
 
-def text_rule_hits(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """The same three rules over any text table: (key, rule, terms found)."""
+def text_rule_hits(df: DataFrame, key: str, text: Column, shown: int = 5) -> DataFrame:
+    """The same three rules over any text table: (key, rule, the first ``shown`` terms found)."""
     parts = F.array(*[F.struct(F.lit(name).alias("rule"),
-                               F.array_join(F.slice(X.matched_terms(F.col("_text"), terms), 1, 5), ", ").alias("terms"))
+                               F.array_join(F.slice(X.matched_terms(F.col("_text"), terms), 1, shown), ", ").alias("terms"))
                       for name, (terms, _) in TEXT_RULES.items()])
     return (df.where(X.has_any_term(F.lower(text), ALL_TERMS)).select(F.col(key), F.lower(text).alias("_text"))
             .select(key, F.inline(parts)).where(F.col("terms") != ""))
