@@ -38,6 +38,8 @@ TEXT_RULES = {
     "ai_agent_activity": (S.AGENT_TERMS, 64),
     "web_payload_attack": (S.WEB_ATTACK_TERMS, 88),
 }
+#: Users up to which the built-in exact median may hold one value each in memory.
+MEDIAN_USERS = 1_000_000
 ALL_TERMS = [term for terms, _ in TEXT_RULES.values() for term in terms]
 
 
@@ -99,10 +101,15 @@ def reconnaissance(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame
                    _label("rows", F.col("packets"))], "src_ip")
 
 
-def sensitive_service(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    ends = endpoints(flows) if ends is None else ends
-    g = ends.where(F.col("dst_port").isin(list(S.SENSITIVE_PORTS))).groupBy("user", "src_ip", "dst_port").agg(
-        F.sum("n").alias("hits"), rows("targets"))  # one endpoint row per target here
+def port_sums(ends: DataFrame) -> DataFrame:
+    """One row per (user, source, port): what the sensitive-service and sweep rules read. One endpoint row is one target."""
+    return ends.groupBy("user", "src_ip", "dst_port").agg(
+        rows("targets"), F.sum("n").alias("attempts"), F.min("first_ts").alias("a"), F.max("last_ts").alias("b"))
+
+
+def sensitive_service(flows: DataFrame, per_port: DataFrame | None = None) -> DataFrame:
+    per_port = port_sums(endpoints(flows)) if per_port is None else per_port
+    g = per_port.where(F.col("dst_port").isin(list(S.SENSITIVE_PORTS))).withColumnRenamed("attempts", "hits")
     score = F.least(F.lit(90), 38 + F.col("hits") * 5 + F.col("targets") * 8)
     service = X.port_lookup(F.col("dst_port"), S.SENSITIVE_PORTS, "sensitive service")
     reason = F.concat(F.lit("sensitive_service "), service, F.lit("/"), F.col("dst_port").cast("string"))
@@ -110,29 +117,39 @@ def sensitive_service(flows: DataFrame, ends: DataFrame | None = None) -> DataFr
                   [_label("hits", F.col("hits")), _label("targets", F.col("targets"))], "src_ip", reason)
 
 
-def traffic_anomaly(flows: DataFrame, largest: int = 5) -> DataFrame:
+def user_sums(ends: DataFrame) -> DataFrame:
+    """One row per user: what the volume, night and DNS rules read."""
+    dns = F.col("dst_port") == 53
+    return ends.groupBy("user").agg(
+        F.sum("bytes").alias("bytes"), F.sum("night_rows").alias("night_rows"), F.sum("night_bytes").alias("night_bytes"),
+        F.coalesce(F.sum(F.when(dns, F.col("n"))), F.lit(0)).alias("dns_rows"), F.coalesce(F.sum(F.when(dns, F.col("bytes"))), F.lit(0)).alias("dns_bytes"))
+
+
+def traffic_anomaly(flows: DataFrame, largest: int = 5, per_user: DataFrame | None = None) -> DataFrame:
     """Among the ``largest`` users: five times the median user and at least 10 MiB.
 
-    Works on flows or on the endpoint roll-up alike: only users and bytes are read.
+    Works on flows, on the endpoint roll-up, or on :func:`user_sums`: only users and bytes are read.
     """
-    per_user = grouped(flows, "user").agg(sum_bytes())
-    median = F.greatest(F.floor(Q.exact_quantiles(per_user, "bytes", {"m": 0.5}).scalar()), F.lit(1)).cast("double")
-    population = per_user.agg(rows("c")).scalar()
-    biggest = per_user.orderBy(F.col("bytes").desc(), F.col("user")).limit(largest).withColumns(
-        {"ratio": F.col("bytes").cast("double") / median, "users": population})
-    hit = (F.col("users") >= 2) & (F.col("ratio") >= 5.0) & (F.col("bytes") >= 10 * S.MIB)
+    if per_user is None:
+        per_user = durable(grouped(flows, "user").agg(sum_bytes()))
+    population = per_user.count()
+    # The built-in holds all values in one buffer; beyond this many users the ranks are narrowed down instead.
+    middle = per_user.agg(F.percentile("bytes", 0.5)) if population <= MEDIAN_USERS else Q.exact_quantiles(per_user, "bytes", {"m": 0.5})
+    median = F.greatest(F.floor(middle.scalar()), F.lit(1)).cast("double")
+    biggest = per_user.select("user", "bytes").orderBy(F.col("bytes").desc(), F.col("user")).limit(largest).withColumn(
+        "ratio", F.col("bytes").cast("double") / median)
+    hit = (F.lit(population) >= 2) & (F.col("ratio") >= 5.0) & (F.col("bytes") >= 10 * S.MIB)
     score = F.least(F.lit(85).cast("bigint"), F.floor(F.lit(35.0) + F.col("ratio") * 6.0))
     return _alert(biggest.where(hit), "traffic_anomaly", score, F.col("user"),
                   [_label("bytes", X.human_bytes_wide("bytes")), _label("times_median", _one_digit(F.col("ratio")))],
                   "user")
 
 
-def off_hours(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    if ends is None:
+def off_hours(flows: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
+    if per_user is None:
         g = grouped(flows.where(F.hour("timestamp").between(0, 5)), "user").agg(rows("packets"), sum_bytes())
     else:
-        g = ends.where("night_rows > 0").groupBy("user").agg(
-            F.sum("night_rows").alias("packets"), F.sum("night_bytes").alias("bytes"))
+        g = per_user.where("night_rows > 0").select("user", F.col("night_rows").alias("packets"), F.col("night_bytes").alias("bytes"))
     hit = (F.col("packets") >= 10) | (F.col("bytes") >= 5 * S.MIB)
     return _alert(g.where(hit), "off_hours_activity", F.least(F.lit(78), 36 + F.col("packets") * 2), F.col("user"),
                   [_label("rows", F.col("packets")), _label("bytes", X.human_bytes_wide("bytes"))], "user")
@@ -175,9 +192,11 @@ def text_rule_hits(df: DataFrame, key: str, text: Column, shown: int = 5) -> Dat
             .select(key, F.inline(parts)).where(F.col("terms") != ""))
 
 
-def dns_tunneling(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    count = rows("queries") if ends is None else F.sum("n").alias("queries")
-    g = grouped((flows if ends is None else ends).where(F.col("dst_port") == 53), "user").agg(count, sum_bytes())
+def dns_tunneling(flows: DataFrame, per_user: DataFrame | None = None) -> DataFrame:
+    if per_user is None:
+        g = grouped(flows.where(F.col("dst_port") == 53), "user").agg(rows("queries"), sum_bytes())
+    else:
+        g = per_user.where("dns_rows > 0").select("user", F.col("dns_rows").alias("queries"), F.col("dns_bytes").alias("bytes"))
     mean = F.col("bytes").cast("double") / F.col("queries").cast("double")
     hit = (F.col("queries") > 100) & (mean > 100.0)
     score = F.least(F.lit(95).cast("bigint"), 50 + F.least(F.floor(F.col("queries") / 10), F.lit(30))
@@ -199,11 +218,9 @@ def data_exfiltration(flows: DataFrame, ends: DataFrame | None = None) -> DataFr
                    _label("targets", F.col("targets"))], "user", reason)
 
 
-def port_sweep(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+def port_sweep(flows: DataFrame, per_port: DataFrame | None = None) -> DataFrame:
     """One port on many targets; also known as ``brute_force``."""
-    ends = endpoints(flows) if ends is None else ends
-    g = ends.groupBy("user", "src_ip", "dst_port").agg(
-        rows("targets"), F.sum("n").alias("attempts"), F.min("first_ts").alias("a"), F.max("last_ts").alias("b"))
+    g = port_sums(endpoints(flows)) if per_port is None else per_port
     span = F.coalesce(span_seconds(F.col("a"), F.col("b")), F.lit(0.0))
     rate = F.col("attempts").cast("double") / F.greatest(span, F.lit(1.0))
     score = F.least(F.lit(88).cast("bigint"), 40 + F.least(F.col("targets") * 3, F.lit(25))
@@ -268,13 +285,13 @@ def beaconing(flows: DataFrame) -> DataFrame:
 def all_alerts(flows: DataFrame) -> DataFrame:
     """Union of all rules.
 
-    Seven rules read the endpoint roll-up, which is written to the checkpoint folder once: left
-    lazy, column pruning would give each rule its own scan and shuffle of the flows. Text and
-    beacon rules scan the flows themselves, so the table is read three times in all.
+    The endpoint roll-up is written once, and from it the sums per user (three rules) and per user, source and port
+    (two rules). Text and beacon rules scan the flows themselves, so the table is read three times in all.
     """
     ends = durable(endpoints(flows))
-    parts = [reconnaissance(flows, ends), sensitive_service(flows, ends), traffic_anomaly(ends), off_hours(flows, ends),
-             text_indicators(flows), dns_tunneling(flows, ends), data_exfiltration(flows, ends), port_sweep(flows, ends),
+    per_user, per_port = durable(user_sums(ends)), durable(port_sums(ends))
+    parts = [reconnaissance(flows, ends), sensitive_service(flows, per_port), traffic_anomaly(ends, per_user=per_user), off_hours(flows, per_user),
+             text_indicators(flows), dns_tunneling(flows, per_user), data_exfiltration(flows, ends), port_sweep(flows, per_port),
              beaconing(flows)]
     out = parts[0]
     for part in parts[1:]:

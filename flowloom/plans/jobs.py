@@ -17,7 +17,7 @@ from flowloom.operators import rules as R
 from flowloom.operators import traffic as B
 from flowloom.operators.anomaly import ensemble as M
 from flowloom.operators.anomaly import features as U
-from flowloom.session import durable
+from flowloom.session import durable, scratch
 from flowloom.sources import capture, csvfiles, history, rownumbers
 
 
@@ -48,14 +48,16 @@ def ingest(spark: SparkSession, path: str, table: str, ingest_ts: str | datetime
 
 def security_report(flows: DataFrame, out: str) -> dict[str, DataFrame]:
     """Alerts are evaluated once; ids, block list and summary come from the stored alerts."""
-    alerts = store(R.with_alert_ids(R.all_alerts(flows)), f"{out}/alerts")
+    with scratch(flows.sparkSession):
+        alerts = store(R.with_alert_ids(R.all_alerts(flows)), f"{out}/alerts")
     return {"alerts": alerts, "block_list": store(R.block_list(alerts), f"{out}/block_list"),
             "summary": store(R.risk_summary(alerts), f"{out}/risk_summary")}
 
 
 def anomaly_report(flows: DataFrame, out: str, model: str = "isolation_forest", top_n: int = U.TOP_N) -> dict[str, DataFrame]:
-    frames = M.model_report(flows, model, top_n)
-    return {name: store(frame, f"{out}/{model}_{name}") for name, frame in frames.items()}
+    with scratch(flows.sparkSession):
+        frames = M.model_report(flows, model, top_n)
+        return {name: store(frame, f"{out}/{model}_{name}") for name, frame in frames.items()}
 
 
 def dashboard(flows: DataFrame, out: str, alerts: DataFrame | None = None, outliers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -63,7 +65,8 @@ def dashboard(flows: DataFrame, out: str, alerts: DataFrame | None = None, outli
 
     ``alerts`` and ``outliers`` (summary and anomalies of a model report) are made here unless they are at hand.
     """
-    outliers = outliers if outliers is not None else M.model_report(flows, "isolation_forest")
+    if outliers is None:
+        outliers = anomaly_report(flows, out)
     alerts = alerts if alerts is not None else security_report(flows, out)["alerts"]
     parts = {
         "total_traffic": B.totals(flows), "user_ranking": B.top_users(flows, 15), "app_category": B.category_bytes(flows),
