@@ -148,6 +148,10 @@ _KEYS = [("d1", "heavy_collector"), ("d2", "internal_user", "external_user"), ("
          ("d20", "morning_active", "afternoon_active")]
 for _key, *_names in _KEYS:
     add(f"{_key}_tag_{_names[0]}", over_flows(D.user_tags, *_names), on_flows(_tags(*_names), *FEATURES))
+# No flow of the view is of this class: one category is renamed on both sides.
+add("d11_tag_learner_renamed", lambda spark, sf: D.user_tags(
+    V.flows(spark, sf).replace({"Game": "Education Portal"}, subset=["app_category"]), "learner"),
+    on_flows(_tags("learner"), *FEATURES).replace("THEN 'Game'", "THEN 'Education Portal'"))
 add("d_all_tags", over_flows(D.user_tags), on_flows(_tags(*D.TAGS), *FEATURES))
 add("d21_tag_index", over_flows(D.tag_index), on_flows(
     f"SELECT tag, count(*) AS users FROM ({_tags(*D.TAGS)}) GROUP BY 1", *FEATURES))

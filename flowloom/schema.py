@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# --- fixed values: columns of the canonical schema, in order ---
 BASE_COLUMNS = [
     "timestamp", "src_ip", "dst_ip", "src_port", "dst_port",
     "protocol", "bytes", "app_category", "user",
@@ -27,7 +28,7 @@ def _field_type(name: str) -> T.DataType:
 
 CANONICAL_SCHEMA = T.StructType([T.StructField(c, _field_type(c)) for c in CANONICAL_COLUMNS])
 
-# Columns a file must carry before analysis starts, in sorted order.
+# --- fixed values: columns a file must carry before analysis starts, in sorted order ---
 REQUIRED_COLUMNS = [
     "app_category", "bytes", "dst_ip", "dst_port", "protocol", "src_ip", "timestamp", "user",
 ]
@@ -122,3 +123,9 @@ LIVE_LARGE_FLOW_BYTES = 50_000
 LIVE_ALERTS_KEPT = 500
 
 MIB = 1024 * 1024
+
+# --- fixed values: patterns that decide which texts match ---
+DOWNLOAD_NAME_PATTERN = r"""(?i)filename\*?=(?:UTF-8''|"|')?([^;"']+)"""
+SCRIPT_BLOCK_PATTERN = r"(?is)<script[^>]*>.*?</script>"
+EVENT_TAG_PATTERN = r"(?i)<[^>]*on\w+\s*=[^>]*>"
+EMAIL_PATTERN = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
