@@ -13,6 +13,7 @@ from flowloom.operators.profile import user_features
 from flowloom.session import durable
 
 CONTAMINATION, TOP_N, MIN_USERS, SEED = 0.1, 10, 5, 42
+BUFFERED_USERS = 1_000_000
 
 
 def feature_table(flows: DataFrame) -> DataFrame:
@@ -73,8 +74,12 @@ def flag_outliers(raw: DataFrame, users: int, contamination: float = CONTAMINATI
     The raw values are written once: range, quantile and result would each run the model again.
     """
     kept = durable(raw)
-    probs = {"cut": 1.0 - contamination_for(users, contamination)}
-    cut = Q.exact_quantiles(kept, "outlyingness", probs, Q.signed_key).scalar()
+    share = 1.0 - contamination_for(users, contamination)
+    # The built-in holds all values in one buffer; beyond this many users the ranks are narrowed down instead.
+    if users <= BUFFERED_USERS:
+        cut = kept.agg(F.percentile("outlyingness", share)).scalar()
+    else:
+        cut = Q.exact_quantiles(kept, "outlyingness", {"cut": share}, Q.signed_key).scalar()
     return scaled_scores(kept.withColumn("is_anomaly", F.col("outlyingness") > cut))
 
 

@@ -205,8 +205,11 @@ def test_constant_feature_scales_to_zero(spark):
     assert out["u0"]["total_packets"] == 0.0 and abs(out["u2"]["total_bytes"] - 1.224744871) < 1e-8
 
 
-def test_large_scores_are_still_told_apart(spark):
+@pytest.mark.parametrize("buffered", [1_000_000, 10])
+def test_large_scores_are_still_told_apart(spark, monkeypatch, buffered):
     from flowloom.operators.anomaly import features
 
+    monkeypatch.setattr(features, "BUFFERED_USERS", buffered)
+
     raw = spark.createDataFrame([(f"u{i}", float(i) if i < 80 else 2e10 + i * 1e6) for i in range(100)], "user string, outlyingness double")
     assert features.flag_outliers(raw, 100).where("is_anomaly").count() == 1
