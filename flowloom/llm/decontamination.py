@@ -24,8 +24,8 @@ UNITS = ("mm|cm|m|km|miles?|feet|foot|inch(?:es)?|yards?|mg|g|kg|grams?|kilogram
 _NUM, _NAME, _UNIT, _END, _OPEN, _LAST = "\uE001", "\uE002", "\uE003", "\uE004", "\uE005", "\uE006"
 _NOT_WORD = (r"(?:[\x00-\x2B\x2D\x2F\x3A-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]"
              r"|[.,](?![0-9]))+")
-# Scripts written without blanks: each character is a word.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Scripts written without blanks: each character is a word. All begin at Thai, so one comparison spares other letters the look-up.
+_UNSPACED = r"[\u0E00-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
 #: How a window is joined: names by their left neighbour, every capitalised word a name, or word for word.
 NEAR, WIDE, EXACT = 1, 2, 4
 
@@ -65,11 +65,23 @@ def bare(words):
     return F.transform(words, lambda w: F.when((w >= _NUM) & (w < _LAST), F.substring(w, 2, 1 << 30)).otherwise(w))
 
 
-def windows(words, size: int):
-    """Hash of every ``size`` neighbouring template words; empty for fewer words."""
-    last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(
-        F.array().cast("array<bigint>"))
+def _hashed(words):
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _window(hashes: str, at, size: int):
+    """Hash of ``size`` word hashes from place ``at`` on; places behind the last word are passed over."""
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(size)])
+
+
+def _sides(hashes: dict[str, int]):
+    """Word hashes side by side: for each column, its value at a place and at the ``n - 1`` places behind it."""
+    return F.arrays_zip(*[F.slice(c, i + 1, 1 << 30).alias(f"{c}{i}") for c, n in hashes.items() for i in range(n)])
+
+
+def _joined(column: str, size: int):
+    """Hash of the window in ``h``, made of ``_sides``; null where the text ends before it does."""
+    return F.when(F.col(f"h.{column}{size - 1}").isNotNull(), F.xxhash64(*[F.col(f"h.{column}{i}") for i in range(size)]))
 
 
 def _runs(ats, length):
@@ -94,17 +106,18 @@ def _verbatim(ats, first, own, theirs, size: int):
 def _asked(items: DataFrame, size: int, least: int) -> DataFrame:
     """item_id, at, length, window, kinds of all windows to look for."""
     views = items.withColumns({"near": template(view("words", False)), "wide": template(view("words", True)), "bare": bare("words")})
-    each = views.select("item_id", "near", "wide", F.posexplode(F.arrays_zip(
-        windows(F.col("near"), size).alias("n"), windows(F.col("wide"), size).alias("w"), windows(F.col("bare"), size).alias("b"))).alias("at", "h"))
+    views = views.withColumns({c[0]: _hashed(F.col(c)) for c in ("near", "wide", "bare")})
+    each = views.select("item_id", "near", "wide", F.posexplode(_sides({"n": size, "w": size, "b": size})).alias("at", "h")).where(
+        F.col("at") <= F.size("near") - size)
     plain = lambda side: F.size(F.filter(F.slice(side, F.col("at") + 1, size), _plain))
     # The wide view has the fewest plain words.
-    ways = F.array(F.struct(F.col("h.n").alias("window"), F.when(plain("near") >= least, NEAR).alias("kinds")),
-                   F.struct(F.col("h.w").alias("window"), F.when(plain("wide") >= least, WIDE).alias("kinds")),
-                   F.struct(F.col("h.b").alias("window"), F.when(plain("wide") < least, EXACT).alias("kinds")))
+    ways = F.array(F.struct(_joined("n", size).alias("window"), F.when(plain("near") >= least, NEAR).alias("kinds")),
+                   F.struct(_joined("w", size).alias("window"), F.when(plain("wide") >= least, WIDE).alias("kinds")),
+                   F.struct(_joined("b", size).alias("window"), F.when(plain("wide") < least, EXACT).alias("kinds")))
     long = each.select("item_id", "at", F.lit(size).alias("length"), F.inline(ways)).where("kinds is not null")
     short = views.where(F.size("words").between(1, size - 1)).select(
         "item_id", F.lit(0).alias("at"), F.size("words").alias("length"),
-        F.xxhash64("bare").alias("window"), F.lit(EXACT).alias("kinds"))
+        _window("b", F.lit(0), size - 1).alias("window"), F.lit(EXACT).alias("kinds"))
     return long.unionByName(short).groupBy("item_id", "at", "length", "window").agg(F.bit_or("kinds").alias("kinds"))
 
 
@@ -114,13 +127,16 @@ def _given(docs: DataFrame, size: int, exact: list[int]) -> DataFrame:
     split = docs.select("doc_id", "tk", slotted(F.col("text")).alias("words"))
     views = split.select("doc_id", "tk", template(view("words", False)).alias("near"), template(view("words", True)).alias("wide"),
                          *([bare("words").alias("bare")] if exact else []))
-    each = views.select("doc_id", "tk", F.posexplode(F.arrays_zip(
-        windows(F.col("near"), size).alias("n"), windows(F.col("wide"), size).alias("w"),
-        *[windows(F.col("bare"), n).alias(f"b{n}") for n in exact])).alias("place", "h"))
+    sides = {"n": size, "w": size} | ({"b": max(exact)} if exact else {})
+    hashed = views.select("doc_id", "tk", *[_hashed(F.col(c)).alias(c[0]) for c in views.columns[2:]])
+    each = hashed.select("doc_id", "tk", F.posexplode(_sides(sides)).alias("place", "h"))
+    # The windows are hashed row by row, in generated code.
+    each = each.select("doc_id", "tk", "place", _joined("n", size).alias("near"), _joined("w", size).alias("wide"),
+                       *[_joined("b", n).alias(f"b{n}") for n in exact])
     as_way = lambda window, kinds: F.struct(window.alias("window"), F.lit(kinds).alias("kinds"))
-    same = F.col("h.n") == F.col("h.w")
-    ways = F.array(as_way(F.col("h.n"), F.when(same, NEAR | WIDE).otherwise(NEAR)), as_way(F.when(~same, F.col("h.w")), WIDE),
-                   *[as_way(F.col(f"h.b{n}"), EXACT) for n in exact])
+    same = F.col("near") == F.col("wide")
+    ways = F.array(as_way(F.col("near"), F.when(same, NEAR | WIDE).otherwise(NEAR)), as_way(F.when(~same, F.col("wide")), WIDE),
+                   *[as_way(F.col(f"b{n}"), EXACT) for n in exact])
     return each.select("doc_id", "tk", "place", F.inline(ways)).where("window is not null")
 
 
