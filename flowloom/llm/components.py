@@ -11,24 +11,24 @@ from flowloom.llm.storage import Workspace
 def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): label is the least node it is connected with.
 
-    Each step takes the least label among the neighbours, then follows labels once more (pointer
-    jumping), so chains shrink by half. Every step is written, which cuts the lineage.
+    Each step maps a node to the least of its neighbours, follows that once more (pointer jumping), and puts
+    the images in place of both ends of every edge. Edges inside one image go, so only what is still to be
+    joined is read again, and a star or a path is soon used up. Every step is written, which cuts the lineage.
     """
-    both = work.save(f"{name}-both", links.select("a", "b").unionAll(links.select("b", "a")).distinct())
-    labels = work.save(f"{name}-0", both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    step = 0
-    while True:
-        step += 1
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        met = labels.join(around.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = met.join(jump, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        saved = work.save(f"{name}-{step}", moved)
-        changed = saved.where("label <> old").limit(1).count()
-        labels = saved.select("node", "label")
-        work.drop(f"{name}-{step - 1}")
-        if not changed:
-            return labels
+    edges = work.save(f"{name}-edges0", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        both = edges.unionAll(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        image = work.save(f"{name}-image{len(steps)}", least.join(jump, "label").select("node", F.col("further").alias("label")))
+        ends = [image.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(
+            F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        steps.append(image)
+        edges = work.save(f"{name}-edges{len(steps)}", moved)
+    labels = steps[-1]
+    for image in reversed(steps[:-1]):
+        last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = image.join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return work.save(f"{name}-labels", labels)

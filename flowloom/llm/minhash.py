@@ -23,6 +23,8 @@ from flowloom.llm.storage import Workspace, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
+#: Counters of a bag's sketch.
+SKETCH = 128
 _CHUNK = 1 << 22
 _letters: list[np.ndarray] = []
 
@@ -119,8 +121,11 @@ def _sign(bands: int, rows: int, size: int):
 
 
 def _sets(size: int):
-    """The multiset of each text as a sorted set: the i-th copy of a shingle is an element of its own."""
-    schema = pa.schema([("node", pa.int64()), ("bag", pa.binary())])
+    """The multiset of each text as a sorted set: the i-th copy of a shingle is an element of its own.
+
+    The sketch counts the elements by their highest bits, 255 standing for all beyond.
+    """
+    schema = pa.schema([("node", pa.int64()), ("bag", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +135,29 @@ def _sets(size: int):
                 owner, _, counts = _bags(hashes, bounds)
                 copy, _ = H.ranges(np.zeros(len(counts), np.int64), counts)
                 keys = H.mix(hashes + copy.astype(H.U) * H.U(0xD6E8FEB86659FD93))
+                of = np.repeat(np.arange(b - a), np.diff(bounds))
+                cells = np.bincount(of * SKETCH + (keys >> H.U(57)).astype(np.int64), minlength=(b - a) * SKETCH)
+                cells = np.minimum(cells, 255).astype(np.uint8).reshape(b - a, SKETCH)
                 yield pa.record_batch([batch["node"][a:b], pa.array(
-                    [np.sort(keys[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], schema=schema)
+                    [np.sort(keys[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                    pa.array(np.diff(bounds).astype(np.int64)), pa.array([c.tobytes() for c in cells], pa.binary())], schema=schema)
+
+    return run
+
+
+def _possible(threshold: float):
+    """Pairs whose sketches leave it open that the bags overlap enough.
+
+    Two bags that reach ``threshold`` differ in at most ``(1 - threshold) / (1 + threshold)`` of their elements, and
+    their counters differ in no more than the bags do.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+            n, m = (batch[c].to_numpy() for c in ("n_a", "n_b"))
+            apart = np.maximum(np.abs(x - y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+            open_ = apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6
+            yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(open_))
 
     return run
 
@@ -207,55 +233,56 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     spread = work.save("spread", nodes.select("node", F.col("src.doc_id").alias("doc_id"), F.col("src.tk").alias("tk"),
                                               F.explode("bands").alias("band")))
     many = spread.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("band")
-    members = work.save("members", spread.join(many, "band"))
+    mates = work.save("mates", spread.join(many, "band"))
     work.drop("spread")
     work.sweep()
-    sources = members.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
+    sources = mates.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
     met = (keyed["doc_id"].eqNullSafe(sources["doc_id"])) & (keyed["tk"] == sources["tk"])
     bags = work.save("bags", keyed.join(sources, met).select("node", "text")
-                     .mapInArrow(_sets(size), "node long, bag binary").dropDuplicates(["node"]))
+                     .mapInArrow(_sets(size), "node long, bag binary, n long, sketch binary").dropDuplicates(["node"]))
+    members = work.save("members", mates.join(bags.select("node", "n", "sketch"), "node"))
     work.sweep()
-    links = labels = checked = None
+    labels = None
 
     def labelled() -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         left, right = (bags.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
         return work.save(name, pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
                          .mapInArrow(_overlap(threshold), "a long, b long, similarity double"))
 
+    def merge(found: DataFrame, name: str) -> DataFrame | None:
+        """(node, label) of all nodes once the classes at both ends of the links are one."""
+        if found.isEmpty():
+            return labels
+        for end in "ab" if labels is not None else "":
+            found = found.withColumnRenamed(end, "node").join(labels, "node").drop("node").withColumnRenamed("label", end)
+        moved = components(found, work, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        now = bags.select("node", F.col("node").alias("label")) if labels is None else labels
+        return work.save(name, now.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
     for turn in range(rounds):
         if turn:  # several independent centres, which leave fewer classes apart
-            ranks = [F.struct(F.xxhash64("node", F.lit(turn * centres + i)).alias("first"), "node") for i in range(centres)]
+            ranks = [F.struct(F.xxhash64("node", F.lit(turn * centres + i)).alias("first"), "node", "n", "sketch") for i in range(centres)]
         else:
-            ranks = [F.struct(F.col("doc_id").alias("first"), "node")]
+            ranks = [F.struct(F.col("doc_id").alias("first"), "node", "n", "sketch")]
         ranked = labelled().select("band", "label", F.posexplode(F.array(*ranks)).alias("try", "rank"))
-        chosen = ranked.groupBy("band", "try", "label").agg(F.min("rank").alias("rank"))
+        chosen = ranked.groupBy("band", "try", "label").agg(F.min("rank").alias("rank")) if turn else ranked
         centre = chosen.groupBy("band", "try").agg(F.min(F.struct("rank", "label")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
         pairs = chosen.join(centre, ["band", "try"]).where("label <> c.label").select(
-            F.least("rank.node", "c.rank.node").alias("a"), F.greatest("rank.node", "c.rank.node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = work.save(f"pairs{turn}", pairs)
+            F.least("rank.node", "c.rank.node").alias("a"), F.greatest("rank.node", "c.rank.node").alias("b"), F.col("rank.n").alias("n_a"),
+            F.col("c.rank.n").alias("n_b"), F.col("rank.sketch").alias("sketch_a"), F.col("c.rank.sketch").alias("sketch_b"))
+        pairs = pairs.mapInArrow(_possible(threshold), "a long, b long").distinct()
         found = verify(pairs, f"links{turn}")
-        links = found if links is None else links.unionAll(found)
-        checked = pairs if checked is None else checked.unionAll(pairs)
+        labels = merge(found, f"labels{turn}")
         work.sweep()
-        if found.limit(1).count():
-            labels = components(links, work, f"labels{turn}")
-    now = work.save("apart", labelled().select("band", "node", "label"))
+    now = labelled().select("band", "node", "label")
     mixed = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
     apart = now.join(mixed, "band").select("node", "label").distinct()
-    rest = candidates(apart.join(bags, "node").select("node", "label", "bag"), threshold).distinct()
-    if checked is not None:
-        rest = rest.join(checked, ["a", "b"], "left_anti")
-    found = verify(rest, "links-rest")
+    found = verify(candidates(apart.join(bags, "node").select("node", "label", "bag"), threshold).distinct(), "links-rest")
     work.sweep()
-    if found.limit(1).count():
-        labels = components(found if links is None else links.unionAll(found), work, "labels-rest")
+    labels = merge(found, "labels-rest")
     work.drop("bags")
     named = rows_.select("doc_id", "tk", "node")
     if labels is None:

@@ -184,3 +184,55 @@ def test_signatures_estimate_weighted_jaccard():
 @pytest.mark.parametrize("operator", [substring.remove_repeats, suffixes.remove_repeats, minhash.near_duplicates, minhash.keep_one])
 def test_empty_table(make_docs, operator):
     assert operator(make_docs((1, "x")).where("false")).collect() == []
+
+
+def test_sketches_rule_out_no_link():
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    texts, base = [], words(300, 6)
+    for i in range(60):
+        w = list(base)
+        for k in rnd.sample(range(300), i % 30):
+            w[k] = f"v{rnd.randint(0, 5000)}"
+        texts.append(" ".join(w[:300 - i % 7] + ["z"] * (1200 if i % 3 else 1250)))
+    made, = minhash._sets(5)([pa.record_batch([pa.array(range(60)), pa.array(texts)], names=["node", "text"])])
+    rows, pairs = made.to_pylist(), [(a, b) for b in range(60) for a in range(b)]
+    asked = {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
+    asked |= {f"{c}_{x}": [rows[i][c] for i in asked[x]] for c in ("n", "sketch") for x in "ab"}
+    left, = minhash._possible(0.9)([pa.record_batch([pa.array(v) for v in asked.values()], names=list(asked))])
+    got = set(zip(left["a"].to_pylist(), left["b"].to_pylist()))
+    bags = [bag(t) for t in texts]
+    want = {(a, b) for a, b in pairs if sum((bags[a] & bags[b]).values()) >= 0.9 * sum((bags[a] | bags[b]).values())}
+    assert want <= got and 20 < len(want) and len(got) < len(pairs)
+
+
+def test_near_copies_are_joined_once_each(make_docs, monkeypatch):
+    """Rows read by joins and saved on the way grow with a group, not with its pairs or the steps over its links."""
+    rnd, saved = random.Random(9), Counter()
+    base = words(120, 4)
+
+    def group(n):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[rnd.randrange(120)] = f"own{i}"
+            rows.append((i, " ".join(w)))
+        return make_docs(*rows)
+
+    save = minhash.Workspace.save
+
+    def counted(self, name, frame):
+        out = save(self, name, frame)
+        if "-edges" in name or "links" in name:
+            saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Workspace, "save", counted)
+    assert {r.class_id for r in minhash.near_duplicates(group(60)).collect()} == {0}
+    small = dict(saved)
+    saved.clear()
+    assert {r.class_id for r in minhash.near_duplicates(group(240)).collect()} == {0}
+    assert 0 < sum(saved.values()) < 6 * sum(small.values())
+    edges = [saved[n] for n in sorted(saved) if n.startswith("labels0-edges")]
+    assert edges[-1] == 0 and all(b < a for a, b in zip(edges, edges[1:])) and sum(edges) < 3 * edges[0]
