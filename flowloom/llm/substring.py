@@ -2,7 +2,8 @@
 
 Windows of ``width`` words are the edges of a de Bruijn graph whose nodes are the ``width - 1`` words
 two neighbouring windows share. Windows with the same least word gram form one pre-compacted edge,
-as in minimiser-based graph builders. Spark joins keep the edges whose gram occurs in two documents,
+as in minimiser-based graph builders; a text that goes round one such edge has one row for all its
+rounds, so a periodic text is no longer than others. Spark joins keep the edges whose gram occurs in two documents,
 find each edge's first source, merge edges that meet in a node without branches into one path, and
 compare the words at both source coordinates of every path.
 """
@@ -36,7 +37,7 @@ def _context(pre, low, high, place, width):
 
 def _edges(width: int, k: int, seed: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()),
-                        ("head", pa.int64()), ("tail", pa.int64()), ("low", pa.int32()), ("n", pa.int32())])
+                        ("head", pa.int64()), ("tail", pa.int64()), ("low", pa.int32()), ("n", pa.int32()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,11 +49,18 @@ def _edges(width: int, k: int, seed: int):
                 if not len(item):
                     continue
                 pre = H.prefix(words)
+                context = _context(pre, low, high, place, width)
+                # Runs of a text lie end to end, so the rounds of one edge are ``n`` windows apart.
+                same = (item[1:] == item[:-1]) & (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (
+                    high[1:] - low[1:] == high[:-1] - low[:-1])
+                first = np.flatnonzero(np.concatenate(([True], ~same)))
+                times = np.diff(np.concatenate((first, [len(item)])))
+                item, low, high, gram, context = (x[first] for x in (item, low, high, gram, context))
                 yield pa.record_batch([
-                    ids[a:b][item], tks[a:b][item], _signed(gram), _signed(_context(pre, low, high, place, width)),
+                    ids[a:b][item], tks[a:b][item], _signed(gram), _signed(context),
                     _signed(H.mix(H.span(pre, low, low + width - 1))),
                     _signed(H.mix(H.span(pre, high + 1, high + width))),
-                    (low - offsets[item]).astype(np.int32), (high - low + 1).astype(np.int32)], schema=schema)
+                    (low - offsets[item]).astype(np.int32), (high - low + 1).astype(np.int32), times.astype(np.int32)], schema=schema)
 
     return run
 
@@ -84,8 +92,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = set()
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
             words = text.encode().split()
-            out.update((s["src_doc"], s["src_tk"], s["src_a"], s["b"] - s["a"],
-                        hashlib.md5(b" ".join(words[s["a"]:s["b"]])).digest()) for s in spans)
+            out.update((s["src_doc"], s["src_tk"], s["src_a"], s["b"] - s["a"], hashlib.md5(b" ".join(words[s["a"] + i:s["b"] + i])).digest())
+                       for s in spans for i in range(0, s["times"] * s["step"], s["step"]))
         columns = list(zip(*out)) if out else [[]] * 5
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -98,7 +106,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or "").encode().split()
             keep = np.ones(len(words), bool)
             for s in spans or ():
-                keep[s["a"]:s["b"]] = False
+                # A round is no longer than a window, so all rounds together leave no word between them.
+                keep[s["a"]:s["b"] + (s["times"] - 1) * s["step"]] = False
             gone = len(words) - int(keep.sum())
             total.append(len(words))
             removed.append(gone)
@@ -116,10 +125,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_paths(docs: DataFrame, work: Workspace, width: int = WIDTH, k: int = GRAM, seed: int = 1) -> DataFrame:
     """Compacted repeated paths: (doc_id, tk, a, b) words and their first source (src_doc, src_tk, src_a).
 
+    A path found ``times`` over, each ``step`` words behind the one before, is one row with the first one's words.
+
     ``docs`` needs doc_id, tk and text, none null. Every window covered by a path also starts in the
     source, a document with a smaller doc_id; the source is the smallest such document.
     """
-    edges = docs.mapInArrow(_edges(width, k, seed), "doc_id long, tk int, gram long, context long, head long, tail long, low int, n int")
+    edges = docs.mapInArrow(_edges(width, k, seed), "doc_id long, tk int, gram long, context long, head long, tail long, low int, n int, times int")
     twice = (edges.groupBy("gram").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
              .where("x < y").select("gram"))
     shared = work.save(f"shared{seed}", edges.join(twice, "gram"))
@@ -155,23 +166,27 @@ def repeated_paths(docs: DataFrame, work: Workspace, width: int = WIDTH, k: int
     pieces = whole.unionByName(parts).join(through, ["gram", "context"])
     spans = shared.join(pieces, ["gram", "context"]).where("src_doc < doc_id").select(
         *_KEY, (F.col("low") + F.col("o1")).alias("a"), (F.col("low") + F.col("o2") + width).alias("b"),
-        "src_doc", "src_tk", "src_a", (F.coalesce("plain", F.lit(False)) & (F.col("o2") == F.col("n") - 1)).alias("plain"))
+        "src_doc", "src_tk", "src_a", (F.coalesce("plain", F.lit(False)) & (F.col("o2") == F.col("n") - 1)).alias("plain"),
+        "times", F.col("n").alias("step"))
     order = W.partitionBy(*_KEY).orderBy("a", "b")
     glued = spans.withColumn("glue", F.lag("plain").over(order) & (F.lag("src_doc").over(order) == F.col("src_doc"))
                              & (F.lag("src_tk").over(order) == F.col("src_tk"))
                              & (F.lag(F.col("src_a") - F.col("a")).over(order) == F.col("src_a") - F.col("a"))
-                             & (F.lag("b").over(order) == F.col("a") + width - 1))
+                             & (F.lag("b").over(order) == F.col("a") + width - 1)
+                             & (F.col("times") == 1) & (F.lag("times").over(order) == 1))
     numbered = glued.withColumn("path", F.sum(F.when(F.coalesce("glue", F.lit(False)), 0).otherwise(1)).over(order))
     return work.save(f"paths{seed}", numbered.groupBy(*_KEY, "path", "src_doc", "src_tk").agg(
-        F.min("a").alias("a"), F.max("b").alias("b"), F.min("src_a").alias("src_a")).drop("path"))
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("src_a").alias("src_a"), F.max("times").alias("times"),
+        F.max("step").alias("step")).drop("path"))
 
 
 def _verified(docs: DataFrame, paths: DataFrame) -> bool:
     """Whether all copies of a path have the words at its source coordinates."""
     source = paths.select(F.col("src_doc").alias("doc_id"), F.col("src_tk").alias("tk"), F.col("src_a").alias("a"),
-                          (F.col("src_a") + F.col("b") - F.col("a")).alias("b"), "src_doc", "src_tk", "src_a").distinct()
+                          (F.col("src_a") + F.col("b") - F.col("a")).alias("b"), "src_doc", "src_tk", "src_a",
+                          F.lit(1).alias("times"), F.lit(1).alias("step")).distinct()
     asked = paths.select(*source.columns).unionAll(source).groupBy(*_KEY).agg(
-        F.collect_list(F.struct("a", "b", "src_doc", "src_tk", "src_a")).alias("spans"))
+        F.collect_list(F.struct("a", "b", "src_doc", "src_tk", "src_a", "times", "step")).alias("spans"))
     digests = docs.join(asked, _KEY).select("text", "spans").mapInArrow(
         _digests, "src_doc long, src_tk int, src_a int, n int, digest binary")
     wrong = digests.groupBy("src_doc", "src_tk", "src_a", "n").agg(
@@ -201,7 +216,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFr
         seed += 1
     work.sweep()
     spans = paths.groupBy(F.col("doc_id").alias("__doc"), F.col("tk").alias("__tk")).agg(
-        F.collect_list(F.struct("a", "b")).alias("__spans"))
+        F.collect_list(F.struct("a", "b", "times", "step")).alias("__spans"))
     met = (F.col("doc_id") == F.col("__doc")) & (text_key() == F.col("__tk"))
     marked = docs.join(spans, met, "left").select(*docs.columns, "__spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -236,3 +236,25 @@ def test_near_copies_are_joined_once_each(make_docs, monkeypatch):
     assert 0 < sum(saved.values()) < 6 * sum(small.values())
     edges = [saved[n] for n in sorted(saved) if n.startswith("labels0-edges")]
     assert edges[-1] == 0 and all(b < a for a, b in zip(edges, edges[1:])) and sum(edges) < 3 * edges[0]
+
+
+def test_a_periodic_stretch_is_one_edge_row(make_docs, monkeypatch):
+    """Rows of a gram grow with the texts that hold it, not with how long they go on repeating it."""
+    rows = [(1, " ".join(["a"] * 70)), (2, " ".join(["a"] * 900 + words(60, 1))), (3, " ".join(["b", "c"] * 60 + ["a"] * 55)),
+            (4, " ".join(words(60, 2) + ["c", "b"] * 400 + words(60, 1))), (5, "b c " * 26), (5, "a " * 49), (6, "c " + "a " * 300 + "d " * 80),
+            (7, "c " + "a " * 40 + "d " * 80), (8, " ".join((["x"] + ["y"] * 48) * 9)), (9, " ".join((["x"] + ["y"] * 48) * 4))]
+    saved = {}
+    save = substring.Workspace.save
+
+    def counted(self, name, frame):
+        saved[name] = out = save(self, name, frame)
+        return out
+
+    monkeypatch.setattr(substring.Workspace, "save", counted)
+    got = substring.remove_repeats(make_docs(*rows)).collect()
+    want = Counter()
+    for (d, t), (seq, gone) in zip(rows, brute(rows, lambda t: t.encode().split(), 50)):
+        want[(d, t, len(seq), sum(gone), b" ".join(w for w, g in zip(seq, gone) if not g).decode())] += 1
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed, r.kept_text) for r in got) == want
+    assert saved["shared1"].where("doc_id = 2").count() < 100
+    assert saved["paths1"].where("doc_id = 2").agg({"times": "max"}).head()[0] == 851
