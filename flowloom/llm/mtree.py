@@ -10,7 +10,7 @@ bounds its products from the parent's alone, so most pages and vectors are passe
 from __future__ import annotations
 
 import heapq
-from math import isfinite, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,16 @@ def products(q: np.ndarray, x: np.ndarray) -> list[int]:
     """Inner products of whole numbers, exact, the ends of long standing for all beyond."""
     if not len(x) or not len(q):
         return [0] * len(x)
-    if isfinite(most := float(np.abs(q).max()) * float(np.abs(x).max()) * len(q)) and most < 2 ** 53:
+    with np.errstate(over="ignore"):
+        fine = np.abs(q).max() * np.abs(x).max(axis=1) * len(q) < 2 ** 53
+    if fine.all():
         return (x @ q).astype(np.int64).tolist()
+    out = np.zeros(len(x), np.int64)
+    out[fine] = (x[fine] @ q).astype(np.int64)
     own = [int(v) for v in q.tolist()]
-    return [min(_MOST, max(_LEAST, sum(a * int(b) for a, b in zip(own, row)))) for row in x.tolist()]
+    for i in np.flatnonzero(~fine).tolist():
+        out[i] = min(_MOST, max(_LEAST, sum(a * int(b) for a, b in zip(own, x[i].tolist()))))
+    return out.tolist()
 
 
 class Query:
@@ -124,28 +130,29 @@ class Region:
         self.center = np.array(pages["center"].to_pylist(), np.float64).reshape(len(order), size)[order]
         self.size = distance(self.center, np.zeros(size))
         self.below = [np.flatnonzero(parent == i) for i in range(len(order))]
-        rows = [pages.slice(int(i), 1) for i in order]
-        flat = [r["vectors"].combine_chunks().flatten().to_numpy() for r in rows]
-        self.ids = [r["ids"][0].as_py() for r in rows]
-        self.distances = [r["distances"].combine_chunks().flatten().to_numpy() for r in rows]
-        self.vectors = [v.reshape(len(i), size) for v, i in zip(flat, self.ids)]
+        pages = pages.take(pa.array(order))
+        flat = lambda c: pages[c].combine_chunks().flatten()
+        self.ids, self.distances = flat("ids").to_pylist(), flat("distances").to_numpy()
+        self.vectors = flat("vectors").to_numpy().reshape(len(self.ids), size)
+        held = np.cumsum([0] + [len(i) for i in pages["distances"]])
+        self.rows = [np.arange(a, b) for a, b in zip(held[:-1], held[1:])]
 
     def search(self, query: Query, best: Best) -> None:
         product, away = query.to(self.center[:1], self.size[:1])
         bound = query.bound(product, away, self.radius[:1], self.norm[:1], self.size[:1])
         heap = [(-float(bound[0]), 0, float(product[0]), float(away[0]))]
+        # Leaves are read best first, one, then two, four and so on together: few steps where the bar leaves many to read.
+        leaves: list[tuple[int, float, float]] = []
+        together = 1
         while heap:
             minus, page, product, away = heapq.heappop(heap)
             if -minus < best.bar:
-                return
+                break
             if self.leaf[page]:
-                # The stored distance of each vector bounds its product before it is worked out.
-                most = query.bound(product, away, self.distances[page], self.norm[page], self.size[page])
-                hit = np.flatnonzero(most >= best.bar)
-                for score, i in zip(products(query.q, self.vectors[page][hit]), hit.tolist()):
-                    if score >= best.bar:
-                        for vec_id in self.ids[page][i]:
-                            best.offer(score, vec_id)
+                leaves.append((page, product, away))
+                if len(leaves) == together:
+                    self.read(leaves, query, best)
+                    leaves, together = [], 2 * together
                 continue
             below = self.below[page]
             most = query.bound(product, away, self.away[below] + self.radius[below], self.norm[below], self.size[page])
@@ -155,6 +162,21 @@ class Region:
             for b, p, s, d in zip(bounds.tolist(), below.tolist(), products_.tolist(), aways.tolist()):
                 if b >= best.bar:
                     heapq.heappush(heap, (-b, p, s, d))
+        if leaves:
+            self.read(leaves, query, best)
+
+    def read(self, leaves: list[tuple[int, float, float]], query: Query, best: Best) -> None:
+        """Offer the vectors of the leaves (page, product, distance) that can reach the bar."""
+        pages, product, away = (np.array(x) for x in zip(*leaves))
+        rows = np.concatenate([self.rows[p] for p in pages])
+        owner = np.repeat(np.arange(len(pages)), [len(self.rows[p]) for p in pages])
+        # The stored distance of each vector bounds its product before it is worked out.
+        most = query.bound(product[owner], away[owner], self.distances[rows], self.norm[pages][owner], self.size[pages][owner])
+        rows = rows[most >= best.bar]
+        for score, i in zip(products(query.q, self.vectors[rows]), rows.tolist()):
+            if score >= best.bar:
+                for vec_id in self.ids[i]:
+                    best.offer(score, vec_id)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

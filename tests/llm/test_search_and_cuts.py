@@ -77,6 +77,26 @@ def test_pages_cover_their_vectors_and_products_are_passed_over():
     assert met < len(x) / 4
 
 
+def test_leaves_are_read_together(monkeypatch):
+    """Vectors without clusters: nearly all leaves are read, in few steps, and the best are exact."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    x = np.floor(1024 * rnd.normal(size=(600, 24)))
+    x[5] = 2.0 ** 60
+    rows = pa.table({"node": ["r"] * 600, "item": range(600), "size": [24] * 600, "v": list(x), "ids": [[i, 1000 + i] for i in range(600)]})
+    region, steps, inner = mtree.Region(mtree._plant(8, 4)(rows)), [], mtree.products
+    monkeypatch.setattr(mtree, "products", lambda q, v: steps.append(len(v)) or inner(q, v))
+    for q in (x[3], -x[3], x[5], np.zeros(24)):
+        steps.clear()
+        best = mtree.Best(6, float("-inf"))
+        region.search(mtree.Query(q), best)
+        exact = [max(-2 ** 63, min(2 ** 63 - 1, sum(int(a) * int(b) for a, b in zip(q, v)))) for v in x]
+        want = sorted(((-s, i) for n, s in enumerate(exact) for i in (n, 1000 + n)))[:6]
+        assert sorted((-s, -i) for s, i in best.heap) == want
+        assert len(steps) <= 9 < int(region.leaf.sum()) / 5
+
+
 @pytest.mark.parametrize("unit, pattern", [("line", r"[^\n]*\n|[^\n]+"), ("sentence", r"[^\n.!?…。！？]*[\n.!?…。！？]|[^\n.!?…。！？]+"),
                                            ("word", r"^\s*\S+\s*|\S+\s*")])
 def test_cuts_equal_brute_force(unit, pattern):
