@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 POSITION_BITS = U(28)
@@ -64,6 +66,18 @@ def pack(items: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield start, len(items)
 
 
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 18, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in neighbouring rows of about ``limit`` bytes of text together; a longer text stands alone."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()):
+        if i > start and size + n > limit:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def word_hashes(items: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words between ASCII white space, and the offsets of each item's words."""
     data = np.frombuffer(b"\n".join(items) + b"\n", np.uint8)

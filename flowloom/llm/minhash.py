@@ -25,7 +25,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 #: Counters of a bag's sketch.
 SKETCH = 128
-_CHUNK = 1 << 22
+#: Bytes of text or bags that are worked on at once, and points that are drawn at once when few processes go on.
+_CHUNK, _POINTS = 1 << 18, 1 << 13
 _letters: list[np.ndarray] = []
 
 
@@ -82,14 +83,19 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int
     table = np.full(n * m, np.inf)
     turn = 0
     while len(key):
-        turn += 1
-        draw = H.mix(key + H.U(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((draw >> H.U(11)).astype(float) + 0.5) * 2.0**-53) / rate
+        # Points that come later than every component change nothing, so short bags can draw many turns at once.
+        turns = np.arange(turn + 1, turn + 1 + max(1, min(_POINTS // len(key), m)), dtype=H.U)
+        turn += len(turns)
+        draw = H.mix(key[:, None] + turns * H.U(0x9E3779B97F4A7C15))
+        gap = -np.log(((draw >> H.U(11)).astype(float) + 0.5) * 2.0**-53) / rate[:, None]
+        gap[:, 0] += time
+        times = np.cumsum(gap, axis=1, out=gap)
         other = H.mix(draw + H.U(0x589965CC75374CC3))
-        weight = low + rate * ((other >> H.U(32)).astype(float) + 0.5) * 2.0**-32
-        taken = weight <= limit
-        place = owner * m + (other & H.U(0xFFFFFFFF)).astype(np.int64) % m
-        np.minimum.at(table, place[taken], time[taken])
+        weight = low[:, None] + rate[:, None] * ((other >> H.U(32)).astype(float) + 0.5) * 2.0**-32
+        place = owner[:, None] * m + (other & H.U(0xFFFFFFFF)).astype(np.int64) % m
+        taken = weight <= limit[:, None]
+        np.minimum.at(table, place[taken], times[taken])
+        time = times[:, -1].copy()
         going = time < table.reshape(n, m).max(1)[owner]
         if not going.all():
             key, time, owner, low, rate, limit = (x[going] for x in (key, time, owner, low, rate, limit))
@@ -101,10 +107,9 @@ def _sign(bands: int, rows: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            for a, b in H.pack(texts, _CHUNK):
-                owner, hashes, counts = _bags(*shingles(texts[a:b], size))
-                n = b - a
+            for part in H.pieces(batch, _CHUNK):
+                owner, hashes, counts = _bags(*shingles([x or "" for x in part["text"].to_pylist()], size))
+                n = part.num_rows
                 table = signatures(owner, hashes, counts, n, bands * rows).view(H.U).reshape(n, bands, rows)
                 value = np.broadcast_to(np.arange(1, bands + 1, dtype=H.U), (n, bands)) * H.U(0xC2B2AE3D27D4EB4F)
                 for i in range(rows):
@@ -114,7 +119,7 @@ def _sign(bands: int, rows: int, size: int):
                 words = np.bincount(owner, minlength=n) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)),
                                                  pa.array(np.ascontiguousarray(value).view(np.int64).ravel()))
-                yield pa.record_batch([batch["doc_id"][a:b], batch["tk"][a:b],
+                yield pa.record_batch([part["doc_id"], part["tk"],
                                        pa.array(H.mix(node).view(np.int64), mask=~words), lists], schema=schema)
 
     return run
@@ -129,16 +134,16 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in H.pack(texts, _CHUNK):
-                hashes, bounds = shingles(texts[a:b], size)
+            for part in H.pieces(batch, _CHUNK):
+                hashes, bounds = shingles(part["text"].to_pylist(), size)
+                n = part.num_rows
                 owner, _, counts = _bags(hashes, bounds)
                 copy, _ = H.ranges(np.zeros(len(counts), np.int64), counts)
                 keys = H.mix(hashes + copy.astype(H.U) * H.U(0xD6E8FEB86659FD93))
-                of = np.repeat(np.arange(b - a), np.diff(bounds))
-                cells = np.bincount(of * SKETCH + (keys >> H.U(57)).astype(np.int64), minlength=(b - a) * SKETCH)
-                cells = np.minimum(cells, 255).astype(np.uint8).reshape(b - a, SKETCH)
-                yield pa.record_batch([batch["node"][a:b], pa.array(
+                of = np.repeat(np.arange(n), np.diff(bounds))
+                cells = np.bincount(of * SKETCH + (keys >> H.U(57)).astype(np.int64), minlength=n * SKETCH)
+                cells = np.minimum(cells, 255).astype(np.uint8).reshape(n, SKETCH)
+                yield pa.record_batch([part["node"], pa.array(
                     [np.sort(keys[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()),
                     pa.array(np.diff(bounds).astype(np.int64)), pa.array([c.tobytes() for c in cells], pa.binary())], schema=schema)
 
@@ -164,11 +169,12 @@ def _possible(threshold: float):
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["bag"]]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in bags]))).astype(np.int32)
-        flat = pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))
-        yield pa.record_batch([batch["node"], batch["label"], pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                              names=["node", "label", "elements"])
+        for part in H.pieces(batch, _CHUNK, "bag"):
+            bags = [np.frombuffer(x.as_buffer(), np.int64) for x in part["bag"]]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in bags]))).astype(np.int32)
+            flat = pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))
+            yield pa.record_batch([part["node"], part["label"], pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                                  names=["node", "label", "elements"])
 
 
 def candidates(bags: DataFrame, threshold: float) -> DataFrame:

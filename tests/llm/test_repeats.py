@@ -181,6 +181,36 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((table[0] == table[1]).mean() - true) < 0.03
 
 
+def test_points_drawn_at_once_change_no_signature(monkeypatch):
+    import numpy as np
+
+    bags = minhash._bags(*minhash.shingles(["one two three", "", " ".join(words(400, 1)), "x y " * 300, "é " * 9]))
+    whole = minhash.signatures(*bags, 5, 240)
+    monkeypatch.setattr(minhash, "_POINTS", 1)
+    assert np.array_equal(whole, minhash.signatures(*bags, 5, 240)) and np.isinf(whole[1]).all() and np.isfinite(whole[[0, 2, 3, 4]]).all()
+
+
+@pytest.mark.parametrize("step", [lambda: minhash._sign(40, 6, 5), lambda: minhash._sets(5)], ids=["sign", "sets"])
+def test_a_large_batch_needs_little_memory(step):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(words(200 + i % 7, i)) for i in range(3000)] + [None] * 2
+    batch = pa.record_batch([pa.array(range(3002), pa.int64()), pa.array(range(3002), pa.int32()),
+                             pa.array(range(3002), pa.int64()), pa.array([x or "" for x in texts])], names=["doc_id", "tk", "node", "text"])
+    list(step()(iter([batch.slice(3000)])))  # fixed tables
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in step()(iter([batch])))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    small = [out for i in range(0, 60, 20) for out in step()(iter([batch.slice(i, 20)]))]
+    first = pa.Table.from_batches(list(step()(iter([batch]))))
+    assert rows == 3002 and most < 40e6 and first.slice(0, 60).equals(pa.Table.from_batches(small)), most
+    assert np.array_equal(first["node" if "sketch" in first.column_names else "doc_id"], np.arange(3002))
+
+
 @pytest.mark.parametrize("operator", [substring.remove_repeats, suffixes.remove_repeats, minhash.near_duplicates, minhash.keep_one])
 def test_empty_table(make_docs, operator):
     assert operator(make_docs((1, "x")).where("false")).collect() == []
