@@ -18,6 +18,8 @@ from flowloom.llm import hashing as H
 
 BUCKETS = 1 << 18
 SAMPLE = 4000
+#: Bytes of text whose features are held at once.
+_CHUNK = 1 << 19
 #: Class of each byte of a word's shape: letters and digits fold, all other bytes stay as they are.
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = 65, 97, 48, 97
@@ -120,8 +122,19 @@ def score(rows: list[np.ndarray], model: Model) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [x.tobytes() for x in features(batch["text"].to_pylist())]
-        yield pa.record_batch([batch["label"], pa.array(rows, pa.binary())], names=["label", "features"])
+        for part in H.pieces(batch, _CHUNK):
+            rows = [x.tobytes() for x in features(part["text"].to_pylist())]
+            yield pa.record_batch([part["label"], pa.array(rows, pa.binary())], names=["label", "features"])
+
+
+def _scorer(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in H.pieces(batch, _CHUNK):
+                value = score(features([x or "" for x in part["text"].to_pylist()]), model)
+                yield pa.record_batch([*part.columns, pa.array(value)], names=[*part.schema.names, "score"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -153,9 +166,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = score(features([x or "" for x in batch["text"].to_pylist()]), model)
-            yield pa.record_batch([*batch.columns, pa.array(value)], names=[*batch.schema.names, "score"])
-
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(_scorer(model), f"{kinds}, score double")

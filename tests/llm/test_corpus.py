@@ -29,6 +29,27 @@ def test_quality_edges(make_docs, spark):
     assert quality.classify(docs.where("false"), model).collect() == []
 
 
+def test_a_large_batch_is_scored_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, ""] + [" ".join(words(200 + i % 7, i)) for i in range(3000)] * 4
+    draw = np.random.default_rng(1)
+    model = quality.Model(draw.random(quality.BUCKETS, np.float32), draw.random(quality.BUCKETS, np.float32) - 0.5, 0.1)
+    run = quality._scorer(model)
+    batch = pa.record_batch([pa.array(range(12002), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    list(run(iter([batch.slice(0, 2)])))
+    tracemalloc.start()
+    rows = pa.Table.from_batches(list(run(iter([batch]))))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    alone = quality.score(quality.features([x or "" for x in texts]), model)
+    assert rows.num_rows == 12002 and rows["doc_id"].to_pylist() == list(range(12002)) and most < 40e6, most
+    assert np.array_equal(rows["score"], alone)
+
+
 def test_dual_coordinate_descent_separates():
     import numpy as np
 
